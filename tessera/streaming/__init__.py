@@ -1,0 +1 @@
+"""Intentionally empty: all seven inputs are batch extracts, so there is no streaming operator."""
