@@ -18,9 +18,11 @@ def as_column(column: ColumnLike) -> Column:
 def n_distinct(column: ColumnLike, approx: bool = False) -> Column:
     """Distinct values of ``column`` where NULL counts as one value; 0 on empty input."""
     value = as_column(column)
-    counted = F.approx_count_distinct(value) if approx else F.count_distinct(value)
-    has_null = F.coalesce(F.max(value.isNull().cast("long")), F.lit(0))
-    return counted + has_null
+    if approx:
+        has_null = F.coalesce(F.max(value.isNull().cast("long")), F.lit(0))
+        return F.approx_count_distinct(value) + has_null
+    # the struct around a NULL is not NULL, so the count includes it
+    return F.count_distinct(F.struct(value))
 
 
 def if_else(condition: Column, yes: Column, no: Column) -> Column:

@@ -16,22 +16,33 @@ from tessera.functions.materialize import checkpointed
 from tessera.functions.nulls import null_safe_join
 
 _PART = "__part"
+SKETCH_ACCURACY = 10000
+SMALL_GROUP = 100_000
+
+
+def sorted_parts(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Range-sort and write ``df``; ``__part`` numbers the written partitions in that order."""
+    return checkpointed(df.orderBy(*order)).withColumn(_PART, F.spark_partition_id())
 
 
 def running_total(df: DataFrame, order: Sequence[Column], totals: dict[str, str]) -> DataFrame:
     """Add ``{new column: summed column}`` running sums in the given total order.
 
-    ``order`` must identify a row, so callers aggregate equal keys first: no value, however
-    frequent, then fills more than one row. Runs a sort job when called.
+    Each ``<new column>_ALL`` holds the sum over all rows. ``order`` must identify a row, so
+    callers aggregate equal keys first: no value, however frequent, then fills more than one row.
+    Runs a sort job when called.
     """
-    placed = checkpointed(df.orderBy(*order)).withColumn(_PART, F.spark_partition_id())
+    placed = sorted_parts(df, order)
     per_part = placed.groupBy(_PART).agg(
         *[F.sum(value).alias(name) for name, value in totals.items()]
     )
-    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.orderBy(_PART)
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    everything = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_part.select(
         _PART,
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in totals],
+        *[F.sum(n).over(everything).alias(f"{n}_ALL") for n in totals],
     )
     within = (
         Window.partitionBy(_PART)
@@ -45,6 +56,66 @@ def running_total(df: DataFrame, order: Sequence[Column], totals: dict[str, str]
             (F.sum(value).over(within) + F.col(f"__before_{name}")).alias(name)
             for name, value in totals.items()
         ],
+        *[f"{name}_ALL" for name in totals],
+    )
+
+
+def _long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        list(by), list(columns), "MEASURE", "VALUE"
+    )
+
+
+def _sql_array(numbers: Sequence[float]) -> str:
+    return f"array({', '.join(f'{float(n)!r}D' for n in numbers)})"
+
+
+def _brackets(values: DataFrame, keys: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+    """Per group, an interval of values around each quantile that is sure to contain it.
+
+    Column ENDS holds the lower ends, then the upper ends. A sketch of accuracy 10000 misses a
+    rank by at most N/10000; the intervals reach five times as far. In groups below 100,000 rows
+    they cover everything.
+    """
+    reach = 5.0 / SKETCH_ACCURACY
+    count = len(quantiles)
+    wanted = [p - reach for p in quantiles] + [p + reach for p in quantiles]
+    ends = []
+    for i, p in enumerate(wanted):
+        limit = "double('-inf')" if i < count else "double('inf')"
+        ends.append(f"IF(FEW, {limit}, ENDS[{i}])" if 0 < p < 1 else limit)
+    inner = _sql_array([min(max(p, 0.0), 1.0) for p in wanted])
+    return (
+        values.groupBy(*keys)
+        .agg(
+            F.expr(f"percentile_approx(VALUE, {inner}, {SKETCH_ACCURACY}) AS ENDS"),
+            F.expr(f"count(VALUE) < {SMALL_GROUP} AS FEW"),
+        )
+        .selectExpr(*keys, f"array({', '.join(ends)}) AS ENDS")
+    )
+
+
+def _condensed_counts(
+    values: DataFrame, brackets: DataFrame, keys: Sequence[str], n_quantiles: int
+) -> DataFrame:
+    """Rows per value inside the brackets, and per gap between two brackets.
+
+    LOWEST and HIGHEST differ only in rows that stand for a gap.
+    """
+    pairs = [(f"ENDS[{i}]", f"ENDS[{i + n_quantiles}]") for i in range(n_quantiles)]
+    inside = " OR ".join(f"VALUE BETWEEN {low} AND {high}" for low, high in pairs)
+    gap = " + ".join(f"CAST(VALUE >= {low} AS INT)" for low, _ in pairs)
+    return (
+        null_safe_join(values, brackets, keys, "left")
+        .selectExpr(*keys, "VALUE", f"IF({inside}, VALUE, NULL) AS SINGLE", f"{gap} AS GAP")
+        .groupBy(*keys, "GAP", "SINGLE")
+        .agg(
+            F.expr("count(1) AS N"),
+            F.expr("min(VALUE) AS LOWEST"),
+            F.expr("max(VALUE) AS HIGHEST"),
+            F.expr("sum(VALUE) AS TOTAL"),
+        )
+        .drop("GAP", "SINGLE")
     )
 
 
@@ -56,89 +127,131 @@ def value_summary(
 ) -> DataFrame:
     """Exact summary of numeric columns, one row per (``by``, column).
 
-    Result: by..., MEASURE, N_ROWS, N_MISSING, N_DISTINCT, MIN_VALUE, MEAN_VALUE, MAX_VALUE and
-    one column per entry of ``quantiles``, interpolated linearly between the two nearest ranks.
-    Equal values are counted before the sort, so the sort sees each distinct value once.
+    Result: by..., MEASURE, N_ROWS, N_MISSING, MIN_VALUE, MEAN_VALUE, MAX_VALUE and one column per
+    entry of ``quantiles``, interpolated linearly between the two nearest ranks.
+
+    A first pass sketches an interval around each quantile. In the second pass values inside the
+    intervals are counted one by one and all values between two intervals fall into one row, both
+    before the shuffle. Only this short list is sorted to find the ranks. Should a rank ever miss
+    its interval, the job fails; it never returns a neighbouring value. ``df`` is read twice.
     """
     by = list(by)
     keys = [*by, "MEASURE"]
-    counts = (
-        df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(by, list(columns), "MEASURE", "VALUE")
-        .groupBy(*keys, "VALUE")
-        .agg(F.count(F.lit(1)).alias("N"))
-    )
-    order = [*[F.col(k).asc_nulls_last() for k in keys], F.col("VALUE").asc_nulls_last()]
-    ranked = running_total(counts, order, {"UPTO": "N"})
-    known = F.col("VALUE").isNotNull()
-    groups = ranked.groupBy(*keys).agg(
-        F.sum("N").alias("N_ROWS"),
-        F.sum(F.when(known, F.col("N")).otherwise(0)).alias("N_KNOWN"),
-        F.count("VALUE").alias("N_DISTINCT"),
-        F.min("VALUE").alias("MIN_VALUE"),
-        (F.sum(F.col("VALUE") * F.col("N")) / F.sum(F.when(known, F.col("N")))).alias(
-            "MEAN_VALUE"
-        ),
-        F.max("VALUE").alias("MAX_VALUE"),
-        F.min(F.col("UPTO") - F.col("N")).alias("START"),
-    )
-    first_rank = F.col("UPTO") - F.col("N") - F.col("START")
-    next_rank = F.col("UPTO") - F.col("START")
-
-    def position(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("N_KNOWN") - 1)
-
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when(known & (first_rank <= rank) & (rank < next_rank), F.col("VALUE")))
+    points = list(quantiles.values())
+    values = _long_form(df, columns, by)
+    # written once: a sketch may come out differently when a lost task is repeated
+    brackets = checkpointed(_brackets(values, keys, points))
+    order = [*[F.asc_nulls_last(k) for k in keys], F.asc_nulls_last("LOWEST")]
+    placed = sorted_parts(_condensed_counts(values, brackets, keys, len(points)), order)
 
-    picked = []
-    for name, p in quantiles.items():
-        picked.append(value_at(F.floor(position(p))).alias(f"__low_{name}"))
-        picked.append(value_at(F.ceil(position(p))).alias(f"__high_{name}"))
-    ends = (
-        null_safe_join(ranked, groups.select(*keys, "N_KNOWN", "START"), keys)
+    # a stretch is the part of a group within one written partition
+    group = f"PARTITION BY {', '.join(keys)}"
+    earlier = f"{group} ORDER BY {_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    stretches = (
+        placed.groupBy(*keys, _PART)
+        .agg(
+            F.expr("sum(N) AS N_STRETCH"),
+            F.expr("sum(IF(LOWEST IS NULL, 0, N)) AS N_KNOWN"),
+            F.expr("min(LOWEST) AS MIN_VALUE"),
+            F.expr("sum(TOTAL) AS SUM_VALUE"),
+            F.expr("max(HIGHEST) AS MAX_VALUE"),
+        )
+        .selectExpr(
+            *keys,
+            _PART,
+            "N_STRETCH",
+            f"coalesce(sum(N_STRETCH) OVER ({earlier}), 0) AS BEFORE",
+            f"sum(N_STRETCH) OVER ({group}) AS N_ROWS",
+            f"sum(N_KNOWN) OVER ({group}) AS N_KNOWN",
+            f"min(MIN_VALUE) OVER ({group}) AS MIN_VALUE",
+            f"sum(SUM_VALUE) OVER ({group}) AS SUM_VALUE",
+            f"max(MAX_VALUE) OVER ({group}) AS MAX_VALUE",
+        )
+        .withColumn(
+            "TARGETS",
+            F.expr(
+                f"flatten(transform({_sql_array(points)}, (p, i) -> array("
+                "struct(2 * i AS SLOT, floor(p * (N_KNOWN - 1)) AS RANK),"
+                "struct(2 * i + 1 AS SLOT, ceil(p * (N_KNOWN - 1)) AS RANK))))"
+            ),
+        )
+    )
+    needed = stretches.where(
+        "BEFORE = 0 OR exists(TARGETS, t -> BEFORE <= t.RANK AND t.RANK < BEFORE + N_STRETCH)"
+    ).drop("N_STRETCH")
+    if not by:
+        # at most one stretch per column and rank
+        needed = F.broadcast(needed)
+    same = ["N_ROWS", "N_KNOWN", "MIN_VALUE", "SUM_VALUE", "MAX_VALUE"]
+    found = (
+        null_safe_join(
+            placed.select(*keys, _PART, "N", "LOWEST", "HIGHEST"), needed, [*keys, _PART]
+        )
+        .withColumn(
+            "NEXT_RANK",
+            F.expr(
+                f"BEFORE + sum(N) OVER ({group}, {_PART} ORDER BY LOWEST ASC NULLS LAST"
+                " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+            ),
+        )
+        .withColumn(
+            "HITS",
+            F.expr(
+                "filter(TARGETS, t -> LOWEST IS NOT NULL"
+                " AND NEXT_RANK - N <= t.RANK AND t.RANK < NEXT_RANK)"
+            ),
+        )
+        .withColumn(
+            "EXACT",
+            F.expr(
+                "CASE WHEN size(HITS) = 0 THEN NULL WHEN LOWEST = HIGHEST THEN LOWEST"
+                " ELSE raise_error('a quantile lies outside the interval sketched for it') END"
+            ),
+        )
         .groupBy(*keys)
-        .agg(*picked)
+        .agg(
+            *[F.expr(f"max({c}) AS {c}") for c in same],
+            # two entries per quantile
+            F.expr(
+                "map_from_entries(flatten(collect_list(IF(size(HITS) = 0, NULL,"
+                " transform(HITS, t -> struct(t.SLOT, EXACT)))))) AS AT"
+            ),
+        )
     )
-    values = {}
-    for name, p in quantiles.items():
-        low, high = F.col(f"__low_{name}"), F.col(f"__high_{name}")
-        values[name] = low + (position(p) - F.floor(position(p))) * (high - low)
-    return null_safe_join(groups, ends, keys).select(
+    results = []
+    for i, (name, p) in enumerate(quantiles.items()):
+        position = f"({float(p)!r}D * (N_KNOWN - 1))"
+        low, high = f"AT[{2 * i}]", f"AT[{2 * i + 1}]"
+        results.append(
+            f"{low} + ({position} - floor({position})) * ({high} - {low}) AS `{name}`"
+        )
+    return found.selectExpr(
         *keys,
         "N_ROWS",
-        (F.col("N_ROWS") - F.col("N_KNOWN")).alias("N_MISSING"),
-        "N_DISTINCT",
+        "N_ROWS - N_KNOWN AS N_MISSING",
         "MIN_VALUE",
-        "MEAN_VALUE",
+        "try_divide(SUM_VALUE, N_KNOWN) AS MEAN_VALUE",
         "MAX_VALUE",
-        *[v.alias(n) for n, v in values.items()],
+        *results,
     )
 
 
 def approx_value_summary(
-    df: DataFrame,
-    columns: Sequence[str],
-    quantiles: dict[str, float],
-    by: Sequence[str] = (),
-    accuracy: int = 10000,
+    df: DataFrame, columns: Sequence[str], quantiles: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Same columns as ``value_summary`` from sketches, in one pass and without a sort."""
-    by = list(by)
+    """Same columns as ``value_summary`` with sketched quantiles, in one pass and without a sort."""
     known = F.col("VALUE").isNotNull()
     return (
-        df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(by, list(columns), "MEASURE", "VALUE")
+        _long_form(df, columns, by)
         .groupBy(*by, "MEASURE")
         .agg(
             F.count(F.lit(1)).alias("N_ROWS"),
             F.count_if(~known).alias("N_MISSING"),
-            F.approx_count_distinct("VALUE").alias("N_DISTINCT"),
             F.min("VALUE").alias("MIN_VALUE"),
             F.avg("VALUE").alias("MEAN_VALUE"),
             F.max("VALUE").alias("MAX_VALUE"),
             *[
-                F.percentile_approx("VALUE", float(p), accuracy).alias(n)
+                F.percentile_approx("VALUE", float(p), SKETCH_ACCURACY).alias(n)
                 for n, p in quantiles.items()
             ],
         )

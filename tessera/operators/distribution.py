@@ -104,12 +104,15 @@ def cumulative_share(
     a plain window then saves the sort job.
     """
     if few_rows:
-        rows = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        summed = counts.withColumn("__running", F.sum(count).over(rows))
-    else:
-        summed = running_total(counts, order, {"__running": count})
-    total = counts.agg(F.sum(count)).scalar()
-    return summed.withColumn(share, F.try_divide("__running", total)).drop("__running")
+        rows = Window.orderBy(*order)
+        up_to_here = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        everything = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        part, whole = F.sum(count).over(up_to_here), F.sum(count).over(everything)
+        return counts.withColumn(share, F.try_divide(part, whole))
+    summed = running_total(counts, order, {"__running": count})
+    return summed.withColumn(share, F.try_divide("__running", "__running_ALL")).drop(
+        "__running", "__running_ALL"
+    )
 
 
 def level_coverage(
@@ -118,8 +121,14 @@ def level_coverage(
     """Levels of a column, most frequent first (ties by name), with count, share, running share."""
     filled = df.withColumn(column, F.coalesce(column, F.lit(missing)))
     counts = filled.groupBy(column).agg(n_distinct(F.col(id_column)).alias("TOT_CLIs"))
-    covered = cumulative_share(counts, [F.desc("TOT_CLIs"), F.asc(column)], "TOT_CLIs")
-    return with_share(covered, "TOT_CLIs")
+    order = [F.desc("TOT_CLIs"), F.asc(column)]
+    summed = running_total(counts, order, {"__running": "TOT_CLIs"})
+    return summed.withColumns(
+        {
+            "PERCENT": F.try_divide("TOT_CLIs", "__running_ALL"),
+            "PERCENT_COVERED": F.try_divide("__running", "__running_ALL"),
+        }
+    ).drop("__running", "__running_ALL")
 
 
 def bucket_levels(

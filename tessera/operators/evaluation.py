@@ -60,7 +60,7 @@ def accuracy_table(
 def ranked_scores(
     predictions: DataFrame, score: str, target: str, positive: int | str
 ) -> DataFrame:
-    """Per distinct score, highest first: rows, positives, and both summed from the top.
+    """Per distinct score, highest first: rows N and positives P, summed from the top and overall.
 
     Equal scores are one row, so a tree that gives a third of the customers the same score does
     not fill a task.
@@ -69,11 +69,9 @@ def ranked_scores(
     counts = (
         predictions.where(F.col(score).isNotNull())
         .groupBy(F.col(score).alias("SCORE"))
-        .agg(F.count(F.lit(1)).alias("N"), F.count_if(hit).alias("POSITIVES"))
-    )
-    return running_total(
-        counts, [F.desc("SCORE")], {"N_FROM_TOP": "N", "POSITIVES_FROM_TOP": "POSITIVES"}
+        .agg(F.count(F.lit(1)).alias("N"), F.count_if(hit).alias("P"))
     )
+    return running_total(counts, [F.desc("SCORE")], {"N_TOP": "N", "P_TOP": "P"})
 
 
 def gain_lift(
@@ -84,44 +82,44 @@ def gain_lift(
     Gain is the share of all positives found, lift is gain over the share of rows looked at. A cut
     inside a group of equal scores takes the same part of the group's positives as of its rows.
     """
-    ranked = ranked_scores(predictions, score, target, positive)
-    totals = ranked.agg(F.sum("N").alias("ROWS"), F.sum("POSITIVES").alias("HITS"))
-    n_rows, n_hits = totals.select("ROWS").scalar(), totals.select("HITS").scalar()
-    cuts = F.array(*[F.lit(k) for k in range(1, segments + 1)])
-    rank = F.ceil(F.col("SEGMENT") * F.col("ROWS") / F.lit(segments))
-    rows_above = F.col("N_FROM_TOP") - F.col("N")
-    hits_above = F.col("POSITIVES_FROM_TOP") - F.col("POSITIVES")
-    found = hits_above + F.col("POSITIVES") * (F.col("CUT") - rows_above) / F.col("N")
-    # a score group is repeated only for the cuts that fall into it: `segments` rows in all
+
+    def cut(k: Column) -> Column:
+        return F.ceil(k * F.col("N_TOP_ALL") / F.lit(segments))
+
+    def in_this_group(k: Column) -> Column:
+        return (cut(k) > F.col("N_TOP") - F.col("N")) & (cut(k) <= F.col("N_TOP"))
+
+    numbers = F.array(*[F.lit(k) for k in range(1, segments + 1)])
+    found = (F.col("P_TOP") - F.col("P")) + F.col("P") * (
+        F.col("CUT") - (F.col("N_TOP") - F.col("N"))
+    ) / F.col("N")
+    # every cut lies in one group of scores, so this leaves `segments` rows in all
     return (
-        ranked.withColumns({"ROWS": n_rows, "HITS": n_hits})
-        .withColumn("SEGMENT", F.explode(F.filter(cuts, lambda k: _cut_in_group(k, segments))))
-        .withColumn("CUT", rank)
+        ranked_scores(predictions, score, target, positive)
+        .withColumn("K", F.explode(F.filter(numbers, in_this_group)))
+        .withColumn("CUT", cut(F.col("K")))
         .select(
-            (F.col("SEGMENT") * F.lit(100.0) / F.lit(segments)).alias("POPULATION"),
-            F.try_divide(F.lit(100.0) * found, F.col("HITS")).alias("GAIN"),
-            F.try_divide(found * F.col("ROWS"), F.col("HITS") * F.col("CUT")).alias("LIFT"),
+            (F.col("K") * F.lit(100.0) / F.lit(segments)).alias("POPULATION"),
+            F.try_divide(F.lit(100.0) * found, F.col("P_TOP_ALL")).alias("GAIN"),
+            F.try_divide(
+                found * F.col("N_TOP_ALL"), F.col("P_TOP_ALL") * F.col("CUT")
+            ).alias("LIFT"),
             F.col("SCORE").alias("SCORE_POINT"),
         )
     )
 
 
-def _cut_in_group(k: Column, segments: int) -> Column:
-    cut = F.ceil(k * F.col("ROWS") / F.lit(segments))
-    return (cut > F.col("N_FROM_TOP") - F.col("N")) & (cut <= F.col("N_FROM_TOP"))
-
-
 def roc_points(
     predictions: DataFrame, score: str, target: str, positive: int | str = 1
 ) -> DataFrame:
     """True and false positive rate at each distinct score used as the threshold."""
     ranked = ranked_scores(predictions, score, target, positive)
-    hits = ranked.agg(F.sum("POSITIVES")).scalar()
-    misses = ranked.agg(F.sum(F.col("N") - F.col("POSITIVES"))).scalar()
     return ranked.select(
         "SCORE",
-        F.try_divide(F.col("POSITIVES_FROM_TOP"), hits).alias("TPR"),
-        F.try_divide(F.col("N_FROM_TOP") - F.col("POSITIVES_FROM_TOP"), misses).alias("FPR"),
+        F.try_divide("P_TOP", "P_TOP_ALL").alias("TPR"),
+        F.try_divide(
+            F.col("N_TOP") - F.col("P_TOP"), F.col("N_TOP_ALL") - F.col("P_TOP_ALL")
+        ).alias("FPR"),
     )
 
 
@@ -130,11 +128,9 @@ def auc(
 ) -> DataFrame:
     """Area under the ROC curve by trapezoids, exact: one row AUC."""
     ranked = ranked_scores(predictions, score, target, positive)
-    negatives = F.col("N") - F.col("POSITIVES")
+    negatives = F.col("N") - F.col("P")
     # each negative is passed by the positives scored above it, and by half of its ties
-    passed = negatives * (F.col("POSITIVES_FROM_TOP") - F.col("POSITIVES") / F.lit(2.0))
+    passed = negatives * (F.col("P_TOP") - F.col("P") / F.lit(2.0))
     return ranked.agg(
-        F.try_divide(
-            F.sum(passed), F.sum("POSITIVES").cast("double") * F.sum(negatives)
-        ).alias("AUC")
+        F.try_divide(F.sum(passed), F.sum("P").cast("double") * F.sum(negatives)).alias("AUC")
     )

@@ -26,10 +26,9 @@ def structure(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """Missing count, distinct count, min, quartiles, mean and max per numeric column.
+    """Missing count, min, quartiles, mean and max per numeric column.
 
-    Exact by default, at the price of a shuffle of each column's distinct values;
-    ``approx=True`` takes one pass with sketches.
+    Exact in two passes by default; ``approx=True`` sketches the quartiles in one.
     """
     summarise = approx_value_summary if approx else value_summary
     return summarise(df, columns, QUARTILES).withColumnRenamed("MEASURE", "COLUMN_NAME")

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.materialize import checkpointed
@@ -85,9 +84,10 @@ def score_edges(
     rows = summarise(
         customers, columns, {name: i / bins for i, name in enumerate(names, 1)}
     ).collect()
-    return {
-        row["MEASURE"]: [round(row[n], 6) for n in names if row[n] is not None] for row in rows
-    }
+    edges = {column: [] for column in columns}
+    for row in rows:
+        edges[row["MEASURE"]] = [round(row[n], 6) for n in names if row[n] is not None]
+    return edges
 
 
 def rfm_score(customers: DataFrame, bins: int = 5, approx: bool = False) -> DataFrame:
@@ -100,20 +100,19 @@ def rfm_score(customers: DataFrame, bins: int = 5, approx: bool = False) -> Data
     once = checkpointed(customers)
     edges = score_edges(once, ["recency_days", "number_of_orders", "revenue"], bins, approx)
 
-    def reached(column: str) -> Column:
+    def reached(column: str) -> str:
         # sums of money carry rounding noise, so values and edges are compared at six decimals
-        value = F.round(F.col(column).cast("double"), 6)
-        steps = [(value >= F.lit(e)).cast("int") for e in edges.get(column, [])]
-        return reduce(lambda a, b: a + b, steps, F.lit(0))
+        value = f"round(CAST({column} AS DOUBLE), 6)"
+        return " + ".join(["0", *[f"CAST({value} >= {e!r}D AS INT)" for e in edges[column]]])
 
-    return once.select(
+    return once.selectExpr(
         "customer_id",
         "recency_days",
-        F.col("number_of_orders").alias("transaction_count"),
-        F.col("revenue").alias("amount"),
-        (F.lit(bins) - reached("recency_days")).alias("recency_score"),
-        (F.lit(1) + reached("number_of_orders")).alias("frequency_score"),
-        (F.lit(1) + reached("revenue")).alias("monetary_score"),
+        "number_of_orders AS transaction_count",
+        "revenue AS amount",
+        f"{bins} - ({reached('recency_days')}) AS recency_score",
+        f"1 + {reached('number_of_orders')} AS frequency_score",
+        f"1 + {reached('revenue')} AS monetary_score",
     ).withColumn(
         "rfm_score", F.expr("100 * recency_score + 10 * frequency_score + monetary_score")
     )
@@ -129,12 +128,17 @@ def rfm_segment(
     ordered = {"first": list(rules), "last": list(reversed(rules))}[on_overlap]
     segment = F.lit(other)
     for rule in reversed(ordered):
-        matches = (
-            F.col("recency_score").between(*rule.recency)
-            & F.col("frequency_score").between(*rule.frequency)
-            & F.col("monetary_score").between(*rule.monetary)
+        matches = F.expr(
+            " AND ".join(
+                f"{score}_score BETWEEN {low} AND {high}"
+                for score, (low, high) in [
+                    ("recency", rule.recency),
+                    ("frequency", rule.frequency),
+                    ("monetary", rule.monetary),
+                ]
+            )
         )
-        segment = F.when(matches, F.lit(rule.segment)).otherwise(segment)
+        segment = F.when(matches, rule.segment).otherwise(segment)
     return scores.withColumn("segment", segment)
 
 

@@ -72,7 +72,8 @@ def q01_structure(spark: SparkSession, directory: str) -> DataFrame:
 def q01_numeric_summary(spark: SparkSession, directory: str) -> DataFrame:
     columns = ["ID_SCONTRINO", "ID_CLI", "ID_ARTICOLO", "DIREZIONE", "IMPORTO_LORDO", "SCONTO"]
     summary = quality.numeric_summary(views.ticket(spark, directory), columns)
-    return rounded(summary, 4, "MIN_VALUE", "Q1", "MEDIAN", "MEAN_VALUE", "Q3", "MAX_VALUE")
+    exact = rounded(summary, 6, "Q1", "MEDIAN", "Q3")
+    return rounded(exact, 4, "MIN_VALUE", "MEAN_VALUE", "MAX_VALUE")
 
 
 @query
