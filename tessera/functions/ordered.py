@@ -70,7 +70,29 @@ def _sql_array(numbers: Sequence[float]) -> str:
     return f"array({', '.join(f'{float(n)!r}D' for n in numbers)})"
 
 
-def _brackets(values: DataFrame, keys: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
+def _per_column(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], aggregates: dict[str, str]
+) -> DataFrame:
+    """``{name: SQL aggregate of {x}}`` for each column, turned into one row per column."""
+    found = df.groupBy(*by).agg(
+        *[
+            F.expr(sql.format(x=f"CAST(`{c}` AS DOUBLE)")).alias(f"__{name}_{i}")
+            for i, c in enumerate(columns)
+            for name, sql in aggregates.items()
+        ]
+    )
+    structs = ", ".join(
+        f"struct('{c}' AS MEASURE, "
+        + ", ".join(f"__{name}_{i} AS {name}" for name in aggregates)
+        + ")"
+        for i, c in enumerate(columns)
+    )
+    return found.selectExpr(*by, f"inline(array({structs}))")
+
+
+def _brackets(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], quantiles: Sequence[float]
+) -> DataFrame:
     """Per group, an interval of values around each quantile that is sure to contain it.
 
     Column ENDS holds the lower ends, then the upper ends. A sketch of accuracy 10000 misses a
@@ -85,14 +107,15 @@ def _brackets(values: DataFrame, keys: Sequence[str], quantiles: Sequence[float]
         limit = "double('-inf')" if i < count else "double('inf')"
         ends.append(f"IF(FEW, {limit}, ENDS[{i}])" if 0 < p < 1 else limit)
     inner = _sql_array([min(max(p, 0.0), 1.0) for p in wanted])
-    return (
-        values.groupBy(*keys)
-        .agg(
-            F.expr(f"percentile_approx(VALUE, {inner}, {SKETCH_ACCURACY}) AS ENDS"),
-            F.expr(f"count(VALUE) < {SMALL_GROUP} AS FEW"),
-        )
-        .selectExpr(*keys, f"array({', '.join(ends)}) AS ENDS")
-    )
+    return _per_column(
+        df,
+        columns,
+        by,
+        {
+            "ENDS": f"percentile_approx({{x}}, {inner}, {SKETCH_ACCURACY})",
+            "FEW": f"count({{x}}) < {SMALL_GROUP}",
+        },
+    ).selectExpr(*by, "MEASURE", f"array({', '.join(ends)}) AS ENDS")
 
 
 def _condensed_counts(
@@ -140,7 +163,7 @@ def value_summary(
     points = list(quantiles.values())
     values = _long_form(df, columns, by)
     # written once: a sketch may come out differently when a lost task is repeated
-    brackets = checkpointed(_brackets(values, keys, points))
+    brackets = checkpointed(_brackets(df, columns, by, points))
     order = [*[F.asc_nulls_last(k) for k in keys], F.asc_nulls_last("LOWEST")]
     placed = sorted_parts(_condensed_counts(values, brackets, keys, len(points)), order)
 
@@ -240,19 +263,26 @@ def approx_value_summary(
     df: DataFrame, columns: Sequence[str], quantiles: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Same columns as ``value_summary`` with sketched quantiles, in one pass and without a sort."""
-    known = F.col("VALUE").isNotNull()
-    return (
-        _long_form(df, columns, by)
-        .groupBy(*by, "MEASURE")
-        .agg(
-            F.count(F.lit(1)).alias("N_ROWS"),
-            F.count_if(~known).alias("N_MISSING"),
-            F.min("VALUE").alias("MIN_VALUE"),
-            F.avg("VALUE").alias("MEAN_VALUE"),
-            F.max("VALUE").alias("MAX_VALUE"),
-            *[
-                F.percentile_approx("VALUE", float(p), SKETCH_ACCURACY).alias(n)
-                for n, p in quantiles.items()
-            ],
-        )
+    points = _sql_array(list(quantiles.values()))
+    return _per_column(
+        df,
+        columns,
+        by,
+        {
+            "N_ROWS": "count(1)",
+            "N_MISSING": "count_if({x} IS NULL)",
+            "MIN_VALUE": "min({x})",
+            "MEAN_VALUE": "avg({x})",
+            "MAX_VALUE": "max({x})",
+            "POINTS": f"percentile_approx({{x}}, {points}, {SKETCH_ACCURACY})",
+        },
+    ).selectExpr(
+        *by,
+        "MEASURE",
+        "N_ROWS",
+        "N_MISSING",
+        "MIN_VALUE",
+        "MEAN_VALUE",
+        "MAX_VALUE",
+        *[f"POINTS[{i}] AS `{name}`" for i, name in enumerate(quantiles)],
     )

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.nulls import ColumnLike, as_column, n_distinct
+from tessera.functions.nulls import ColumnLike, as_column, n_distinct, null_safe_join
 from tessera.functions.ordered import running_total
 
 
@@ -37,51 +37,73 @@ def distribution(
     return with_share(counts, count).orderBy(F.desc("PERCENT"), F.asc_nulls_last(level_name))
 
 
+def _distinct_ids(df: DataFrame, keys: Sequence[str], counts: dict[str, str]) -> DataFrame:
+    """Distinct (keys, id) rows for each counted column, marked by WHICH column it is.
+
+    Counts at this grain and at coarser ones both come from these rows, so the input is scanned
+    and shuffled once. A NULL id is an id.
+    """
+    columns = list(counts.values())
+    types = {c: df.schema[c].dataType for c in columns}
+    marked = [
+        F.struct(
+            F.lit(i).alias("WHICH"),
+            *[
+                (F.col(c) if i == j else F.lit(None).cast(types[c])).alias(f"ID_{j}")
+                for j, c in enumerate(columns)
+            ],
+        )
+        for i in range(len(columns))
+    ]
+    return df.select(*keys, F.inline(F.array(*marked))).distinct()
+
+
+def _count_ids(ids: DataFrame, by: Sequence[str], counts: dict[str, str]) -> DataFrame:
+    return ids.groupBy(*by).agg(
+        *[F.expr(f"count_if(WHICH = {i})").alias(f"TOT_{n}") for i, n in enumerate(counts)]
+    )
+
+
+def _counts_at(
+    df: DataFrame, fine: Sequence[str], coarse: Sequence[str], counts: dict[str, str], approx: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct counts per ``fine`` and per ``coarse`` keys; they do not add up, so both."""
+    if approx:
+        sketches = [n_distinct(F.col(c), True).alias(f"TOT_{n}") for n, c in counts.items()]
+        return df.groupBy(*fine).agg(*sketches), df.groupBy(*coarse).agg(*sketches)
+    ids = _distinct_ids(df, fine, counts)
+    dropped = [k for k in fine if k not in coarse]
+    return _count_ids(ids, fine, counts), _count_ids(ids.drop(*dropped).distinct(), coarse, counts)
+
+
 def share_of_overall(
     df: DataFrame, by: Sequence[str], counts: dict[str, str], approx: bool = False
 ) -> DataFrame:
     """Distinct counts per group over the overall distinct counts.
 
     ``counts`` maps a suffix to the counted column: ``{"CLIs": "ID_CLI"}`` gives ``TOT_CLIs``
-    and ``PERCENT_CLIs``. An id in several groups counts in each, so shares may exceed 1.
-    Groups and overall counts are two grouping sets of one scan.
+    and ``PERCENT_CLIs``. An id in several groups counts in each, so shares need not sum to 1.
     """
-    measures = [n_distinct(F.col(c), approx).alias(f"TOT_{n}") for n, c in counts.items()]
-    both = df.groupingSets([[F.col(c) for c in by], []], *[F.col(c) for c in by]).agg(
-        *measures, F.grouping(by[0]).alias("__is_overall")
+    groups, overall = _counts_at(df, by, [], counts, approx)
+    return groups.withColumns(
+        {
+            f"PERCENT_{n}": F.try_divide(f"TOT_{n}", overall.select(f"TOT_{n}").scalar())
+            for n in counts
+        }
     )
-    is_overall = F.col("__is_overall") == 1
-    shares = {
-        # a maximum and not a filter, so that the subquery reads the very same shuffle
-        f"PERCENT_{n}": F.try_divide(
-            f"TOT_{n}", both.agg(F.max(F.when(is_overall, F.col(f"TOT_{n}")))).scalar()
-        )
-        for n in counts
-    }
-    return both.withColumns(shares).where(~is_overall).drop("__is_overall")
 
 
 def share_of_parent(
     df: DataFrame, parent: str, child: str, counts: dict[str, str], approx: bool = False
 ) -> DataFrame:
-    """Distinct counts per (parent, child) over the parent's own distinct counts.
-
-    Distinct counts do not add up over children, so both grains are aggregated: as two grouping
-    sets of one scan. The window then only sees one row per (parent, child).
-    """
-    measures = [n_distinct(F.col(c), approx).alias(f"TOT_{n}") for n, c in counts.items()]
-    both = df.groupingSets(
-        [[F.col(parent), F.col(child)], [F.col(parent)]], F.col(parent), F.col(child)
-    ).agg(*measures, F.grouping(child).alias("__is_parent"))
-    family = Window.partitionBy(parent)
-    is_parent = F.col("__is_parent") == 1
-    shares = {
-        f"PERCENT_{n}": F.try_divide(
-            f"TOT_{n}", F.max(F.when(is_parent, F.col(f"TOT_{n}"))).over(family)
-        )
-        for n in counts
-    }
-    return both.withColumns(shares).where(~is_parent).drop("__is_parent")
+    """Distinct counts per (parent, child) over the parent's own distinct counts."""
+    children, parents = _counts_at(df, [parent, child], [parent], counts, approx)
+    totals = parents.withColumnsRenamed({f"TOT_{n}": f"ALL_{n}" for n in counts})
+    return (
+        null_safe_join(children, totals, [parent], "left")
+        .withColumns({f"PERCENT_{n}": F.try_divide(f"TOT_{n}", f"ALL_{n}") for n in counts})
+        .drop(*[f"ALL_{n}" for n in counts])
+    )
 
 
 def share_within(counts: DataFrame, within: str, count: str, share: str = "SHARE") -> DataFrame:
