@@ -147,6 +147,7 @@ def value_summary(
     columns: Sequence[str],
     quantiles: dict[str, float],
     by: Sequence[str] = (),
+    few_rows: bool = False,
 ) -> DataFrame:
     """Exact summary of numeric columns, one row per (``by``, column).
 
@@ -157,10 +158,15 @@ def value_summary(
     intervals are counted one by one and all values between two intervals fall into one row, both
     before the shuffle. Only this short list is sorted to find the ranks. Should a rank ever miss
     its interval, the job fails; it never returns a neighbouring value. ``df`` is read twice.
+
+    ``few_rows`` is for data counted at no more than SMALL_GROUP rows: one aggregate then holds
+    them all.
     """
     by = list(by)
     keys = [*by, "MEASURE"]
     points = list(quantiles.values())
+    if few_rows:
+        return _summary_in_one_aggregate(df, columns, quantiles, by, "percentile({x}, {points})")
     values = _long_form(df, columns, by)
     # written once: a sketch may come out differently when a lost task is repeated
     brackets = checkpointed(_brackets(df, columns, by, points))
@@ -263,6 +269,13 @@ def approx_value_summary(
     df: DataFrame, columns: Sequence[str], quantiles: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Same columns as ``value_summary`` with sketched quantiles, in one pass and without a sort."""
+    sketch = f"percentile_approx({{x}}, {{points}}, {SKETCH_ACCURACY})"
+    return _summary_in_one_aggregate(df, columns, quantiles, by, sketch)
+
+
+def _summary_in_one_aggregate(
+    df: DataFrame, columns: Sequence[str], quantiles: dict[str, float], by: Sequence[str], sql: str
+) -> DataFrame:
     points = _sql_array(list(quantiles.values()))
     return _per_column(
         df,
@@ -274,7 +287,7 @@ def approx_value_summary(
             "MIN_VALUE": "min({x})",
             "MEAN_VALUE": "avg({x})",
             "MAX_VALUE": "max({x})",
-            "POINTS": f"percentile_approx({{x}}, {points}, {SKETCH_ACCURACY})",
+            "POINTS": sql.format(x="{x}", points=points),
         },
     ).selectExpr(
         *by,
@@ -286,3 +299,8 @@ def approx_value_summary(
         "MAX_VALUE",
         *[f"POINTS[{i}] AS `{name}`" for i, name in enumerate(quantiles)],
     )
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has at most SMALL_GROUP rows. Counts it, so give written or small data."""
+    return df.count() <= SMALL_GROUP

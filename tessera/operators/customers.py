@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.nulls import fill_levels, n_distinct
+from tessera.functions.nulls import fill_levels
 from tessera.operators.quality import complete_cases
 
 
@@ -14,20 +14,26 @@ def customer_snapshot(subscriptions: DataFrame, strict_na: bool = False) -> Data
 
     First is the earliest date, then the lowest ID_FID; last is the latest date, then the highest
     ID_FID. Customers without a dated subscription have no row; with ``strict_na`` neither have
-    those with any undated one. Comparing structs gives date, tiebreak and payload in one
-    aggregate, which combines a frequent customer's rows before the shuffle.
+    those with any undated one. Comparing structs gives date, tiebreak and payload at once. The
+    first step is per subscription, so a frequent customer's rows meet only after they are few.
     """
     dated = F.col("DT_ACTIVE").isNotNull()
     last = F.struct("DT_ACTIVE", "ID_FID", "COD_FID", "TYP_CLI_FID", "STATUS_FID")
     first = F.struct("DT_ACTIVE", "ID_FID", "ID_NEG")
     found = (
-        subscriptions.groupBy("ID_CLI")
+        subscriptions.groupBy("ID_CLI", "ID_FID")
         .agg(
             F.max(F.when(dated, last)).alias("LAST"),
             F.min(F.when(dated, first)).alias("FIRST"),
-            n_distinct("ID_FID").alias("NUM_FIDs"),
             F.count_if(~dated).alias("UNDATED"),
         )
+        .groupBy("ID_CLI")
+        .agg(
+            F.max("LAST").alias("LAST"),
+            F.min("FIRST").alias("FIRST"),
+            F.count(F.lit(1)).alias("NUM_FIDs"),
+            F.sum("UNDATED").alias("UNDATED"),
+        )
         .where(F.col("LAST").isNotNull())
     )
     if strict_na:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.distinct import count_ids, distinct_ids
 from tessera.functions.nulls import ColumnLike, as_column, n_distinct, null_safe_join
 from tessera.functions.ordered import running_total
 
@@ -37,33 +38,6 @@ def distribution(
     return with_share(counts, count).orderBy(F.desc("PERCENT"), F.asc_nulls_last(level_name))
 
 
-def _distinct_ids(df: DataFrame, keys: Sequence[str], counts: dict[str, str]) -> DataFrame:
-    """Distinct (keys, id) rows for each counted column, marked by WHICH column it is.
-
-    Counts at this grain and at coarser ones both come from these rows, so the input is scanned
-    and shuffled once. A NULL id is an id.
-    """
-    columns = list(counts.values())
-    types = {c: df.schema[c].dataType for c in columns}
-    marked = [
-        F.struct(
-            F.lit(i).alias("WHICH"),
-            *[
-                (F.col(c) if i == j else F.lit(None).cast(types[c])).alias(f"ID_{j}")
-                for j, c in enumerate(columns)
-            ],
-        )
-        for i in range(len(columns))
-    ]
-    return df.select(*keys, F.inline(F.array(*marked))).distinct()
-
-
-def _count_ids(ids: DataFrame, by: Sequence[str], counts: dict[str, str]) -> DataFrame:
-    return ids.groupBy(*by).agg(
-        *[F.expr(f"count_if(WHICH = {i})").alias(f"TOT_{n}") for i, n in enumerate(counts)]
-    )
-
-
 def _counts_at(
     df: DataFrame, fine: Sequence[str], coarse: Sequence[str], counts: dict[str, str], approx: bool
 ) -> tuple[DataFrame, DataFrame]:
@@ -71,9 +45,10 @@ def _counts_at(
     if approx:
         sketches = [n_distinct(F.col(c), True).alias(f"TOT_{n}") for n, c in counts.items()]
         return df.groupBy(*fine).agg(*sketches), df.groupBy(*coarse).agg(*sketches)
-    ids = _distinct_ids(df, fine, counts)
+    ids = distinct_ids(df, fine, counts)
+    names = [f"TOT_{n}" for n in counts]
     dropped = [k for k in fine if k not in coarse]
-    return _count_ids(ids, fine, counts), _count_ids(ids.drop(*dropped).distinct(), coarse, counts)
+    return count_ids(ids, fine, names), count_ids(ids.drop(*dropped).distinct(), coarse, names)
 
 
 def share_of_overall(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.distinct import count_ids, distinct_ids
 from tessera.functions.nulls import n_distinct
 from tessera.functions.ordered import approx_value_summary, value_summary
 
@@ -81,7 +82,7 @@ def key_check(df: DataFrame, *keys: Sequence[str]) -> DataFrame:
 
 def key_multiplicity(df: DataFrame, key: str, counts: dict[str, str]) -> DataFrame:
     """Per key: distinct values of each counted column, as ``{new column: column}``."""
-    return df.groupBy(key).agg(*[n_distinct(F.col(c)).alias(n) for n, c in counts.items()])
+    return count_ids(distinct_ids(df, [key], counts), [key], list(counts))
 
 
 def multiplicity_distribution(df: DataFrame, key: str, counts: dict[str, str]) -> DataFrame:

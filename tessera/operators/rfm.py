@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.materialize import checkpointed
 from tessera.functions.nulls import n_distinct
-from tessera.functions.ordered import approx_value_summary, value_summary
+from tessera.functions.ordered import approx_value_summary, is_small, value_summary
 
 
 class SegmentRule(NamedTuple):
@@ -79,11 +79,13 @@ def score_edges(
     customers: DataFrame, columns: Sequence[str], bins: int = 5, approx: bool = False
 ) -> dict[str, list[float]]:
     """Inner quantile edges of each column: ``bins - 1`` numbers per column reach the driver."""
-    summarise = approx_value_summary if approx else value_summary
     names = [f"Q{i}" for i in range(1, bins)]
-    rows = summarise(
-        customers, columns, {name: i / bins for i, name in enumerate(names, 1)}
-    ).collect()
+    points = {name: i / bins for i, name in enumerate(names, 1)}
+    if approx:
+        summary = approx_value_summary(customers, columns, points)
+    else:
+        summary = value_summary(customers, columns, points, few_rows=is_small(customers))
+    rows = summary.collect()
     edges = {column: [] for column in columns}
     for row in rows:
         edges[row["MEASURE"]] = [round(row[n], 6) for n in names if row[n] is not None]
@@ -153,13 +155,18 @@ def segment_counts(segments: DataFrame) -> DataFrame:
 
 def segment_medians(segments: DataFrame, approx: bool = False) -> DataFrame:
     """Median amount, transaction count and recency per segment."""
-    summarise = approx_value_summary if approx else value_summary
     measures = {
         "amount": "median_monetary",
         "transaction_count": "median_frequency",
         "recency_days": "median_recency",
     }
-    medians = summarise(segments, list(measures), {"MEDIAN": 0.5}, by=["segment"])
+    half = {"MEDIAN": 0.5}
+    if approx:
+        medians = approx_value_summary(segments, list(measures), half, ["segment"])
+    else:
+        medians = value_summary(
+            segments, list(measures), half, ["segment"], few_rows=is_small(segments)
+        )
     return medians.groupBy("segment").agg(
         *[
             F.max(F.when(F.col("MEASURE") == measure, F.col("MEDIAN"))).alias(name)
