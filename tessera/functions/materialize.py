@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: list[tempfile.TemporaryDirectory] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for reliable checkpoints: the cluster's ``spark.checkpoint.dir``.
 
@@ -20,7 +23,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        folder = tempfile.TemporaryDirectory(prefix="tessera-", ignore_cleanup_errors=True)
+        _local_folders.append(folder)  # removed when the process ends
+        configured = folder.name
     context.setCheckpointDir(configured)
     return configured
 

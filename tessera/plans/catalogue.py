@@ -624,8 +624,13 @@ def q45_split_sizes(spark: SparkSession, directory: str) -> DataFrame:
     return as_long(sizes, "CHURN", "IS_TRAIN")
 
 
+def _split(spark: SparkSession, directory: str) -> DataFrame:
+    # read by every fit and by the scoring
+    return checkpointed(churn.stratified_split(_churn_set(spark, directory)))
+
+
 def _predictions(spark: SparkSession, directory: str, *names: str) -> dict[str, DataFrame]:
-    split = checkpointed(churn.stratified_split(_churn_set(spark, directory)))
+    split = _split(spark, directory)
     train, test = split.where("IS_TRAIN"), split.where("NOT IS_TRAIN")
     fits = {
         "tree": churn.fit_decision_tree,
@@ -656,6 +661,37 @@ def q46_model_accuracy(spark: SparkSession, directory: str) -> DataFrame:
     return evaluation.accuracy_table(predictions, "PREDICTED", "CHURN")
 
 
+@query
+def q46_logistic_coefficients(spark: SparkSession, directory: str) -> DataFrame:
+    return churn.logistic_coefficients(_split(spark, directory).where("IS_TRAIN"))
+
+
+@query
+def q48_model_gain_lift(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers who stay, found by the probability each model gives them to stay."""
+    predictions = _predictions(spark, directory, "tree", "forest", "logistic")
+    return distribution.union_all(
+        *[
+            evaluation.gain_lift(scored, "P_STAY", "CHURN", positive=0).withColumn(
+                "MODEL", F.lit(name)
+            )
+            for name, scored in predictions.items()
+        ]
+    )
+
+
+@query
+def q49_model_auc(spark: SparkSession, directory: str) -> DataFrame:
+    """On predicted classes, for the forest and the tree."""
+    predictions = _predictions(spark, directory, "forest", "tree")
+    return distribution.union_all(
+        *[
+            evaluation.auc(scored, "PREDICTED", "CHURN").withColumn("MODEL", F.lit(name))
+            for name, scored in predictions.items()
+        ]
+    )
+
+
 def _rule_predictions(spark: SparkSession, directory: str) -> DataFrame:
     """Customers with plain rules in the place of a model: who buys often, or for much, stays.
 

@@ -14,6 +14,9 @@ WITHOUT_SQL = {
     "q46_forest_predictions",
     "q46_logistic_predictions",
     "q46_model_accuracy",
+    "q46_logistic_coefficients",
+    "q48_model_gain_lift",
+    "q49_model_auc",
 }
 
 
@@ -42,6 +45,14 @@ def test_model_accuracy(spark):
     assert all(0.5 < r["ACCURACY"] <= 1 for r in found)
 
 
+def test_model_gain_and_auc(spark):
+    gain = QUERIES["q48_model_gain_lift"](spark, DIRECTORY).collect()
+    assert len(gain) == 30
+    assert all(abs(r["GAIN"] - 100) < 1e-9 for r in gain if r["POPULATION"] == 100)
+    area = QUERIES["q49_model_auc"](spark, DIRECTORY).collect()
+    assert all(0 <= r["AUC"] <= 1 for r in area) and len(area) == 2
+
+
 def test_entry(spark):
     found = entry(spark)
     assert found.columns == ["Segment", "Count"] and found.count() > 0
