@@ -25,7 +25,7 @@ def _reactions(events: DataFrame, strict_na: bool) -> DataFrame:
     # repeated rows of an event collapse first; both steps combine rows before their shuffle, so
     # a message that drew very many events does not end up in one task
     single = (
-        events.where(F.col("TYP_EVENT").isin("V", "C", "F"))
+        recode_failures(events.where(F.col("TYP_EVENT").isin("V", "C", "E", "B", "F")))
         .groupBy(*MESSAGE, "TYP_EVENT", "ID_EVENT")
         .agg(
             F.min("EVENT_DATETIME").alias("AT"),
@@ -69,14 +69,14 @@ def email_funnel(events: DataFrame, campaigns: DataFrame, strict_na: bool = Fals
     sends of one message get the same reactions. ``campaigns`` holds one row per ID_CAMP (see
     ``key_check``). With ``strict_na`` one event without a time voids its kind for the message.
     """
-    typed = recode_failures(events)
-    sends = typed.where("TYP_EVENT = 'S'").select(
+    # both branches filter on the type as stored, so the filter reaches the file scan
+    sends = events.where("TYP_EVENT = 'S'").select(
         F.col("ID_EVENT").alias("ID_EVENT_S"),
         *MESSAGE,
         F.to_date("EVENT_DATETIME").alias("SEND_DATE"),
     )
     types = campaigns.select("ID_CAMP", "TYP_CAMP")
-    with_reactions = null_safe_join(sends, _reactions(typed, strict_na), MESSAGE, "left")
+    with_reactions = null_safe_join(sends, _reactions(events, strict_na), MESSAGE, "left")
     kept = with_reactions.where(
         (F.col("OPEN_DATE").isNull() | (F.col("SEND_DATE") <= F.col("OPEN_DATE")))
         & (F.col("CLICK_DATE").isNull() | (F.col("OPEN_DATE") <= F.col("CLICK_DATE")))

@@ -137,3 +137,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_extendedprice" not in text and "o_totalprice" not in text
     label = QUERIES["q44_churn_labels"](spark, DIRECTORY)
     assert "o_orderdate" in re.search(r"PushedFilters: \[[^\]]*o_orderdate[^\]]*\]", plan(label)).group(0)
+
+
+def test_event_type_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.range(100).selectExpr(
+        "id AS ID_EVENT", "id % 9 AS ID_CLI", "1L AS ID_CAMP", "1L AS ID_DELIVERY",
+        "IF(id % 2 = 0, 'S', 'V') AS TYP_EVENT", "TIMESTAMP'2018-05-01 00:00:00' AS EVENT_DATETIME",
+    ).write.parquet(path)
+    types = spark.createDataFrame([(1, "PROMO")], "ID_CAMP long, TYP_CAMP string")
+    text = plan(campaigns.email_funnel(spark.read.parquet(path), types))
+    assert "EqualTo(TYP_EVENT,S)" in text and "In(TYP_EVENT, [" in text
