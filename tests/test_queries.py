@@ -4,9 +4,10 @@ import pytest
 from compare import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tessera.plans.catalogue import QUERIES
+from tessera.plans.oracles import ORACLES
 
 DIRECTORY = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
 # Joins of every row with every row, and rows handed to Python.
 UNWANTED = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas"]
 WITHOUT_SQL = {
@@ -25,6 +26,10 @@ def connection():
     return connect(DIRECTORY)
 
 
+def test_entry_lists_every_query():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
 def test_every_query_but_the_models_has_sql():
     assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
     assert set(ORACLES) <= set(QUERIES)
