@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ def _kinds() -> np.ndarray:
 
 KIND = _kinds()
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.int64)
-FEATURES = KINDS + KINDS * KINDS + LETTER_PAIRS + 2
+FEATURES = KINDS + KINDS * KINDS + LETTER_PAIRS + 4
 
 
 def passages(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,7 +44,11 @@ def passages(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encoded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A feature row per passage: shares of byte kinds, of pairs of kinds and of letter pairs, length."""
+    """A feature row per passage.
+
+    Shares of byte kinds, of pairs of kinds, of letter pairs and of repeated bytes, the share of
+    distinct words and of words that repeat the one before, and the length.
+    """
     found = np.zeros((len(start), FEATURES), dtype=np.float32)
     size = end - start
     if not len(start):
@@ -65,6 +70,12 @@ def encoded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     letters = ((folded[:-1] * 37 + folded[1:]) % LETTER_PAIRS)[inner]
     shape = len(size) * LETTER_PAIRS
     found[:, at : at + LETTER_PAIRS] = np.bincount(owner * LETTER_PAIRS + letters, minlength=shape).reshape(-1, LETTER_PAIRS) / n
+    plain = part.tobytes()
+    for row, (a, b) in enumerate(zip((start - base).tolist(), (end - base).tolist(), strict=True)):
+        words = plain[a:b].split()
+        if words:
+            found[row, -4] = len(set(words)) / len(words)
+            found[row, -3] = sum(map(eq, words, words[1:])) / len(words)
     found[:, -2] = np.bincount(owner, part[1:][inner] == part[:-1][inner], minlength=len(size)) / n[:, 0]
     found[:, -1] = size / PASSAGE
     return found
@@ -122,9 +133,9 @@ def _pooled(h: np.ndarray, e: np.ndarray, text: np.ndarray, first: np.ndarray) -
 
 
 def trained(
-    data: np.ndarray, sizes: np.ndarray, labels: np.ndarray, hidden: int = 16, epochs: int = 12, seed: int = 7
+    data: np.ndarray, sizes: np.ndarray, labels: np.ndarray, hidden: int = 16, steps: int = 600, batch: int = 64, seed: int = 7
 ) -> GatedAttention:
-    """A network fitted to document labels (0 to 1) by Adam on the cross-entropy of small batches."""
+    """A network fitted to document labels (0 to 1) by ``steps`` of Adam on the cross-entropy of batches."""
     text, start, end = passages(sizes)
     x = np.concatenate([encoded(data, start[k : k + ENCODED], end[k : k + ENCODED]) for k in range(0, len(text), ENCODED)])
     mean, scale = x.mean(axis=0), 1 / (x.std(axis=0) + 1e-2)
@@ -135,24 +146,24 @@ def trained(
     weights[6], weights[8] = random.normal(0, 0.3, hidden), random.normal(0, 0.3, hidden)
     rate = np.clip(labels.mean(), 0.01, 0.99)
     weights[7][0] = np.log(rate / (1 - rate))
-    slope, square, step = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], 0
+    slope, square = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
     begin = np.flatnonzero(np.diff(text, prepend=-1))
     count = np.diff(begin, append=len(text))
-    for _ in range(epochs):
-        order = random.permutation(len(sizes))
-        for at in range(0, len(order), 64):
-            docs = order[at : at + 64]
-            own = np.repeat(np.arange(len(docs)), count[docs])
-            first = np.cumsum(count[docs]) - count[docs]
-            rows = begin[docs][own] + np.arange(len(own)) - first[own]
-            step += 1
-            grads = _gradients(tuple(weights), x[rows], labels[docs], own, first)
-            for k, g in enumerate(grads):
-                g = g + 1e-4 * weights[k]
-                slope[k] = 0.9 * slope[k] + 0.1 * g
-                square[k] = 0.999 * square[k] + 0.001 * g * g
-                move = slope[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
-                weights[k] = weights[k] - 0.005 * move
+    waiting = np.empty(0, dtype=np.int64)
+    for step in range(1, steps + 1):
+        if len(waiting) < batch:
+            waiting = np.concatenate((waiting, random.permutation(len(sizes))))
+        docs, waiting = waiting[:batch], waiting[batch:]
+        own = np.repeat(np.arange(len(docs)), count[docs])
+        first = np.cumsum(count[docs]) - count[docs]
+        rows = begin[docs][own] + np.arange(len(own)) - first[own]
+        grads = _gradients(tuple(weights), x[rows], labels[docs], own, first)
+        for k, g in enumerate(grads):
+            g = g + 1e-4 * weights[k]
+            slope[k] = 0.9 * slope[k] + 0.1 * g
+            square[k] = 0.999 * square[k] + 0.001 * g * g
+            move = slope[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
+            weights[k] = weights[k] - 0.005 * move
     return GatedAttention(mean, scale, tuple(weights))
 
 
