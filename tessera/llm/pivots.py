@@ -15,6 +15,8 @@ from tessera.llm.vectors import matrix, usable
 
 #: Members of an inverted list that one task compares with as many others.
 BLOCK = 1024
+#: Vectors from which one reference point is chosen.
+SAMPLED = 4
 #: Candidate pairs verified at once.
 VERIFIED = 1 << 16
 
@@ -28,6 +30,19 @@ def pivot_orders(values: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-(unit_rows(values) @ pivots.T), axis=1, kind="stable")[:, :k]
 
 
+def spread_points(points: np.ndarray, count: int) -> np.ndarray:
+    """``count`` of the unit vectors ``points``, each next one farthest from those before.
+
+    So a group of near copies, however large, gives few reference points.
+    """
+    chosen = [0]
+    nearest = points @ points[0]
+    while len(chosen) < min(count, len(points)):
+        chosen.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, points @ points[chosen[-1]])
+    return points[chosen]
+
+
 def vector_classes(rows: DataFrame, vector: str, label: str, vec_id: str) -> DataFrame:
     """(row, label, vector, copies, least): usable, labelled vectors, equal ones of a label once."""
     nonzero = F.exists(F.col(vector), lambda x: x != 0)
@@ -39,12 +54,12 @@ def vector_classes(rows: DataFrame, vector: str, label: str, vec_id: str) -> Dat
 
 
 def near_links(
-    classes: DataFrame, least: float = 0.98, pivots: int = 128, k: int = 16, shared: int = 8
+    classes: DataFrame, least: float = 0.98, pivots: int = 128, k: int = 16, shared: int = 9
 ) -> DataFrame:
     """(row, n, root): link counts and links that join the groups of `vector_classes`.
 
-    Every vector is described by its ``k`` nearest of ``pivots`` reference points, which are the
-    vectors with the smallest hashes. Inverted lists hold, per label and pivot, the vectors that
+    Every vector is described by its ``k`` nearest of ``pivots`` reference points, which lie farthest
+    apart among the ``SAMPLED`` times as many vectors with the smallest hashes. Inverted lists hold, per label and pivot, the vectors that
     have the pivot among their first ones, in order of rarity: two vectors that share ``shared`` of
     ``k`` pivots meet in a list of one of their ``k - shared + 1`` rarest. Where they meet for the
     first time, the pivots they share are counted, and pairs with enough are verified by cosine.
@@ -53,7 +68,7 @@ def near_links(
     length spreads over many tasks. A task returns, per vector, how many vectors it found and one
     link, which suffices for the groups: pairs are never written out.
     """
-    ids = classes.orderBy(F.xxhash64("vector"), "row").limit(pivots).select("vector").collect()
+    ids = classes.orderBy(F.xxhash64("vector"), "row").limit(SAMPLED * pivots).select("vector").collect()
     if not ids:
         return classes.sparkSession.createDataFrame([], "row long, n long, root long")
     # Vectors that end early count as zero beyond.
@@ -61,7 +76,7 @@ def near_links(
     points = np.zeros((len(ids), width))
     for i, r in enumerate(ids):
         points[i, : len(r[0])] = r[0]
-    points = unit_rows(points)
+    points = spread_points(unit_rows(points), pivots)
     k = min(k, len(points))
     shared = min(shared, k)
 
@@ -144,7 +159,7 @@ def near_duplicate_vectors(
     least: float = 0.98,
     pivots: int = 128,
     k: int = 16,
-    shared: int = 8,
+    shared: int = 9,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
