@@ -25,11 +25,6 @@ def n_distinct(column: ColumnLike, approx: bool = False) -> Column:
     return F.count_distinct(F.struct(value))
 
 
-def if_else(condition: Column, yes: Column, no: Column) -> Column:
-    """``when`` that yields NULL, not ``no``, on a NULL condition."""
-    return F.when(condition, yes).when(~condition, no)
-
-
 def null_safe_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:

@@ -17,7 +17,8 @@ from tessera.functions.nulls import null_safe_join
 
 _PART = "__part"
 SKETCH_ACCURACY = 10000
-SMALL_GROUP = 100_000
+# Half widths, as shares of the rows, of the intervals sketched around a quantile.
+REACHES = (5 / SKETCH_ACCURACY, 0.01, 0.1)
 
 
 def sorted_parts(df: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -91,31 +92,32 @@ def _per_column(
 
 
 def _brackets(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str], quantiles: Sequence[float]
+    df: DataFrame, columns: Sequence[str], by: Sequence[str], quantiles: Sequence[float], level: int
 ) -> DataFrame:
-    """Per group, an interval of values around each quantile that is sure to contain it.
+    """Per group, an interval of values around each quantile that is meant to contain it.
 
     Column ENDS holds the lower ends, then the upper ends. A sketch of accuracy 10000 misses a
-    rank by at most N/10000; the intervals reach five times as far. In groups below 100,000 rows
-    they cover everything.
+    rank by at most N/10000; the narrowest interval reaches five times as far. A group takes the
+    narrowest one, from ``level`` on, that also reaches over two of its ranks, and everything if
+    there is none.
     """
-    reach = 5.0 / SKETCH_ACCURACY
-    count = len(quantiles)
-    wanted = [p - reach for p in quantiles] + [p + reach for p in quantiles]
-    ends = []
-    for i, p in enumerate(wanted):
-        limit = "double('-inf')" if i < count else "double('inf')"
-        ends.append(f"IF(FEW, {limit}, ENDS[{i}])" if 0 < p < 1 else limit)
-    inner = _sql_array([min(max(p, 0.0), 1.0) for p in wanted])
-    return _per_column(
-        df,
-        columns,
-        by,
-        {
-            "ENDS": f"percentile_approx({{x}}, {inner}, {SKETCH_ACCURACY})",
-            "FEW": f"count({{x}}) < {SMALL_GROUP}",
-        },
-    ).selectExpr(*by, "MEASURE", f"array({', '.join(ends)}) AS ENDS")
+    reaches = REACHES[level:]
+    aggregates = {"N_VALUES": "count({x})"}
+    lows, highs = [], []
+    for i, p in enumerate(quantiles):
+        for ends, sign, limit in ((lows, -1, "double('-inf')"), (highs, 1, "double('inf')")):
+            cases = []
+            for k, reach in enumerate(reaches):
+                at = p + sign * reach
+                end = f"ENDS[{(2 * i + (sign > 0)) * len(reaches) + k}]" if 0 < at < 1 else limit
+                cases.append(f"WHEN N_VALUES * {reach!r}D >= 2 THEN {end}")
+            ends.append(f"CASE {' '.join(cases)} ELSE {limit} END" if cases else limit)
+    wanted = [p + sign * r for p in quantiles for sign in (-1, 1) for r in reaches]
+    if wanted:
+        inner = _sql_array([min(max(p, 0.0), 1.0) for p in wanted])
+        aggregates["ENDS"] = f"percentile_approx({{x}}, {inner}, {SKETCH_ACCURACY})"
+    sketched = _per_column(df, columns, by, aggregates)
+    return sketched.selectExpr(*by, "MEASURE", f"array({', '.join(lows + highs)}) AS ENDS")
 
 
 def _condensed_counts(
@@ -129,7 +131,7 @@ def _condensed_counts(
     inside = " OR ".join(f"VALUE BETWEEN {low} AND {high}" for low, high in pairs)
     gap = " + ".join(f"CAST(VALUE >= {low} AS INT)" for low, _ in pairs)
     return (
-        null_safe_join(values, brackets, keys, "left")
+        null_safe_join(values, brackets, keys)
         .selectExpr(*keys, "VALUE", f"IF({inside}, VALUE, NULL) AS SINGLE", f"{gap} AS GAP")
         .groupBy(*keys, "GAP", "SINGLE")
         .agg(
@@ -143,11 +145,7 @@ def _condensed_counts(
 
 
 def value_summary(
-    df: DataFrame,
-    columns: Sequence[str],
-    quantiles: dict[str, float],
-    by: Sequence[str] = (),
-    few_rows: bool = False,
+    df: DataFrame, columns: Sequence[str], quantiles: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact summary of numeric columns, one row per (``by``, column).
 
@@ -156,20 +154,43 @@ def value_summary(
 
     A first pass sketches an interval around each quantile. In the second pass values inside the
     intervals are counted one by one and all values between two intervals fall into one row, both
-    before the shuffle. Only this short list is sorted to find the ranks. Should a rank ever miss
-    its interval, the job fails; it never returns a neighbouring value. ``df`` is read twice.
-
-    ``few_rows`` is for data counted at no more than SMALL_GROUP rows: one aggregate then holds
-    them all.
+    before the shuffle. Only this short list is sorted to find the ranks. Should a rank miss its
+    interval, the groups it happened to are searched again with wider intervals, in the end with
+    one that holds everything; a neighbouring value is never returned. The columns needed are
+    written once, since both passes read them.
     """
     by = list(by)
     keys = [*by, "MEASURE"]
+    once = checkpointed(df.select(*dict.fromkeys([*by, *columns])))
+    found = checkpointed(_ranked(once, columns, quantiles, by, 0, None))
+    for level in range(1, len(REACHES) + 1):
+        missed = found.where("MISSED").select(*keys)
+        if missed.isEmpty():
+            break
+        again = _ranked(once, columns, quantiles, by, level, missed)
+        found = checkpointed(found.where("NOT MISSED").unionByName(again))
+    return found.drop("MISSED")
+
+
+def _ranked(
+    df: DataFrame,
+    columns: Sequence[str],
+    quantiles: dict[str, float],
+    by: list[str],
+    level: int,
+    only: DataFrame | None,
+) -> DataFrame:
+    """The summary by intervals of ``level``, of the groups ``only`` if given, and who MISSED."""
+    keys = [*by, "MEASURE"]
     points = list(quantiles.values())
-    if few_rows:
-        return _summary_in_one_aggregate(df, columns, quantiles, by, "percentile({x}, {points})")
     values = _long_form(df, columns, by)
     # written once: a sketch may come out differently when a lost task is repeated
-    brackets = checkpointed(_brackets(df, columns, by, points))
+    brackets = checkpointed(_brackets(df, columns, by, points, level))
+    if only is not None:
+        brackets = null_safe_join(brackets, only, keys)
+    if not by:
+        # one row per column
+        brackets = F.broadcast(brackets)
     order = [*[F.asc_nulls_last(k) for k in keys], F.asc_nulls_last("LOWEST")]
     placed = sorted_parts(_condensed_counts(values, brackets, keys, len(points)), order)
 
@@ -232,14 +253,12 @@ def value_summary(
         )
         .withColumn(
             "EXACT",
-            F.expr(
-                "CASE WHEN size(HITS) = 0 THEN NULL WHEN LOWEST = HIGHEST THEN LOWEST"
-                " ELSE raise_error('a quantile lies outside the interval sketched for it') END"
-            ),
+            F.expr("IF(size(HITS) > 0 AND LOWEST = HIGHEST, LOWEST, NULL)"),
         )
         .groupBy(*keys)
         .agg(
             *[F.expr(f"max({c}) AS {c}") for c in same],
+            F.expr("max(size(HITS) > 0 AND LOWEST < HIGHEST) AS MISSED"),
             # two entries per quantile
             F.expr(
                 "map_from_entries(flatten(collect_list(IF(size(HITS) = 0, NULL,"
@@ -262,6 +281,7 @@ def value_summary(
         "try_divide(SUM_VALUE, N_KNOWN) AS MEAN_VALUE",
         "MAX_VALUE",
         *results,
+        "coalesce(MISSED, false) AS MISSED",
     )
 
 
@@ -299,8 +319,3 @@ def _summary_in_one_aggregate(
         "MAX_VALUE",
         *[f"POINTS[{i}] AS `{name}`" for i, name in enumerate(quantiles)],
     )
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` has at most SMALL_GROUP rows. Counts it, so give written or small data."""
-    return df.count() <= SMALL_GROUP

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.nulls import ColumnLike, as_column
 
-# The two text forms of a timestamp, with the length of each.
-EVENT_TIME = ("yyyy-MM-dd'T'HH:mm:ss", 19)
-TICKET_TIME = ("yyyy-MM-dd'T'HHmmss", 17)
+# The two text forms of a timestamp.
+EVENT_TIME = "yyyy-MM-dd'T'HH:mm:ss"
+TICKET_TIME = "yyyy-MM-dd'T'HHmmss"
+# A fraction of up to nine digits and a zone may follow either form.
+FRACTION_AND_ZONE = "[.SSSSSSSSS][XXX]"
 
 
-def parse_timestamp(column: ColumnLike, form: tuple[str, int] = EVENT_TIME) -> Column:
-    """Text to timestamp; text behind the known form (fractions, zone) is ignored."""
-    pattern, length = form
-    return F.try_to_timestamp(F.substring(as_column(column), 1, length), F.lit(pattern))
+def parse_timestamp(column: ColumnLike, form: str = EVENT_TIME) -> Column:
+    """Whole text to timestamp, in the session's zone unless the text names one; else NULL."""
+    return F.try_to_timestamp(as_column(column), F.lit(form + FRACTION_AND_ZONE))
 
 
 def parse_date(column: ColumnLike, pattern: str = "yyyy-MM-dd") -> Column:

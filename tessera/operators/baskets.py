@@ -90,7 +90,7 @@ def association_rules(
     transactions: DataFrame,
     min_support: float = 0.001,
     min_confidence: float = 0.8,
-    max_length: int = 10,
+    max_length: int | None = None,
 ) -> DataFrame:
     """Rules with one item on the right-hand side.
 
@@ -104,7 +104,10 @@ def association_rules(
         itemsCol="items", minSupport=min_support, minConfidence=min_confidence
     ).fit(mined)
     total = mined.agg(F.count(F.lit(1))).scalar()
-    rules = model.associationRules.where(F.size("antecedent") < max_length).select(
+    rules = model.associationRules
+    if max_length is not None:
+        rules = rules.where(F.size("antecedent") < max_length)
+    rules = rules.select(
         F.array_sort("antecedent").alias("antecedent"),
         "consequent",
         "support",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -11,7 +16,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.nulls import null_safe_join
@@ -22,27 +27,34 @@ NUMERIC_FEATURES = FEATURES[1:]
 SPLIT_BUCKETS = 4096
 
 
-def active_customers(tickets: DataFrame, start: str, end: str) -> DataFrame:
-    """Customers with a line of positive amount strictly between the two dates."""
+def active_line(start: str, end: str) -> Column:
+    """Whether a line has a positive amount and lies strictly between the two dates."""
     return (
-        tickets.where(
-            (F.col("IMPORTO_LORDO") > 0)
-            & (F.col("TIC_DATE") > F.lit(start).cast("date"))
-            & (F.col("TIC_DATE") < F.lit(end).cast("date"))
-        )
-        .select("ID_CLI")
-        .distinct()
-        .withColumn("CHURN", F.lit(0))
+        (F.col("IMPORTO_LORDO") > 0)
+        & (F.col("TIC_DATE") > F.lit(start).cast("date"))
+        & (F.col("TIC_DATE") < F.lit(end).cast("date"))
     )
 
 
+def active_customers(tickets: DataFrame, start: str, end: str) -> DataFrame:
+    """Customers with an active line between the two dates."""
+    active = tickets.where(active_line(start, end)).select("ID_CLI").distinct()
+    return active.withColumn("CHURN", F.lit(0))
+
+
 def label_churn(
     segments: DataFrame,
-    tickets: DataFrame,
+    tickets: DataFrame | None = None,
     start: str = "2018-10-01",
     end: str = "2019-01-01",
 ) -> DataFrame:
-    """Features of each scored customer with CHURN 0 if active in the window, else 1."""
+    """Features of each scored customer with CHURN 0 if active in the window, else 1.
+
+    Where ``segments`` has CHURN already, as from ``rfm_customer_table`` with ``active``, the
+    tickets are not read again.
+    """
+    if "CHURN" in segments.columns:
+        return segments.select(F.col("customer_id").alias("ID_CLI"), *FEATURES, "CHURN")
     customers = segments.select(F.col("customer_id").alias("ID_CLI"), *FEATURES)
     labelled = null_safe_join(customers, active_customers(tickets, start, end), ["ID_CLI"], "left")
     return labelled.fillna({"CHURN": 1})
@@ -97,24 +109,30 @@ def _labelled(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit_decision_tree(
-    train: DataFrame, label: str = "CHURN", max_depth: int = 5, min_rows: int = 7, seed: int = 42
+    train: DataFrame,
+    label: str = "CHURN",
+    max_depth: int = 30,
+    min_rows: int = 1,
+    min_gain: float = 0.0,
+    seed: int = 42,
 ) -> PipelineModel:
     """Gini tree; ``stages[-1].toDebugString`` lists its splits.
 
-    Small and useless splits are avoided by ``min_rows`` per leaf and a minimum gain.
+    It grows to depth 30, the deepest the learner allows; ``min_rows`` per leaf and ``min_gain``
+    stop it earlier.
     """
     tree = DecisionTreeClassifier(
         impurity="gini",
         maxDepth=max_depth,
         minInstancesPerNode=min_rows,
-        minInfoGain=0.001,
+        minInfoGain=min_gain,
         seed=seed,
     )
     return Pipeline(stages=[*_features(False), tree]).fit(_labelled(train, label))
 
 
 def fit_random_forest(
-    train: DataFrame, label: str = "CHURN", trees: int = 100, max_depth: int = 10, seed: int = 42
+    train: DataFrame, label: str = "CHURN", trees: int = 100, max_depth: int = 30, seed: int = 42
 ) -> PipelineModel:
     forest = RandomForestClassifier(
         numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed
@@ -122,27 +140,80 @@ def fit_random_forest(
     return Pipeline(stages=[*_features(False), forest]).fit(_labelled(train, label))
 
 
-def fit_logistic(train: DataFrame, label: str = "CHURN", max_iter: int = 100) -> PipelineModel:
+def fit_logistic(
+    train: DataFrame, label: str = "CHURN", max_iter: int = 100, weight: str | None = None
+) -> PipelineModel:
     """Unpenalised logistic regression on the one-hot segment and the three measures."""
-    model = LogisticRegression(regParam=0.0, maxIter=max_iter)
+    weights = {"weightCol": weight} if weight else {}
+    model = LogisticRegression(regParam=0.0, maxIter=max_iter, tol=1e-9, **weights)
     return Pipeline(stages=[*_features(True), model]).fit(_labelled(train, label))
 
 
-def fit_models(train: DataFrame, label: str = "CHURN") -> dict[str, PipelineModel]:
-    """The three classifiers, by name."""
-    return {
-        "tree": fit_decision_tree(train, label),
-        "forest": fit_random_forest(train, label),
-        "logistic": fit_logistic(train, label),
-    }
-
-
 def importances(model: PipelineModel) -> dict[str, float]:
     """Importance of each feature of a fitted tree or forest."""
     values = model.stages[-1].featureImportances.toArray()
     return {name: float(v) for name, v in zip(FEATURES, values)}
 
 
+def importance_table(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """``importances`` as rows: one per feature."""
+    return df.sparkSession.createDataFrame(
+        list(importances(model).items()), "FEATURE string, IMPORTANCE double"
+    )
+
+
+def tree_sizes(
+    train: DataFrame, test: DataFrame, depths: Sequence[int], label: str = "CHURN"
+) -> DataFrame:
+    """Leaves, and share of wrong predictions on both sets, of a tree per depth."""
+    found = []
+    for depth in depths:
+        model = fit_decision_tree(train, label, max_depth=depth)
+        tree = model.stages[-1]
+        errors = [_error(predict(model, df, "tree", label=label), label) for df in (train, test)]
+        found.append((depth, tree.depth, (tree.numNodes + 1) // 2, *errors))
+    return train.sparkSession.createDataFrame(
+        found,
+        "MAX_DEPTH int, DEPTH int, LEAVES int, TRAIN_ERROR double, TEST_ERROR double",
+    )
+
+
+def _error(predicted: DataFrame, label: str) -> float | None:
+    wrong = F.avg((F.col("PREDICTED") != F.col(label)).cast("double"))
+    return predicted.agg(wrong).first()[0]
+
+
+def resampled_accuracy(
+    train: DataFrame,
+    resamples: int = 25,
+    label: str = "CHURN",
+    id_column: str = "ID_CLI",
+    seed: int = 42,
+) -> DataFrame:
+    """Accuracy of the logistic model on what each resample with replacement leaves out.
+
+    A resample is a Poisson(1) weight per row, drawn from a hash of id, seed and number, so no row
+    is copied and every run draws the same; rows of weight 0 are left out.
+    """
+    found = []
+    for number in range(resamples):
+        drawn = F.xxhash64(F.lit(seed), F.lit(number), F.col(id_column))
+        uniform = F.pmod(drawn, F.lit(1 << 40)) / F.lit(float(1 << 40))
+        limits, term, total = [], math.exp(-1.0), 0.0
+        for k in range(1, 18):
+            total += term
+            limits.append(total)
+            term /= k
+        weight = reduce(add, [(uniform >= limit).cast("int") for limit in limits])
+        weighted = train.withColumn("__weight", weight.cast("double"))
+        model = fit_logistic(weighted.where("__weight > 0"), label, weight="__weight")
+        left_out = predict(model, weighted.where("__weight = 0"), "logistic", id_column, label)
+        hit = F.avg((F.col("PREDICTED") == F.col(label)).cast("double"))
+        rows, accuracy = left_out.agg(F.count(F.lit(1)), hit).first()
+        found.append((number, rows, accuracy))
+    return train.sparkSession.createDataFrame(found, "RESAMPLE int, LEFT_OUT long, ACCURACY double")
+
+
 def logistic_coefficients(
     train: DataFrame, label: str = "CHURN", reg_param: float = 0.0
 ) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,54 +28,38 @@ SINGLE_HOLIDAYS = ("1999-12-31",)
 SUNDAY, FRIDAY, SATURDAY = 1, 6, 7
 
 
-def easter_sundays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """Gregorian Easter Sunday per year (the anonymous computus), in integer arithmetic."""
-    return (
-        spark.range(first_year, last_year + 1)
-        .selectExpr("CAST(id AS INT) AS Y")
-        .selectExpr("Y", "Y % 19 AS GOLDEN", "Y div 100 AS CENTURY", "Y % 100 AS REST")
-        .withColumn(
-            "MOON",
-            F.expr(
-                "(19 * GOLDEN + CENTURY - CENTURY div 4"
-                " - (CENTURY - (CENTURY + 8) div 25 + 1) div 3 + 15) % 30"
-            ),
-        )
-        .withColumn(
-            "TO_SUNDAY",
-            F.expr("(32 + 2 * (CENTURY % 4) + 2 * (REST div 4) - MOON - REST % 4) % 7"),
-        )
-        .withColumn("LATE", F.expr("(GOLDEN + 11 * MOON + 22 * TO_SUNDAY) div 451"))
-        .withColumn("MARCH_DAY", F.expr("MOON + TO_SUNDAY - 7 * LATE + 22"))
-        .selectExpr(
-            "Y AS HOLIDAY_YEAR",
-            "date_add(make_date(Y, 3, 1), CAST(MARCH_DAY - 1 AS INT)) AS EASTER_SUNDAY",
-        )
-    )
+def _div(a: Column, b: int) -> Column:
+    return F.floor(a / b).cast("int")
 
 
-def italian_holidays(
-    spark: SparkSession, first_year: int = 1900, last_year: int = 2199
-) -> DataFrame:
-    """One row HOLIDAY_DATE per public holiday: at most a dozen per year."""
-    easter = easter_sundays(spark, first_year, last_year)
-    rules = F.array(
-        *[
-            F.when(
-                F.col("HOLIDAY_YEAR") >= since,
-                F.make_date("HOLIDAY_YEAR", F.lit(month), F.lit(day)),
-            )
-            for month, day, since in FIXED_HOLIDAYS
-        ],
-        F.date_add("EASTER_SUNDAY", 1),
-        *[
-            F.when(F.col("HOLIDAY_YEAR") == F.year(F.lit(d)), F.to_date(F.lit(d)))
-            for d in SINGLE_HOLIDAYS
-        ],
+def easter_sunday(year: Column) -> Column:
+    """Gregorian Easter Sunday of a year (the anonymous computus), in integer arithmetic."""
+    golden, century, rest = year % 19, _div(year, 100), year % 100
+    moved = _div(century - _div(century + 8, 25) + 1, 3)
+    moon = (19 * golden + century - _div(century, 4) - moved + 15) % 30
+    to_sunday = (32 + 2 * (century % 4) + 2 * _div(rest, 4) - moon - rest % 4) % 7
+    late = _div(golden + 11 * moon + 22 * to_sunday, 451)
+    march_day = moon + to_sunday - 7 * late + 22
+    return F.date_add(F.make_date(year, F.lit(3), F.lit(1)), (march_day - 1).cast("int"))
+
+
+def is_italian_holiday(date: Column) -> Column:
+    """Whether a date of any year is a public holiday, from the date alone; NULL for no date."""
+    year, month, day = F.year(date), F.month(date), F.dayofmonth(date)
+    fixed = [(month == m) & (day == d) & (year >= since) for m, d, since in FIXED_HOLIDAYS]
+    single = [date == F.lit(d).cast("date") for d in SINGLE_HOLIDAYS]
+    easter_monday = date == F.date_add(easter_sunday(year), 1)
+    return reduce(or_, [*fixed, *single, easter_monday])
+
+
+def italian_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """One row HOLIDAY_DATE per public holiday of the years given, for reports."""
+    days = F.sequence(
+        F.make_date(F.lit(first_year), F.lit(1), F.lit(1)),
+        F.make_date(F.lit(last_year), F.lit(12), F.lit(31)),
     )
-    dates = easter.select(F.explode(rules).alias("HOLIDAY_DATE"))
-    # 25 April can also be an Easter Monday
-    return dates.where("HOLIDAY_DATE IS NOT NULL").distinct()
+    dates = spark.range(1).select(F.explode(days).alias("HOLIDAY_DATE"))
+    return dates.where(is_italian_holiday(F.col("HOLIDAY_DATE")))
 
 
 def classify_day(
@@ -87,20 +73,19 @@ def classify_day(
 
     The defaults keep the reported figures: the weekend is Friday and Saturday, and the business
     calendar counts Saturday and Sunday as holidays, so Sundays are typed ``holiday``. For the
-    calendar meaning pass ``weekend=(1, 7), weekend_is_holiday=False``.
+    calendar meaning pass ``weekend=(1, 7), weekend_is_holiday=False``. Holidays follow from the
+    date itself, in any year, unless a table ``holidays`` (HOLIDAY_DATE) is given.
     """
-    if holidays is None:
-        # generated here for 300 years, some 3300 rows whatever the size of df
-        known = F.broadcast(italian_holidays(df.sparkSession))
-    else:
-        known = holidays.select("HOLIDAY_DATE").distinct()
     number = F.dayofweek(date)
-    holiday: Column = F.col("HOLIDAY_DATE").isNotNull()
+    holiday = is_italian_holiday(F.col(date))
+    if holidays is not None:
+        known = holidays.select("HOLIDAY_DATE").distinct()
+        df = df.join(known, F.col(date) == F.col("HOLIDAY_DATE"), "left")
+        holiday = F.col("HOLIDAY_DATE").isNotNull()
     if weekend_is_holiday:
         holiday = holiday | number.isin(SUNDAY, SATURDAY)
     return (
-        df.join(known, F.col(date) == F.col("HOLIDAY_DATE"), "left")
-        .withColumns(
+        df.withColumns(
             {
                 f"{date}_WEEKDAY": number,
                 f"{date}_HOLIDAY": F.when(F.col(date).isNotNull(), holiday),

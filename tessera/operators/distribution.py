@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.distinct import count_ids, distinct_ids
+from tessera.functions.distinct import counts_at_two_grains
 from tessera.functions.nulls import ColumnLike, as_column, n_distinct, null_safe_join
 from tessera.functions.ordered import running_total
 
@@ -38,19 +38,6 @@ def distribution(
     return with_share(counts, count).orderBy(F.desc("PERCENT"), F.asc_nulls_last(level_name))
 
 
-def _counts_at(
-    df: DataFrame, fine: Sequence[str], coarse: Sequence[str], counts: dict[str, str], approx: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Distinct counts per ``fine`` and per ``coarse`` keys; they do not add up, so both."""
-    if approx:
-        sketches = [n_distinct(F.col(c), True).alias(f"TOT_{n}") for n, c in counts.items()]
-        return df.groupBy(*fine).agg(*sketches), df.groupBy(*coarse).agg(*sketches)
-    ids = distinct_ids(df, fine, counts)
-    names = [f"TOT_{n}" for n in counts]
-    dropped = [k for k in fine if k not in coarse]
-    return count_ids(ids, fine, names), count_ids(ids.drop(*dropped).distinct(), coarse, names)
-
-
 def share_of_overall(
     df: DataFrame, by: Sequence[str], counts: dict[str, str], approx: bool = False
 ) -> DataFrame:
@@ -59,12 +46,18 @@ def share_of_overall(
     ``counts`` maps a suffix to the counted column: ``{"CLIs": "ID_CLI"}`` gives ``TOT_CLIs``
     and ``PERCENT_CLIs``. An id in several groups counts in each, so shares need not sum to 1.
     """
-    groups, overall = _counts_at(df, by, [], counts, approx)
+    names = [f"TOT_{n}" for n in counts]
+    if approx:
+        sketches = [n_distinct(F.col(c), True).alias(f"TOT_{n}") for n, c in counts.items()]
+        groups, overall = df.groupBy(*by).agg(*sketches), df.agg(*sketches)
+        totals = {n: overall.select(n).scalar() for n in names}
+    else:
+        both = counts_at_two_grains(df, by, [], counts, names)
+        groups = both.where("GRAIN = 0").drop("GRAIN")
+        # the overall counts are the one row of the other grain
+        totals = {n: both.agg(F.max(F.when(F.col("GRAIN") > 0, F.col(n)))).scalar() for n in names}
     return groups.withColumns(
-        {
-            f"PERCENT_{n}": F.try_divide(f"TOT_{n}", overall.select(f"TOT_{n}").scalar())
-            for n in counts
-        }
+        {f"PERCENT_{n}": F.try_divide(f"TOT_{n}", totals[f"TOT_{n}"]) for n in counts}
     )
 
 
@@ -72,13 +65,23 @@ def share_of_parent(
     df: DataFrame, parent: str, child: str, counts: dict[str, str], approx: bool = False
 ) -> DataFrame:
     """Distinct counts per (parent, child) over the parent's own distinct counts."""
-    children, parents = _counts_at(df, [parent, child], [parent], counts, approx)
-    totals = parents.withColumnsRenamed({f"TOT_{n}": f"ALL_{n}" for n in counts})
-    return (
-        null_safe_join(children, totals, [parent], "left")
-        .withColumns({f"PERCENT_{n}": F.try_divide(f"TOT_{n}", f"ALL_{n}") for n in counts})
-        .drop(*[f"ALL_{n}" for n in counts])
-    )
+    names = [f"TOT_{n}" for n in counts]
+    if approx:
+        sketches = [n_distinct(F.col(c), True).alias(f"TOT_{n}") for n, c in counts.items()]
+        totals = df.groupBy(parent).agg(*sketches).withColumnsRenamed({n: f"ALL_{n}" for n in names})
+        children = df.groupBy(parent, child).agg(*sketches)
+        children = null_safe_join(children, totals, [parent], "left")
+    else:
+        both = counts_at_two_grains(df, [parent, child], [parent], counts, names)
+        # a parent's window holds its children and itself
+        whole = Window.partitionBy(parent)
+        children = both.withColumns(
+            {f"ALL_{n}": F.max(F.when(F.col("GRAIN") > 0, F.col(n))).over(whole) for n in names}
+        )
+        children = children.where("GRAIN = 0").drop("GRAIN")
+    return children.withColumns(
+        {f"PERCENT_{n}": F.try_divide(f"TOT_{n}", f"ALL_TOT_{n}") for n in counts}
+    ).drop(*[f"ALL_{n}" for n in names])
 
 
 def share_within(counts: DataFrame, within: str, count: str, share: str = "SHARE") -> DataFrame:
@@ -89,23 +92,9 @@ def share_within(counts: DataFrame, within: str, count: str, share: str = "SHARE
 
 
 def cumulative_share(
-    counts: DataFrame,
-    order: Sequence[Column],
-    count: str,
-    share: str = "PERCENT_COVERED",
-    few_rows: bool = False,
+    counts: DataFrame, order: Sequence[Column], count: str, share: str = "PERCENT_COVERED"
 ) -> DataFrame:
-    """Running share of the total, row by row in ``order``, which must have no ties.
-
-    ``few_rows`` is for frames whose size has a fixed bound, such as one row per number of days:
-    a plain window then saves the sort job.
-    """
-    if few_rows:
-        rows = Window.orderBy(*order)
-        up_to_here = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        everything = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        part, whole = F.sum(count).over(up_to_here), F.sum(count).over(everything)
-        return counts.withColumn(share, F.try_divide(part, whole))
+    """Running share of the total, row by row in ``order``, which must have no ties."""
     summed = running_total(counts, order, {"__running": count})
     return summed.withColumn(share, F.try_divide("__running", "__running_ALL")).drop(
         "__running", "__running_ALL"

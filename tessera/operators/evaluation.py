@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.nulls import null_safe_join
 from tessera.functions.ordered import running_total
 from tessera.operators.distribution import union_all
 
@@ -134,3 +135,16 @@ def auc(
     return ranked.agg(
         F.try_divide(F.sum(passed), F.sum("P").cast("double") * F.sum(negatives)).alias("AUC")
     )
+
+
+def score_table(
+    predictions: dict[str, DataFrame], column: str, id_column: str, label: str
+) -> DataFrame:
+    """One row per id with its label and a column per model, named after it."""
+    names = list(predictions)
+    whole = predictions[names[0]].select(id_column, label, F.col(column).alias(names[0]))
+    for name in names[1:]:
+        whole = null_safe_join(
+            whole, predictions[name].select(id_column, F.col(column).alias(name)), [id_column]
+        )
+    return whole

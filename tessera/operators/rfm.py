@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.materialize import checkpointed
 from tessera.functions.nulls import n_distinct
-from tessera.functions.ordered import approx_value_summary, is_small, value_summary
+from tessera.functions.ordered import approx_value_summary, value_summary
 
 
 class SegmentRule(NamedTuple):
@@ -49,13 +51,18 @@ def segment_rules_table(
 
 
 def rfm_customer_table(
-    tickets: DataFrame, end_date: str = "2019-12-31", frequency: str = "lines"
+    tickets: DataFrame,
+    end_date: str = "2019-12-31",
+    frequency: str = "lines",
+    active: Column | None = None,
 ) -> DataFrame:
     """Orders, revenue and days since the last line, per customer with positive revenue.
 
     ``frequency="lines"`` counts ticket lines as orders, ``"tickets"`` distinct tickets. Refund
-    lines count too, in all three measures.
+    lines count too, in all three measures. With ``active``, a condition on lines, the same pass
+    adds CHURN: 0 for customers with a line that meets it, else 1.
     """
+    flags = [] if active is None else [F.when(F.max(active), 0).otherwise(1).alias("CHURN")]
     orders = {"lines": F.count(F.lit(1)), "tickets": n_distinct("ID_SCONTRINO")}[frequency]
     return (
         tickets.groupBy(F.col("ID_CLI").alias("customer_id"))
@@ -63,6 +70,7 @@ def rfm_customer_table(
             orders.alias("number_of_orders"),
             F.sum("IMPORTO_LORDO").alias("revenue"),
             F.max("TIC_DATE").alias("last_buy"),
+            *flags,
         )
         .where("revenue > 0")
         .select(
@@ -71,25 +79,22 @@ def rfm_customer_table(
             "revenue",
             F.date_diff(F.lit(end_date).cast("date"), "last_buy").alias("recency_days"),
             "last_buy",
+            *(["CHURN"] if flags else []),
         )
     )
 
 
 def score_edges(
     customers: DataFrame, columns: Sequence[str], bins: int = 5, approx: bool = False
-) -> dict[str, list[float]]:
-    """Inner quantile edges of each column: ``bins - 1`` numbers per column reach the driver."""
+) -> DataFrame:
+    """One row with, per column, the array of its ``bins - 1`` inner quantile edges."""
     names = [f"Q{i}" for i in range(1, bins)]
     points = {name: i / bins for i, name in enumerate(names, 1)}
-    if approx:
-        summary = approx_value_summary(customers, columns, points)
-    else:
-        summary = value_summary(customers, columns, points, few_rows=is_small(customers))
-    rows = summary.collect()
-    edges = {column: [] for column in columns}
-    for row in rows:
-        edges[row["MEASURE"]] = [round(row[n], 6) for n in names if row[n] is not None]
-    return edges
+    summarise = approx_value_summary if approx else value_summary
+    edges = F.filter(F.array(*[F.round(n, 6) for n in names]), lambda e: e.isNotNull())
+    return summarise(customers, columns, points).agg(
+        *[F.max(F.when(F.col("MEASURE") == c, edges)).alias(c) for c in columns]
+    )
 
 
 def rfm_score(customers: DataFrame, bins: int = 5, approx: bool = False) -> DataFrame:
@@ -97,24 +102,26 @@ def rfm_score(customers: DataFrame, bins: int = 5, approx: bool = False) -> Data
 
     A bin includes its lower edge, the last one both. Equal values always share a score, so these
     are not equal-sized tiles. Input as from ``rfm_customer_table``; it is written once, since the
-    edges and the scores read it.
+    edges and the scores read it. A column CHURN is kept.
     """
     once = checkpointed(customers)
     edges = score_edges(once, ["recency_days", "number_of_orders", "revenue"], bins, approx)
 
-    def reached(column: str) -> str:
+    def reached(column: str) -> Column:
         # sums of money carry rounding noise, so values and edges are compared at six decimals
-        value = f"round(CAST({column} AS DOUBLE), 6)"
-        return " + ".join(["0", *[f"CAST({value} >= {e!r}D AS INT)" for e in edges[column]]])
+        value, found = F.round(F.col(column).cast("double"), 6), edges.select(column).scalar()
+        above = [(value >= F.get(found, F.lit(i))).cast("int") for i in range(bins - 1)]
+        return reduce(add, [F.coalesce(a, F.lit(0)) for a in above])
 
-    return once.selectExpr(
+    return once.select(
         "customer_id",
         "recency_days",
-        "number_of_orders AS transaction_count",
-        "revenue AS amount",
-        f"{bins} - ({reached('recency_days')}) AS recency_score",
-        f"1 + {reached('number_of_orders')} AS frequency_score",
-        f"1 + {reached('revenue')} AS monetary_score",
+        F.col("number_of_orders").alias("transaction_count"),
+        F.col("revenue").alias("amount"),
+        (F.lit(bins) - reached("recency_days")).alias("recency_score"),
+        (1 + reached("number_of_orders")).alias("frequency_score"),
+        (1 + reached("revenue")).alias("monetary_score"),
+        *[c for c in once.columns if c == "CHURN"],
     ).withColumn(
         "rfm_score", F.expr("100 * recency_score + 10 * frequency_score + monetary_score")
     )
@@ -161,12 +168,8 @@ def segment_medians(segments: DataFrame, approx: bool = False) -> DataFrame:
         "recency_days": "median_recency",
     }
     half = {"MEDIAN": 0.5}
-    if approx:
-        medians = approx_value_summary(segments, list(measures), half, ["segment"])
-    else:
-        medians = value_summary(
-            segments, list(measures), half, ["segment"], few_rows=is_small(segments)
-        )
+    summarise = approx_value_summary if approx else value_summary
+    medians = summarise(segments, list(measures), half, ["segment"])
     return medians.groupBy("segment").agg(
         *[
             F.max(F.when(F.col("MEASURE") == measure, F.col("MEDIAN"))).alias(name)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tessera.plans.catalogue import (
+    ARTICLE_CONFIDENCE,
+    ARTICLE_SUPPORT,
     CHURN_END,
     CHURN_START,
     RFM_END,
+    FREQUENT_ARTICLE,
     RULE_CONFIDENCE,
+    RULE_SEGMENTS,
     RULE_SUPPORT,
 )
 
@@ -26,7 +30,7 @@ ACCOUNT = """account AS (
     c_nationkey % 3 AS TYP_CLI_ACCOUNT,
     CASE c_mktsegment WHEN 'MACHINERY' THEN NULL WHEN 'HOUSEHOLD' THEN 'Non Dichiara'
       ELSE c_mktsegment END AS TYP_JOB
-  FROM customer)"""
+  FROM customer WHERE c_custkey % 23 <> 4)"""
 
 ADDRESS = """address AS (
   SELECT CAST(n_nationkey AS BIGINT) AS ID_ADDRESS,
@@ -45,7 +49,7 @@ PRIVACY = """privacy AS (
   SELECT c_custkey AS ID_CLI, c_custkey % 2 AS FLAG_PRIVACY_1,
     CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS FLAG_PRIVACY_2,
     CASE WHEN c_acctbal > 2500 THEN 1 ELSE 0 END AS FLAG_DIRECT_MKT
-  FROM customer)"""
+  FROM customer WHERE c_custkey % 29 <> 6)"""
 
 CAMPAIGN = """campaign AS (
   SELECT CAST(n_nationkey AS BIGINT) AS ID_CAMP, r_name AS TYP_CAMP, 'EMAIL' AS CHANNEL_CAMP
@@ -61,12 +65,14 @@ EVENT = """event AS (
   FROM events)"""
 
 TICKET = """ticket AS (
-  SELECT l_orderkey AS ID_SCONTRINO, o_custkey AS ID_CLI, l_partkey AS ID_ARTICOLO,
-    p_brand AS COD_REPARTO, p_type AS ITEM_GROUP,
+  SELECT l_orderkey AS ID_SCONTRINO, CASE WHEN o_custkey % 50 <> 7 THEN o_custkey END AS ID_CLI,
+    l_partkey AS ID_ARTICOLO, p_brand AS COD_REPARTO, p_type AS ITEM_GROUP,
     CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS DIREZIONE,
-    CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS IMPORTO_LORDO,
-    l_extendedprice * l_discount AS SCONTO,
-    CAST(o_orderdate AS TIMESTAMP) AS TIC_DATETIME, CAST(o_orderdate AS DATE) AS TIC_DATE
+    CASE WHEN l_orderkey % 89 = 3 THEN NULL WHEN l_returnflag = 'R' THEN -(l_extendedprice / 100)
+      ELSE l_extendedprice / 100 END AS IMPORTO_LORDO,
+    l_extendedprice / 100 * l_discount AS SCONTO,
+    CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS TIC_DATETIME,
+    CAST(o_orderdate AS DATE) AS TIC_DATE, CAST(o_orderkey % 24 AS BIGINT) AS TIC_HOUR
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 SNAPSHOT = f"""{FIDELITY},
@@ -150,7 +156,8 @@ revenues AS (
 rfm AS (
   SELECT n.ID_CLI AS customer_id, number_of_orders, revenue,
     CAST(DATE '{RFM_END}' - last_buy AS BIGINT) AS recency_days, last_buy
-  FROM n_orders n JOIN revenues r ON n.ID_CLI = r.ID_CLI JOIN last_dates d ON n.ID_CLI = d.ID_CLI)"""
+  FROM n_orders n JOIN revenues r ON n.ID_CLI IS NOT DISTINCT FROM r.ID_CLI
+  JOIN last_dates d ON n.ID_CLI IS NOT DISTINCT FROM d.ID_CLI)"""
 
 
 def _edges(column: str, name: str) -> str:
@@ -192,28 +199,28 @@ matches AS (
   GROUP BY 1),
 segments AS (
   SELECT s.*, coalesce(segment, 'Others') AS segment
-  FROM scores s LEFT JOIN matches m ON s.customer_id = m.customer_id
+  FROM scores s LEFT JOIN matches m ON s.customer_id IS NOT DISTINCT FROM m.customer_id
   LEFT JOIN rules ON priority = first_rule)"""
 
 CHURN = f"""{SCORES},
 stayers AS (
-  SELECT DISTINCT ID_CLI FROM ticket WHERE IMPORTO_LORDO > 0
+  SELECT DISTINCT ID_CLI, 1 AS STAYS FROM ticket WHERE IMPORTO_LORDO > 0
     AND TIC_DATE > DATE '{CHURN_START}' AND TIC_DATE < DATE '{CHURN_END}'),
 churn_set AS (
   SELECT customer_id AS ID_CLI, segment, transaction_count, recency_days, amount,
-    CASE WHEN ID_CLI IS NULL THEN 1 ELSE 0 END AS CHURN
-  FROM segments LEFT JOIN stayers ON customer_id = ID_CLI)"""
+    CASE WHEN STAYS IS NULL THEN 1 ELSE 0 END AS CHURN
+  FROM segments LEFT JOIN stayers ON customer_id IS NOT DISTINCT FROM ID_CLI)"""
 
 PREDICTED = f"""{CHURN},
 predicted AS (
   SELECT CHURN, transaction_count, round(amount, 2) AS amount,
     CASE WHEN transaction_count < 40 THEN 1 ELSE 0 END AS BY_FREQUENCY,
-    CASE WHEN round(amount, 2) < 500000 THEN 1 ELSE 0 END AS BY_AMOUNT
+    CASE WHEN round(amount, 2) < 5000 THEN 1 ELSE 0 END AS BY_AMOUNT
   FROM churn_set)"""
 
 BASKETS = f"""{TICKET},
 pairs AS (
-  SELECT DISTINCT concat(CAST(ID_CLI AS VARCHAR), '-',
+  SELECT DISTINCT concat(coalesce(CAST(ID_CLI AS VARCHAR), 'NA'), '-',
     strftime(TIC_DATETIME, '%Y-%m-%d %H:%M:%S')) AS basket_id, CAST(ID_ARTICOLO AS VARCHAR) AS item
   FROM ticket WHERE IMPORTO_LORDO > 0)"""
 
@@ -253,6 +260,26 @@ rules AS (
     round(coverage, 8) AS coverage, round(lift, 8) AS lift, "count" FROM found)"""
 
 
+# However a training set is drawn, a fitted model's probabilities add up to its class sizes.
+TRAINED_STAYERS = f"""WITH {CHURN}
+SELECT CAST(ceil(CAST(0.7 AS DOUBLE) * count(*)) AS DOUBLE) AS EXPECTED_STAYERS
+FROM churn_set WHERE CHURN = 0"""
+
+# Pairs of articles, each way round.
+ARTICLE_RULES = f"""{BASKETS},
+total AS (SELECT count(DISTINCT basket_id) AS n FROM pairs),
+single AS (SELECT item, count(*) AS c FROM pairs GROUP BY 1),
+both_ways AS (
+  SELECT a.item AS antecedent, b.item AS consequent, count(*) AS c
+  FROM pairs a JOIN pairs b ON a.basket_id = b.basket_id AND a.item <> b.item GROUP BY 1, 2),
+article_rules AS (
+  SELECT antecedent, consequent, round(p.c / n, 8) AS support, round(p.c / x.c, 8) AS confidence,
+    round(x.c / n, 8) AS coverage, round((p.c / x.c) / (y.c / n), 8) AS lift, p.c AS "count"
+  FROM both_ways p JOIN single x ON x.item = antecedent JOIN single y ON y.item = consequent, total
+  WHERE p.c >= CAST({ARTICLE_SUPPORT} AS DOUBLE) * n
+    AND p.c / x.c >= CAST({ARTICLE_CONFIDENCE} AS DOUBLE))"""
+
+
 def _distribution(
     views: str, source: str, level: str, name: str, count: str = "TOT_CLIs", key: str = "ID_CLI"
 ) -> str:
@@ -263,10 +290,10 @@ SELECT *, {count} / (SELECT sum({count}) FROM counts) AS PERCENT FROM counts"""
 
 def _overlap(views: str, left: str, right: str, key: str, names: tuple[str, str]) -> str:
     return f"""WITH {views}
-SELECT CASE WHEN l.k IS NULL THEN 0 ELSE 1 END AS {names[0]},
-  CASE WHEN r.k IS NULL THEN 0 ELSE 1 END AS {names[1]}, count(*) AS TOT_KEYS
-FROM (SELECT DISTINCT {key} AS k FROM {left}) l
-FULL JOIN (SELECT DISTINCT {key} AS k FROM {right}) r ON l.k = r.k GROUP BY 1, 2"""
+SELECT coalesce(l.m, 0) AS {names[0]}, coalesce(r.m, 0) AS {names[1]}, count(*) AS TOT_KEYS
+FROM (SELECT DISTINCT {key} AS k, 1 AS m FROM {left}) l
+FULL JOIN (SELECT DISTINCT {key} AS k, 1 AS m FROM {right}) r ON l.k IS NOT DISTINCT FROM r.k
+GROUP BY 1, 2"""
 
 
 def _key_check(views: str, source: str, keys: list[list[str]]) -> str:
@@ -335,11 +362,11 @@ SELECT {name}, count(DISTINCT ID_CLI) AS TOT_CLIs FROM per_customer GROUP BY 1""
 def _share_by_direction(views: str, source: str, by: str) -> str:
     return f"""WITH {views},
 parents AS (
-  SELECT DIREZIONE, count(DISTINCT ID_SCONTRINO) AS T, count(DISTINCT ID_CLI) AS C
+  SELECT DIREZIONE, count(DISTINCT ID_SCONTRINO) AS T, count(DISTINCT coalesce(ID_CLI, -1)) AS C
   FROM {source} GROUP BY 1),
 children AS (
   SELECT DIREZIONE, {by}, count(DISTINCT ID_SCONTRINO) AS TOT_TICs,
-    count(DISTINCT ID_CLI) AS TOT_CLIs FROM {source} GROUP BY 1, 2)
+    count(DISTINCT coalesce(ID_CLI, -1)) AS TOT_CLIs FROM {source} GROUP BY 1, 2)
 SELECT CAST(c.DIREZIONE AS BIGINT) AS DIREZIONE, {by}, TOT_TICs, TOT_CLIs,
   TOT_TICs / T AS PERCENT_TICs, TOT_CLIs / C AS PERCENT_CLIs
 FROM children c JOIN parents p ON c.DIREZIONE = p.DIREZIONE"""
@@ -426,9 +453,9 @@ totals AS (SELECT count(*) AS n, sum(hit) AS hits FROM ranked),
 cuts AS (
   SELECT k * 10.0::DOUBLE AS POPULATION, CAST(ceil(k * n / 10) AS BIGINT) AS cut, n, hits
   FROM range(1, 11) t(k), totals)
-SELECT POPULATION, round(100 * sum(hit) / hits, 6) AS GAIN,
-  round((sum(hit) / hits) / (cut / n), 6) AS LIFT,
-  round(CAST(min(s) AS DOUBLE), 6) AS SCORE_POINT
+SELECT POPULATION, round(100 * sum(hit) / hits, 9) AS GAIN,
+  round((sum(hit) / hits) / (cut / n), 9) AS LIFT,
+  round(CAST(min(s) AS DOUBLE), 9) AS SCORE_POINT
 FROM cuts JOIN ranked ON rk <= cut GROUP BY POPULATION, hits, cut, n"""
 
 
@@ -627,12 +654,12 @@ WHERE AVG_DAYS_TO_OPEN < 14""",
     "q28_clicks_per_customer": _per_customer("CLICKED", "sum(NUM_CLICKs)", "AVG_CLICKs"),
     "q29_ticket_overview": f"""WITH {TICKET}
 SELECT CAST(min(TIC_DATE) AS VARCHAR) AS MIN_DATE, CAST(max(TIC_DATE) AS VARCHAR) AS MAX_DATE,
-  count(DISTINCT ID_SCONTRINO) AS TOT_TICs, count(DISTINCT ID_CLI) AS TOT_CLIs FROM ticket""",
+  count(DISTINCT ID_SCONTRINO) AS TOT_TICs, count(DISTINCT coalesce(ID_CLI, -1)) AS TOT_CLIs FROM ticket""",
     "q29_direction_shares": f"""WITH {TICKET},
-overall AS (SELECT count(DISTINCT ID_SCONTRINO) AS T, count(DISTINCT ID_CLI) AS C FROM ticket),
+overall AS (SELECT count(DISTINCT ID_SCONTRINO) AS T, count(DISTINCT coalesce(ID_CLI, -1)) AS C FROM ticket),
 n AS (
   SELECT CAST(DIREZIONE AS BIGINT) AS DIREZIONE, count(DISTINCT ID_SCONTRINO) AS TOT_TICs,
-    count(DISTINCT ID_CLI) AS TOT_CLIs FROM ticket GROUP BY 1)
+    count(DISTINCT coalesce(ID_CLI, -1)) AS TOT_CLIs FROM ticket GROUP BY 1)
 SELECT n.*, TOT_TICs / T AS PERCENT_TICs, TOT_CLIs / C AS PERCENT_CLIs FROM n, overall""",
     "q30_hour_share_by_event_type": f"""WITH {EVENT},
 hours AS (SELECT *, hour(EVENT_DATETIME) AS EVENT_HOUR FROM event),
@@ -644,6 +671,7 @@ children AS (
     count(DISTINCT ID_CLI) AS TOT_CLIs FROM hours GROUP BY 1, 2)
 SELECT c.*, TOT_EVENTs / E AS PERCENT_EVENTs, TOT_CLIs / C AS PERCENT_CLIs
 FROM children c JOIN parents p ON c.TYP_EVENT = p.TYP_EVENT""",
+    "q30_hour_share_by_direction": _share_by_direction(TICKET, "ticket", "TIC_HOUR"),
     "q31_department_share": _share_by_direction(TICKET, "ticket", "COD_REPARTO"),
     "q32_day_type_share": _share_by_direction(TYPED_TICKET, "typed_ticket", "TIC_DATE_TYP"),
     "q33_purchases_per_customer": f"""WITH {TICKET}
@@ -685,7 +713,7 @@ SELECT customer_id, recency_days, transaction_count, round(amount, 2) AS amount,
 FROM segments""",
     "q40_rfm_segments_last_match": f"""WITH {SCORES}
 SELECT s.customer_id, coalesce(segment, 'Others') AS segment
-FROM scores s LEFT JOIN matches m ON s.customer_id = m.customer_id
+FROM scores s LEFT JOIN matches m ON s.customer_id IS NOT DISTINCT FROM m.customer_id
 LEFT JOIN rules ON priority = last_rule""",
     "q41_segment_counts": f"""WITH {SCORES}
 SELECT segment AS "Segment", count(*) AS "Count" FROM segments GROUP BY 1""",
@@ -711,6 +739,13 @@ n AS (SELECT CHURN, count(*) AS n, CAST(ceil(CAST(0.7 AS DOUBLE) * count(*)) AS
   FROM churn_set GROUP BY 1)
 SELECT CAST(CHURN AS BIGINT) AS CHURN, CAST(1 AS BIGINT) AS IS_TRAIN, k AS N_ROWS FROM n
 UNION ALL SELECT CAST(CHURN AS BIGINT), CAST(0 AS BIGINT), n - k FROM n WHERE n > k""",
+    "q46_tree_balance": TRAINED_STAYERS,
+    "q46_logistic_balance": TRAINED_STAYERS,
+    "q46_score_table": f"""WITH {CHURN},
+ruled AS (
+  SELECT ID_CLI, CASE WHEN segment IN ({', '.join(f"'{x}'" for x in RULE_SEGMENTS)}) THEN 1 ELSE 0
+    END AS CHURN FROM churn_set)
+SELECT ID_CLI, CHURN, CHURN AS tree, CHURN AS forest, CHURN AS logistic FROM ruled""",
     "q47_confusion_matrix": f"""WITH {PREDICTED},
 c AS (
   SELECT count(*) FILTER (WHERE BY_FREQUENCY = 0 AND CHURN = 0) AS TP,
@@ -748,6 +783,14 @@ SELECT basket_id, string_agg(item, ',' ORDER BY item) AS items FROM pairs GROUP
 SELECT n_items, count(*) AS n_baskets
 FROM (SELECT basket_id, count(*) AS n_items FROM pairs GROUP BY 1) GROUP BY 1""",
     "q51_association_rules": f"WITH {RULES} SELECT * FROM rules",
+    "q51_article_rules": f"WITH {ARTICLE_RULES} SELECT * FROM article_rules",
+    "q51_minable_baskets": f"""WITH {BASKETS},
+total AS (SELECT count(DISTINCT basket_id) AS n FROM pairs),
+often AS (
+  SELECT item FROM pairs, total GROUP BY item, n
+  HAVING count(*) >= CAST({FREQUENT_ARTICLE} AS DOUBLE) * n)
+SELECT basket_id, coalesce(string_agg(item, ',' ORDER BY item) FILTER (item IN (FROM often)), '') AS items
+FROM pairs GROUP BY 1""",
     "q52_rule_count": f"WITH {RULES} SELECT count(*) AS n_rules FROM rules",
     "q52_top_rules": f"""WITH {RULES}
 SELECT * FROM rules ORDER BY lift DESC, support DESC, antecedent, consequent LIMIT 10""",

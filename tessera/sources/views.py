@@ -25,7 +25,7 @@ def fidelity(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def account(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "customer").selectExpr(
+    return table(spark, directory, "customer").where("c_custkey % 23 != 4").selectExpr(
         "c_custkey AS ID_CLI",
         "CAST(c_nationkey AS BIGINT) AS ID_ADDRESS",
         "CASE WHEN c_custkey % 17 != 0 THEN"
@@ -58,7 +58,7 @@ def address(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def privacy(spark: SparkSession, directory: str) -> DataFrame:
-    return table(spark, directory, "customer").selectExpr(
+    return table(spark, directory, "customer").where("c_custkey % 29 != 6").selectExpr(
         "c_custkey AS ID_CLI",
         "CAST(c_custkey % 2 AS INT) AS FLAG_PRIVACY_1",
         "CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS FLAG_PRIVACY_2",
@@ -99,22 +99,29 @@ def event(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def ticket(spark: SparkSession, directory: str) -> DataFrame:
-    return (
-        table(spark, directory, "lineitem")
-        .join(table(spark, directory, "orders"), F.expr("l_orderkey = o_orderkey"))
-        .join(table(spark, directory, "part"), F.expr("l_partkey = p_partkey"))
-        .selectExpr(
-            "l_orderkey AS ID_SCONTRINO",
-            "o_custkey AS ID_CLI",
-            "l_partkey AS ID_ARTICOLO",
-            "p_brand AS COD_REPARTO",
-            "p_type AS ITEM_GROUP",
-            "CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS DIREZIONE",
-            "CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END"
-            " AS IMPORTO_LORDO",
-            "l_extendedprice * l_discount AS SCONTO",
-            "CAST(o_orderdate AS TIMESTAMP_NTZ) AS TIC_DATETIME",
-            "CAST(o_orderdate AS DATE) AS TIC_DATE",
-        )
+def ticket(spark: SparkSession, directory: str, items: bool = False) -> DataFrame:
+    """Ticket lines; ``items`` adds the department and group of the article from its own table.
+
+    Some lines have no customer and some no amount.
+    """
+    lines = table(spark, directory, "lineitem").join(
+        table(spark, directory, "orders"), F.expr("l_orderkey = o_orderkey")
+    )
+    of_item = []
+    if items:
+        lines = lines.join(table(spark, directory, "part"), F.expr("l_partkey = p_partkey"))
+        of_item = ["p_brand AS COD_REPARTO", "p_type AS ITEM_GROUP"]
+    gross = "CASE WHEN l_orderkey % 89 != 3 THEN l_extendedprice / 100 END"
+    return lines.selectExpr(
+        "l_orderkey AS ID_SCONTRINO",
+        "CASE WHEN o_custkey % 50 != 7 THEN o_custkey END AS ID_CLI",
+        "l_partkey AS ID_ARTICOLO",
+        *of_item,
+        "CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS DIREZIONE",
+        f"CASE WHEN l_returnflag = 'R' THEN -({gross}) ELSE {gross} END AS IMPORTO_LORDO",
+        "l_extendedprice / 100 * l_discount AS SCONTO",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(o_orderkey % 24 AS INT))"
+        " AS TIC_DATETIME",
+        "CAST(o_orderdate AS DATE) AS TIC_DATE",
+        "CAST(o_orderkey % 24 AS INT) AS TIC_HOUR",
     )

@@ -11,11 +11,15 @@ from tessera.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tessera-tests",
         "local[8]",
-        {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"},
+        {
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -4,7 +4,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tessera.functions.nulls import if_else, n_distinct, null_safe_join
+from tessera.functions.nulls import n_distinct, null_safe_join
 from tessera.functions.ordered import approx_value_summary, running_total, value_summary
 from tessera.functions.times import EVENT_TIME, TICKET_TIME, parse_date, parse_timestamp
 
@@ -20,12 +20,6 @@ def test_n_distinct_of_composite(spark):
     assert rows(df.agg(n_distinct(F.struct("a", "b")))) == [(3,)]
 
 
-def test_null_condition_gives_null(spark):
-    df = spark.createDataFrame([(True,), (False,), (None,)], "c boolean")
-    result = df.select(if_else(F.col("c"), F.lit("yes"), F.lit("no")).alias("r"))
-    assert [r[0] for r in result.collect()] == ["yes", "no", None]
-
-
 @pytest.mark.parametrize(
     "how, expected",
     [
@@ -48,7 +42,14 @@ def test_join_refuses_shared_names(spark):
 
 def test_text_times(spark):
     df = spark.createDataFrame(
-        [("2018-10-05T10:11:12.000Z", "2018-10-05T101112"), ("junk", "junk"), (None, None)],
+        [
+            ("2018-10-05T10:11:12.000Z", "2018-10-05T101112"),
+            ("2018-10-05T23:30:00-05:00", "2018-10-05T233000.5"),
+            ("2018-10-05T10:11:12", "2018-10-05T1011"),
+            ("2018-10-05T10:11:12 and more", "2018-10-05T101112x"),
+            ("junk", "junk"),
+            (None, None),
+        ],
         "e string, t string",
     )
     parsed = df.select(
@@ -57,6 +58,9 @@ def test_text_times(spark):
     )
     assert rows(parsed) == [
         ("2018-10-05 10:11:12", "2018-10-05 10:11:12"),
+        ("2018-10-05 10:11:12", None),
+        ("2018-10-06 04:30:00", "2018-10-05 23:30:00.5"),
+        (None, None),
         (None, None),
         (None, None),
     ]

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from helpers import plan, rows
 from pyspark.sql import functions as F
@@ -107,28 +108,53 @@ def test_basket_with_a_third_of_the_lines(spark):
     assert rows(sizes) == [(1, 6000), (20, 1)]
 
 
-def test_large_tables_score_like_small_ones(spark, monkeypatch):
-    table = spark.range(3000).selectExpr(
-        "id AS customer_id", "IF(id % 3 = 0, 7L, id % 90) AS number_of_orders",
-        "IF(id % 3 = 0, 10.5D, (id * 37 % 1009) / 4.0D) AS revenue", "CAST(id * 7 % 400 AS INT) AS recency_days",
-    )
-    small = rfm.rfm_segment(rfm.rfm_score(table))
-    expected, medians = rows(small), rows(rfm.segment_medians(small))
-    monkeypatch.setattr(ordered, "SMALL_GROUP", 100)
-    large = rfm.rfm_segment(rfm.rfm_score(table))
-    assert rows(large) == expected
-    assert rows(rfm.segment_medians(large)) == medians
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 700, 5000])
+def test_quantiles_of_any_size(spark, n):
+    values = [(k, float(k * 37 % 101) if k % 5 else 3.0) for k in range(n)]
+    table = spark.createDataFrame(values, "k int, v double")
+    points = {"A": 0.01, "B": 0.25, "C": 0.5, "D": 0.999}
+    (found,) = ordered.value_summary(table, ["v"], points).collect()
+    known = np.quantile([v for _, v in values], list(points.values()))
+    assert np.allclose([found[p] for p in points], known)
+
+
+def test_a_missed_interval_is_widened(spark, monkeypatch):
+    table = spark.range(3000).selectExpr("id % 3 AS g", "CAST(id * 7 % 1000 AS DOUBLE) AS v")
+    points = {"A": 0.1, "B": 0.5}
+    expected = rows(ordered.value_summary(table, ["v"], points, ["g"]))
+    sketched, levels = ordered._brackets, []
+
+    def wrong(df, columns, by, quantiles, level):
+        levels.append(level)
+        ends = sketched(df, columns, by, quantiles, level)
+        return ends if level > 1 else ends.withColumn("ENDS", F.array(*[F.lit(5e3 + k) for k in range(4)]))
+
+    monkeypatch.setattr(ordered, "_brackets", wrong)
+    assert rows(ordered.value_summary(table, ["v"], points, ["g"])) == expected
+    assert levels == [0, 1, 2]
+
+
+def fact_scans(df, name):
+    return len(re.findall(rf"FileScan parquet [^\n]*{name}\.parquet", plan(df)))
 
 
 def test_shares_scan_once(spark):
     for found in (
         distribution.distribution(views.privacy(spark, DIRECTORY), "FLAG_PRIVACY_1"),
-        tickets.direction_shares(views.ticket(spark, DIRECTORY)),
         quality.multiplicity_distribution(
             views.fidelity(spark, DIRECTORY), "ID_CLI", {"a": "ID_FID", "b": "DT_ACTIVE"}
         ),
     ):
         assert "ReusedExchange" in plan(found)
+    for name in ("q30_hour_share_by_direction", "q31_department_share", "q32_day_type_share"):
+        assert fact_scans(QUERIES[name](spark, DIRECTORY), "lineitem") == 1
+    assert fact_scans(QUERIES["q30_hour_share_by_event_type"](spark, DIRECTORY), "events") == 1
+
+
+def test_only_items_read_the_article_table(spark):
+    for name in ("q33_purchases_per_customer", "q38_next_purchase_curve", "q39_rfm_table"):
+        assert fact_scans(QUERIES[name](spark, DIRECTORY), "part") == 0
+    assert fact_scans(QUERIES["q31_department_share"](spark, DIRECTORY), "part") == 1
 
 
 def test_filters_and_columns_reach_the_scan(spark):

@@ -1,5 +1,6 @@
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from tessera.operators import days, tickets
 
@@ -71,8 +72,9 @@ def test_easter(spark):
         2024: "2024-03-31",
         2038: "2038-04-25",
     }
-    found = {r[0]: str(r[1]) for r in days.easter_sundays(spark, 1900, 2099).collect()}
-    assert {y: found[y] for y in known} == known
+    years = spark.createDataFrame([(y,) for y in known], "y int")
+    found = {r[0]: str(r[1]) for r in years.select("y", days.easter_sunday(F.col("y"))).collect()}
+    assert found == known
 
 
 def test_holiday_list(spark):
@@ -82,6 +84,20 @@ def test_holiday_list(spark):
     assert "2000-04-24" in found
 
 
+def test_holidays_of_any_year(spark):
+    dates = ["1850-12-25", "2300-12-25", "2300-12-24", "1850-04-01", "2285-03-23", None]
+    typed = days.classify_day(
+        spark.createDataFrame([(d,) for d in dates], "d string").selectExpr("CAST(d AS DATE) AS TIC_DATE"),
+        weekend_is_holiday=False,
+        weekend=(),
+    )
+    found = {str(r["TIC_DATE"]): r["TIC_DATE_TYP"] for r in typed.collect()}
+    assert found == {
+        "1850-12-25": "holiday", "2300-12-25": "holiday", "2300-12-24": "weekday",
+        "1850-04-01": "holiday", "2285-03-23": "holiday", "None": "other",
+    }
+
+
 def test_overview_and_direction(sample, day):
     assert rows(tickets.ticket_overview(sample)) == [(day("2018-01-01"), day("2018-01-10"), 4, 2)]
     assert rows(tickets.direction_shares(sample)) == [(-1, 1, 1, 0.25, 0.5), (1, 3, 2, 0.75, 1.0)]
