@@ -1,8 +1,8 @@
 """Running totals and exact quantiles without a one-partition window.
 
-A window without ``partitionBy`` sends every row to one task. Here the rows are range-sorted,
-written once, summed per partition, and only those per-partition sums (one row per partition) go
-through an unpartitioned window.
+A window without ``partitionBy`` sends every row to one task. Here the rows are dealt into
+stretches of the order, summed per stretch, and only those sums (one row per stretch) go through
+an unpartitioned window.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from tessera.functions.nulls import null_safe_join
 
 _PART = "__part"
 SKETCH_ACCURACY = 10000
+# Rows from which the edges of the stretches of a running total are taken.
+SAMPLED = 10_000
 # Half widths, as shares of the rows, of the intervals sketched around a quantile.
 REACHES = (5 / SKETCH_ACCURACY, 0.01, 0.1)
 
@@ -26,20 +28,61 @@ def sorted_parts(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return checkpointed(df.orderBy(*order)).withColumn(_PART, F.spark_partition_id())
 
 
-def running_total(df: DataFrame, order: Sequence[Column], totals: dict[str, str]) -> DataFrame:
+def _order_columns(order: Sequence[str]) -> list[tuple[str, bool]]:
+    """(column, descending) of each entry ``"column"`` or ``"column DESC"``."""
+    return [(o.removesuffix(" DESC"), o.endswith(" DESC")) for o in order]
+
+
+def _from(order: Sequence[tuple[str, bool]], edge: Sequence) -> Column:
+    """Whether a row comes at or after ``edge`` in an order that puts NULL last."""
+    reached = F.lit(True)
+    for (name, descending), value in reversed(list(zip(order, edge, strict=True))):
+        column, known = F.col(name), F.lit(value)
+        if value is None:
+            reached = column.isNull() & reached
+        else:
+            later = column < known if descending else column > known
+            reached = column.isNull() | later | ((column == known) & reached)
+    return reached
+
+
+def _stretch_of(order: Sequence[tuple[str, bool]], edges: Sequence, low: int, high: int) -> Column:
+    """How many of the sorted ``edges`` a row has passed, by halves."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high + 1) // 2
+    upper = _stretch_of(order, edges, middle, high)
+    return F.when(_from(order, edges[middle - 1]), upper).otherwise(
+        _stretch_of(order, edges, low, middle - 1)
+    )
+
+
+def running_total(df: DataFrame, order: Sequence[str], totals: dict[str, str]) -> DataFrame:
     """Add ``{new column: summed column}`` running sums in the given total order.
 
-    Each ``<new column>_ALL`` holds the sum over all rows. ``order`` must identify a row, so
-    callers aggregate equal keys first: no value, however frequent, then fills more than one row.
-    Runs a sort job when called.
+    Each ``<new column>_ALL`` holds the sum over all rows. ``order`` names columns, followed by
+    `` DESC`` for falling ones; NULL comes last. It must identify a row, so callers aggregate equal
+    keys first: no value, however frequent, then fills more than one row.
+
+    The rows are written once. A sample of at most ``SAMPLED`` of them gives the edges of as many
+    stretches as there are shuffle partitions; rows are shuffled once, by stretch, and summed
+    there. Only a row per stretch goes through an unpartitioned window.
     """
-    placed = sorted_parts(df, order)
+    by = _order_columns(order)
+    sort = [F.desc_nulls_last(c) if falls else F.asc_nulls_last(c) for c, falls in by]
+    once = checkpointed(df)
+    names = [c for c, _ in by]
+    sample = once.select(*names).orderBy(F.xxhash64(*names)).limit(SAMPLED).orderBy(*sort).collect()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = sorted({k * len(sample) // parts for k in range(1, parts)} - {0})
+    edges = [tuple(sample[k]) for k in places]
+    placed = once.withColumn(_PART, _stretch_of(by, edges, 0, len(edges)))
     per_part = placed.groupBy(_PART).agg(
         *[F.sum(value).alias(name) for name, value in totals.items()]
     )
-    parts = Window.orderBy(_PART)
-    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
-    everything = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_part = Window.orderBy(_PART)
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    everything = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = per_part.select(
         _PART,
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__before_{n}") for n in totals],
@@ -47,16 +90,16 @@ def running_total(df: DataFrame, order: Sequence[Column], totals: dict[str, str]
     )
     within = (
         Window.partitionBy(_PART)
-        .orderBy(*order)
+        .orderBy(*sort)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # offsets holds one row per partition of the sorted data, whatever the data size
-    return placed.join(F.broadcast(offsets), _PART).select(
+    summed = placed.withColumns(
+        {f"__within_{name}": F.sum(value).over(within) for name, value in totals.items()}
+    )
+    # offsets holds one row per stretch, whatever the data size
+    return summed.join(F.broadcast(offsets), _PART).select(
         *df.columns,
-        *[
-            (F.sum(value).over(within) + F.col(f"__before_{name}")).alias(name)
-            for name, value in totals.items()
-        ],
+        *[(F.col(f"__within_{n}") + F.col(f"__before_{n}")).alias(n) for n in totals],
         *[f"{name}_ALL" for name in totals],
     )
 

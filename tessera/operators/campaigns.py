@@ -150,7 +150,7 @@ def days_to_open_distribution(funnel: DataFrame) -> DataFrame:
 def days_to_open_curve(funnel: DataFrame, before_days: int | None = None) -> DataFrame:
     """Running share of customers by days to open; the cut is applied after the shares."""
     curve = cumulative_share(
-        days_to_open_distribution(funnel), [F.asc_nulls_last("AVG_DAYS_TO_OPEN")], "TOT_CLIs"
+        days_to_open_distribution(funnel), ["AVG_DAYS_TO_OPEN"], "TOT_CLIs"
     )
     return curve if before_days is None else curve.where(F.col("AVG_DAYS_TO_OPEN") < before_days)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.distinct import counts_at_two_grains
@@ -92,9 +92,9 @@ def share_within(counts: DataFrame, within: str, count: str, share: str = "SHARE
 
 
 def cumulative_share(
-    counts: DataFrame, order: Sequence[Column], count: str, share: str = "PERCENT_COVERED"
+    counts: DataFrame, order: Sequence[str], count: str, share: str = "PERCENT_COVERED"
 ) -> DataFrame:
-    """Running share of the total, row by row in ``order``, which must have no ties."""
+    """Running share of the total, row by row in ``order`` (as in ``running_total``)."""
     summed = running_total(counts, order, {"__running": count})
     return summed.withColumn(share, F.try_divide("__running", "__running_ALL")).drop(
         "__running", "__running_ALL"
@@ -107,7 +107,7 @@ def level_coverage(
     """Levels of a column, most frequent first (ties by name), with count, share, running share."""
     filled = df.withColumn(column, F.coalesce(column, F.lit(missing)))
     counts = filled.groupBy(column).agg(n_distinct(F.col(id_column)).alias("TOT_CLIs"))
-    order = [F.desc("TOT_CLIs"), F.asc(column)]
+    order = ["TOT_CLIs DESC", column]
     summed = running_total(counts, order, {"__running": "TOT_CLIs"})
     return summed.withColumns(
         {

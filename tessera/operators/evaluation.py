@@ -72,7 +72,7 @@ def ranked_scores(
         .groupBy(F.col(score).alias("SCORE"))
         .agg(F.count(F.lit(1)).alias("N"), F.count_if(hit).alias("P"))
     )
-    return running_total(counts, [F.desc("SCORE")], {"N_TOP": "N", "P_TOP": "P"})
+    return running_total(counts, ["SCORE DESC"], {"N_TOP": "N", "P_TOP": "P"})
 
 
 def gain_lift(

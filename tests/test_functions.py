@@ -82,7 +82,7 @@ def test_running_total_over_many_partitions(spark):
     df = spark.createDataFrame(shuffled, "k int, n int").repartition(7)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        found = rows(running_total(df, [F.desc("k")], {"upto": "n"}), "k", "upto", "upto_ALL")
+        found = rows(running_total(df, ["k DESC"], {"upto": "n"}), "k", "upto", "upto_ALL")
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     total, expected = 0, []
@@ -93,6 +93,17 @@ def test_running_total_over_many_partitions(spark):
     assert {a for _, _, a in found} == {total}
 
 
+def test_running_total_by_two_columns_with_nulls(spark):
+    keys = [(k % 3 if k % 7 else None, f"n{k:03}" if k % 50 else None) for k in range(300)]
+    keys = list(dict.fromkeys(keys))
+    df = spark.createDataFrame([(*k, 1) for k in keys], "a int, b string, n int").repartition(5)
+    found = running_total(df, ["a DESC", "b"], {"upto": "n"}).orderBy("upto").collect()
+    ordered_keys = sorted(keys, key=lambda k: (k[0] is None, -(k[0] or 0), k[1] is None, k[1] or ""))
+    assert [(r["a"], r["b"]) for r in found] == ordered_keys
+    assert [r["upto"] for r in found] == list(range(1, len(keys) + 1))
+    assert rows(running_total(df.where("false"), ["a"], {"upto": "n"})) == []
+
+
 def _interpolated(values, p):
     values = sorted(values)
     position = p * (len(values) - 1)

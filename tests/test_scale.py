@@ -134,8 +134,12 @@ def test_a_missed_interval_is_widened(spark, monkeypatch):
     assert levels == [0, 1, 2]
 
 
+def initial(df):
+    return plan(df).split("== Initial Plan ==")[-1]
+
+
 def fact_scans(df, name):
-    return len(re.findall(rf"FileScan parquet [^\n]*{name}\.parquet", plan(df)))
+    return len(re.findall(rf"FileScan parquet [^\n]*{name}\.parquet", initial(df)))
 
 
 def test_shares_scan_once(spark):
@@ -151,6 +155,14 @@ def test_shares_scan_once(spark):
     assert fact_scans(QUERIES["q30_hour_share_by_event_type"](spark, DIRECTORY), "events") == 1
 
 
+def test_running_totals_shuffle_rows_once(spark):
+    rows_in = spark.range(5000).selectExpr("id AS k", "id % 7 AS n")
+    found = initial(ordered.running_total(rows_in, ["k DESC"], {"upto": "n"}))
+    assert "rangepartitioning" not in found
+    # the rows, and the sums per stretch
+    assert len(re.findall(r"Exchange hashpartitioning\(__part", found)) <= 2
+
+
 def test_only_items_read_the_article_table(spark):
     for name in ("q33_purchases_per_customer", "q38_next_purchase_curve", "q39_rfm_table"):
         assert fact_scans(QUERIES[name](spark, DIRECTORY), "part") == 0
