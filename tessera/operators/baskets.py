@@ -12,13 +12,22 @@ from tessera.functions.materialize import checkpointed
 from tessera.functions.nulls import as_column
 
 
-def visit_key() -> Column:
-    """Customer and time of the ticket as one text; a missing part reads ``NA``."""
-    return F.concat(
+def visit_key(ticket: str | None = None) -> Column:
+    """Customer and time of the ticket as one text; a missing part reads ``NA``.
+
+    Lines with neither part say nothing about who bought together, and there may be any number of
+    them. With ``ticket``, the ticket's column, each ticket is then a basket; without, they are one.
+    """
+    visit = F.concat(
         F.coalesce(F.col("ID_CLI").cast("string"), F.lit("NA")),
         F.lit("-"),
         F.coalesce(F.date_format("TIC_DATETIME", "yyyy-MM-dd HH:mm:ss"), F.lit("NA")),
     )
+    if ticket is None:
+        return visit
+    unknown = F.col("ID_CLI").isNull() & F.col("TIC_DATETIME").isNull()
+    number = F.concat(F.lit("NA-NA-"), F.coalesce(F.col(ticket).cast("string"), F.lit("NA")))
+    return F.when(unknown, number).otherwise(visit)
 
 
 def basket_items(
@@ -26,9 +35,10 @@ def basket_items(
 ) -> DataFrame:
     """Distinct (basket_id, item) pairs of the lines with a positive amount.
 
-    ``key`` is the basket, by default one customer at one time.
+    ``key`` is the basket, by default one customer at one time, or one ticket with neither.
     """
-    basket = visit_key() if key is None else as_column(key)
+    ticket = "ID_SCONTRINO" if "ID_SCONTRINO" in tickets.columns else None
+    basket = visit_key(ticket) if key is None else as_column(key)
     return (
         tickets.where("IMPORTO_LORDO > 0")
         .select(basket.cast("string").alias("basket_id"), F.col(item).cast("string").alias("item"))

@@ -56,6 +56,16 @@ def lines(spark, time):
     )
 
 
+def test_tickets_without_customer_and_time_stay_apart(spark):
+    tickets = spark.createDataFrame(
+        [(1, None, None, 5, 1.0), (2, None, None, 5, 1.0), (None, None, None, 6, 1.0)],
+        "ID_SCONTRINO long, ID_CLI long, TIC_DATETIME timestamp, ID_ARTICOLO long, IMPORTO_LORDO double",
+    )
+    found = rows(baskets.basket_items(tickets))
+    assert found == [("NA-NA-1", "5"), ("NA-NA-2", "5"), ("NA-NA-NA", "6")]
+    assert rows(baskets.basket_items(tickets, key=baskets.visit_key())) == [("NA-NA", "5"), ("NA-NA", "6")]
+
+
 def test_baskets(lines):
     assert rows(baskets.baskets(lines).withColumn("items", F.array_join("items", ","))) == [
         ("1-2018-01-01 10:00:00", "5,7"),
