@@ -64,7 +64,7 @@ def running_total(df: DataFrame, order: Sequence[str], totals: dict[str, str]) -
     `` DESC`` for falling ones; NULL comes last. It must identify a row, so callers aggregate equal
     keys first: no value, however frequent, then fills more than one row.
 
-    The rows are written once. A sample of at most ``SAMPLED`` of them gives the edges of as many
+    The rows are written once. A sample of about ``SAMPLED`` of them gives the edges of as many
     stretches as there are shuffle partitions; rows are shuffled once, by stretch, and summed
     there. Only a row per stretch goes through an unpartitioned window.
     """
@@ -72,7 +72,9 @@ def running_total(df: DataFrame, order: Sequence[str], totals: dict[str, str]) -
     sort = [F.desc_nulls_last(c) if falls else F.asc_nulls_last(c) for c, falls in by]
     once = checkpointed(df)
     names = [c for c, _ in by]
-    sample = once.select(*names).orderBy(F.xxhash64(*names)).limit(SAMPLED).orderBy(*sort).collect()
+    every = max(1, once.count() // SAMPLED)
+    sample = once.select(*names).where(F.pmod(F.xxhash64(*names), F.lit(every)) == 0).orderBy(*sort)
+    sample = sample.collect()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = sorted({k * len(sample) // parts for k in range(1, parts)} - {0})
     edges = [tuple(sample[k]) for k in places]
