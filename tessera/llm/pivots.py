@@ -68,7 +68,8 @@ def near_links(
     length spreads over many tasks. A task returns, per vector, how many vectors it found and one
     link, which suffices for the groups: pairs are never written out.
     """
-    ids = classes.orderBy(F.xxhash64("vector"), "row").limit(SAMPLED * pivots).select("vector").collect()
+    sample = classes.select("row", F.xxhash64("vector").alias("_hash")).orderBy("_hash", "row").limit(SAMPLED * pivots)
+    ids = classes.join(F.broadcast(sample), "row").orderBy("_hash", "row").select("vector").collect()
     if not ids:
         return classes.sparkSession.createDataFrame([], "row long, n long, root long")
     # Vectors that end early count as zero beyond.
