@@ -220,11 +220,11 @@ def scored(docs: DataFrame, columns: list[str], text: str, model: GatedAttention
 
     Null and empty texts are one empty passage. Without a model every score is one half.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model and (model.mean, model.scale, model.weights))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = sent.value
+        network = sent.value and GatedAttention(*sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
