@@ -632,6 +632,20 @@ def q44_churn_labels(spark: SparkSession, directory: str) -> DataFrame:
     return as_long(labelled, "recency_days", "CHURN")
 
 
+def _prior_churn_set(spark: SparkSession, directory: str) -> DataFrame:
+    """As ``_churn_set``, with features that end before the window of the label begins."""
+    lines = views.ticket(spark, directory)
+    before = lines.where(F.col("TIC_DATE") <= F.lit(CHURN_START).cast("date"))
+    segments = rfm.rfm_segment(rfm.rfm_score(rfm.rfm_customer_table(before, CHURN_START)))
+    return churn.label_churn(segments, lines, CHURN_START, CHURN_END)
+
+
+@query
+def q44_prior_churn_labels(spark: SparkSession, directory: str) -> DataFrame:
+    labelled = rounded(_prior_churn_set(spark, directory), 2, "amount")
+    return as_long(labelled, "recency_days", "CHURN")
+
+
 @query
 def q45_split_sizes(spark: SparkSession, directory: str) -> DataFrame:
     split = churn.stratified_split(_churn_set(spark, directory))
@@ -681,6 +695,12 @@ def q46_logistic_coefficients(spark: SparkSession, directory: str) -> DataFrame:
     return churn.logistic_coefficients(_split(spark, directory).where("IS_TRAIN"))
 
 
+@query
+def q46_prior_logistic_coefficients(spark: SparkSession, directory: str) -> DataFrame:
+    """Terms of a model whose features do not know the window of the label."""
+    return churn.logistic_coefficients(checkpointed(_prior_churn_set(spark, directory)))
+
+
 def _stayers_expected(spark: SparkSession, directory: str, fit) -> DataFrame:
     """Sum of the probabilities to stay that a model gives to the rows it was fitted on."""
     train = _split(spark, directory).where("IS_TRAIN")

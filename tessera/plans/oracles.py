@@ -211,6 +211,11 @@ churn_set AS (
     CASE WHEN STAYS IS NULL THEN 1 ELSE 0 END AS CHURN
   FROM segments LEFT JOIN stayers ON customer_id IS NOT DISTINCT FROM ID_CLI)"""
 
+# The same with features up to the begin of the window.
+PRIOR_CHURN = CHURN.replace(
+    "FROM ticket GROUP BY 1", f"FROM ticket WHERE TIC_DATE <= DATE '{CHURN_START}' GROUP BY 1"
+).replace(RFM_END, CHURN_START)
+
 PREDICTED = f"""{CHURN},
 predicted AS (
   SELECT CHURN, transaction_count, round(amount, 2) AS amount,
@@ -732,6 +737,9 @@ SELECT CAST(frequency_score AS BIGINT) AS frequency_score,
     "q43_order_distribution": f"""WITH {SCORES}
 SELECT transaction_count, count(*) AS n FROM scores GROUP BY 1""",
     "q44_churn_labels": f"""WITH {CHURN}
+SELECT ID_CLI, segment, transaction_count, recency_days, round(amount, 2) AS amount,
+  CAST(CHURN AS BIGINT) AS CHURN FROM churn_set""",
+    "q44_prior_churn_labels": f"""WITH {PRIOR_CHURN}
 SELECT ID_CLI, segment, transaction_count, recency_days, round(amount, 2) AS amount,
   CAST(CHURN AS BIGINT) AS CHURN FROM churn_set""",
     "q45_split_sizes": f"""WITH {CHURN},

@@ -16,6 +16,7 @@ WITHOUT_SQL = {
     "q46_logistic_predictions",
     "q46_model_accuracy",
     "q46_logistic_coefficients",
+    "q46_prior_logistic_coefficients",
     "q46_importances",
     "q46_tree_sizes",
     "q46_resampled_accuracy",
@@ -60,6 +61,11 @@ def _larger_class(spark):
     return max(churned, 1 - churned)
 
 
+def test_terms_without_the_window_are_usable(spark):
+    found = QUERIES["q46_prior_logistic_coefficients"](spark, "/root/testdata/sf0.01").collect()
+    assert all(0 < r["std_error"] < 100 for r in found)
+
+
 def test_tree_reports(spark):
     weights = QUERIES["q46_importances"](spark, DIRECTORY).groupBy("MODEL").sum("IMPORTANCE").collect()
     assert all(abs(r[1] - 1) < 1e-9 for r in weights) and len(weights) == 2
