@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = {"_id": F.col("doc_id"), "_key": row_key(F.col("text")), "_source": F.col("source")}
     sized = docs.select(*[c.alias(k) for k, c in keys.items()], mixing.words(F.col("text")).alias("_size"))
     rows = mixing.mixed(sized, ["_id", "_key"], "_source", "_size")[1]
-    copies = F.expr("int(floor(sum(taken) / max(_size) + 0.5D))").alias("_copies")
+    copies = F.expr("bigint(floor(sum(taken) / max(_size) + 0.5D))").alias("_copies")
     counts = rows.where("taken > 0").groupBy(*keys).agg(F.count("*").alias("_rows"), copies)
     return mixing.copied(docs, keys, counts.where("_copies > 0"))
 

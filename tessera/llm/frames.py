@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import and_
@@ -11,12 +12,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.materialize import checkpointed
+from tessera.functions.materialize import checkpointed, ensure_checkpoint_dir
 
-__all__ = ["checkpointed", "dealt_by", "found_again", "free_name", "local_roots", "row_key", "row_numbers", "running_start", "runs"]
+__all__ = ["checkpointed", "dealt_by", "found_again", "free_name", "local_roots", "repeated", "row_key", "row_numbers", "running_start", "runs", "written"]
 
 #: Stretches into which a hash deals a group, so that no group meets in one task.
 STRETCHES = 4096
+#: Copies of a row that are counted out at a time.
+STEP = 10_000
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, which is smaller than a checkpoint."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_key(text: Column) -> Column:
@@ -50,6 +60,17 @@ def found_again(docs: DataFrame, keys: dict[str, Column], chosen: DataFrame, ext
     return single.unionByName(several).select(*docs.columns, *added), added
 
 
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, which goes; counted out in two steps.
+
+    A row that stands for very many gets no array of that length.
+    """
+    step, copy = free_name(df, "_step"), free_name(df, "_copy")
+    steps = df.where(F.col(times) > 0).withColumn(step, F.explode(F.expr(f"sequence(0L, (`{times}` - 1) div {STEP})")))
+    inside = F.expr(f"sequence({step} * {STEP}, least(`{times}`, ({step} + 1) * {STEP}) - 1)")
+    return steps.withColumn(copy, F.explode(inside)).drop(step, copy, times)
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """(key, rows) for each stretch of equal integer keys in sorted batches without null keys."""
     held: list[pa.Table] = []

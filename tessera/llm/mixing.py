@@ -11,6 +11,7 @@ from tessera.llm.frames import (
     checkpointed,
     found_again,
     free_name,
+    repeated,
     row_numbers,
     running_start,
 )
@@ -167,5 +168,4 @@ def copied(docs: DataFrame, keys: dict[str, Column], counts: DataFrame) -> DataF
     that are not in ``counts`` go.
     """
     found, (copies,) = found_again(docs, keys, counts, ["_copies"])
-    turn = free_name(found, "_turn")
-    return found.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    return repeated(found, copies).select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.frames import dealt_by, running_start
 
-#: Copies of one row that are written out at a time.
+#: Copies of a row that are counted out at a time.
 COPIES = 10_000
 
 
