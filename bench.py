@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  directory of the parquet tables (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_RUNS    timed runs per query after one warm-up; the median counts (default 2)
+BENCH_RUNS    timed runs per query after one warm-up; the median counts (default 1)
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def seconds(run, spark, directory: str) -> float:
 def main() -> None:
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     # one local machine: the folder that a cluster would name is a temporary one here
     checkpoints = tempfile.mkdtemp(prefix="tessera-bench-")
     spark = build_session(
