@@ -34,8 +34,9 @@ def integer_vectors(rows: DataFrame, vec_id: str, vector: str, factor: int = 256
 def marks_of(vectors: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper end of each of 2**``bits`` cells in each dimension.
 
-    ``bits`` is 1 to 8, as a cell is stored in a byte. Cells are equally wide between a dimension's smallest and largest component, which are taken
-    over all rows: two numbers a dimension reach the driver.
+    ``bits`` is 1 to 8, as a cell is stored in a byte. Cells are equally wide between a dimension's
+    smallest and largest component, which are taken over all rows: two numbers a dimension reach the
+    driver.
     """
     if not 1 <= bits <= 8:
         raise ValueError("bits must be 1 to 8")
