@@ -18,7 +18,7 @@ from tessera.llm.frames import checkpointed, found_again, local_roots, row_key,
 #: Shingles whose bits are counted together.
 COUNTED_TOGETHER = 1 << 17
 #: Fingerprints below a node of the level at which pairs of subtrees become tasks, on average.
-SUBTREE = 1 << 15
+SUBTREE = 1 << 13
 #: Pairs of fingerprints that a pair of nodes may hold to be compared at once, and node pairs that
 #: are split at a time.
 LEAF, FRONTIER = 64, 1 << 17
