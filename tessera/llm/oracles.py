@@ -155,8 +155,9 @@ WITH docs AS (
   FROM documents
 ), placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
 ), top AS (
-  SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS k FROM placed GROUP BY word
-), known AS (SELECT word, CAST(k AS BIGINT) AS id, n FROM top WHERE k <= 16384
+  SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS k,
+         count(*) OVER (ORDER BY count(*) DESC RANGE UNBOUNDED PRECEDING) AS upto FROM placed GROUP BY word
+), known AS (SELECT word, CAST(k AS BIGINT) AS id, n FROM top WHERE upto <= 16384
 ), totals AS (SELECT (SELECT count(*) FROM placed) AS total, (SELECT count(*) FROM docs WHERE len(w) > 0) AS texts, (SELECT sum(n) FROM known) AS kept
 ), ids AS (SELECT r, i, coalesce(id, 0) AS id FROM placed LEFT JOIN known USING (word)
 ), counts AS (
