@@ -223,7 +223,7 @@ def near_duplicates(prints: DataFrame, doc_id: str, fp: str, max_bits: int = 2)
     minima. Rows with a null fingerprint get a null component; a null id is never the smallest while
     its component has another. No rows give none.
     """
-    nodes = components(trie_links(prints, fp, max_bits), "a", "b")
+    nodes = components(checkpointed(trie_links(prints, fp, max_bits)), "a", "b")
     least = prints.groupBy(F.col(fp).alias("node")).agg(F.min(doc_id).alias("least"))
     labelled = least.join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
