@@ -601,7 +601,7 @@ def q42_segment_medians(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def q43_monetary_heatmap(spark: SparkSession, directory: str) -> DataFrame:
     heat = rfm.monetary_heatmap(rfm.rfm_score(_rfm_table(spark, directory)))
-    return as_long(rounded(heat, 6, "monetary"), "frequency_score", "recency_score")
+    return as_long(rounded(heat, 9, "monetary"), "frequency_score", "recency_score")
 
 
 @query

@@ -728,7 +728,7 @@ SELECT segment, round(median(amount), 2) AS median_monetary,
   round(median(CAST(recency_days AS DOUBLE)), 2) AS median_recency FROM segments GROUP BY 1""",
     "q43_monetary_heatmap": f"""WITH {SCORES}
 SELECT CAST(frequency_score AS BIGINT) AS frequency_score,
-  CAST(recency_score AS BIGINT) AS recency_score, round(avg(amount), 6) AS monetary
+  CAST(recency_score AS BIGINT) AS recency_score, round(avg(amount), 9) AS monetary
 FROM scores GROUP BY 1, 2""",
     "q43_score_counts": f"""WITH {SCORES}
 SELECT CAST(frequency_score AS BIGINT) AS frequency_score,
