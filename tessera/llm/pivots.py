@@ -95,21 +95,20 @@ def near_links(
     rank[by_rarity] = np.arange(len(points))
     prefix = k - shared + 1
     ranks = F.array(*[F.lit(int(r)) for r in rank])
-    lists = index.withColumn("ranks", F.array_sort(F.transform("pivots", lambda p: F.get(ranks, p))))
-    lists = lists.withColumn("pivot", F.explode(F.slice("ranks", 1, prefix)))
+    described_by = F.array_sort(F.transform("pivots", lambda p: F.get(ranks, p)))
+    ranked_index = index.select("row", "label", "copies", "vector", described_by.alias("ranks"))
+    # Lists and blocks are made of thin rows; a vector is added where it is needed.
+    lists = ranked_index.select("row", "label", F.explode(F.slice("ranks", 1, prefix)).alias("pivot"))
     lengths = lists.groupBy("label", "pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocked = lists.join(lengths, ["label", "pivot"]).withColumn("own", F.pmod(F.xxhash64("row"), "blocks"))
-    paired = blocked.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "label",
+    units = blocked.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+        "row",
         "pivot",
         F.least("own", "other").alias("first"),
         F.greatest("own", "other").alias("second"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "row",
-        "copies",
-        "vector",
-        "ranks",
     )
+    paired = units.join(ranked_index, "row")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (pivot, first, second, _), rows in runs(batches, ["pivot", "first", "second", "key"]):
