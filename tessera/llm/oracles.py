@@ -169,5 +169,21 @@ WITH docs AS (
   FROM seen s JOIN counts ca ON ca.id = s.a JOIN counts cb ON cb.id = s.b, totals
 ), sums AS (SELECT r, count(*) AS words, sum(score) / count(*) AS score FROM pairs JOIN model USING (a, b) GROUP BY r)
 SELECT doc_id, coalesce(words, 0) AS words, round(score, 6) AS score FROM docs LEFT JOIN sums USING (r)
+""",
+    "op9_whole_backoff": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+), counts AS (
+  SELECT word, count(*) AS n FROM placed GROUP BY word UNION ALL SELECT '', count(*) FROM docs WHERE len(w) > 0
+), pairs AS (SELECT r, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), '') AS a, word AS b FROM placed
+), seen AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY a, b
+), model AS (
+  SELECT s.a, s.b, CASE WHEN s.n >= 2 THEN log10(s.n / ca.n) ELSE log10(0.4::DOUBLE * cb.n / (SELECT count(*) FROM placed)) END AS score
+  FROM seen s JOIN counts ca ON ca.word = s.a JOIN counts cb ON cb.word = s.b
+), sums AS (SELECT r, count(*) AS words, sum(score) / count(*) AS score FROM pairs JOIN model USING (a, b) GROUP BY r)
+SELECT doc_id, coalesce(words, 0) AS words, round(score, 6) AS score FROM docs LEFT JOIN sums USING (r)
 """,
 }

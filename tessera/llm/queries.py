@@ -82,6 +82,12 @@ def op9_stupid_backoff(spark: SparkSession, directory: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def op9_whole_backoff(spark: SparkSession, directory: str) -> DataFrame:
+    """Mean word score of every document, every word with its own counts."""
+    found = backoff.whole_backoff_scores(table(spark, directory, "documents"), "doc_id", "text")
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op10_best_fit(spark: SparkSession, directory: str) -> DataFrame:
     """Sequence and offset of every piece of every document."""
     pieces = packing.token_pieces(table(spark, directory, "documents"), "doc_id", "text")
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_simhash_trie,
         op8_host_reputation,
         op9_stupid_backoff,
+        op9_whole_backoff,
         op10_best_fit,
     )
 }

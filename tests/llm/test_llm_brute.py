@@ -265,6 +265,37 @@ def test_backoff_by_hand(spark):
     assert found[4]["score"] is None
 
 
+def backoff_in_python(texts, order, least, alpha=0.4):
+    words = [t.encode().lower().split() for t in texts]
+    counts, total = collections.Counter(), sum(map(len, words))
+    for w in words:
+        padded = [b" "] * (order - 1) + w
+        for i in range(order - 1, len(padded)):
+            counts.update(tuple(padded[i - k : i + 1]) for k in range(order))
+        counts.update([(b" ",) * k for k in range(1, order)] if w else [])
+
+    def score(run):
+        if len(run) == 1:
+            return np.log10(counts[run] / total)
+        if counts[run] >= least:
+            return np.log10(counts[run] / counts[run[:-1]])
+        return np.log10(alpha) + score(run[1:])
+
+    padded = [[b" "] * (order - 1) + w for w in words]
+    return [np.mean([score(tuple(p[i - order + 1 : i + 1])) for i in range(order - 1, len(p))]) if w else None for w, p in zip(words, padded, strict=True)]
+
+
+def test_backoff_counts_every_word(spark):
+    # More words than any vocabulary had; two texts of rare words, one of them repeated.
+    texts = [" ".join(f"w{i}" for i in range(k, 20_000, 7)) for k in range(7)]
+    texts += ["w1 w2 w3 w1 w2 w3", "w1 w2 w3", "", "rare words here", "rare words here", "the only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    found = {r["doc_id"]: r for r in backoff.whole_backoff_scores(docs, "doc_id", "text").collect()}
+    expected = backoff_in_python(texts, 2, 2)
+    assert len(found) == len(texts) and found[9]["words"] == 0 and found[9]["score"] is None
+    assert all(abs(found[i]["score"] - e) < 1e-9 for i, e in enumerate(expected) if e is not None)
+
+
 def test_pipeline(spark, documents):
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
