@@ -18,10 +18,12 @@ from tessera.llm.frames import (
 
 #: The golden ratio's fraction times 2**31, odd: its multiples step through all 2**31 points.
 GOLDEN, POINTS = 1327217885, 1 << 31
-#: Slots of a schedule; blocks are as many words as this many slots need.
+#: Slots of a schedule with large sources; blocks are as many words as this many slots need.
 SLOTS = 1 << 20
-#: Cells in which the points' owners are looked up.
-CELLS = 1024
+#: A source with less than this part of the slots has shorter blocks, so that it has about as many.
+PART, FEWEST = 1 / 4096, 64
+#: Cells in which the points' owners are looked up, and slots a cell has at most on average.
+CELLS, PER_CELL = 1024, 1024
 
 
 def words(text: Column) -> Column:
@@ -65,35 +67,53 @@ def schedule(targets: DataFrame, block: Column, slots: int = SLOTS) -> DataFrame
     """(slot, place, turn): which source each slot of the mix draws from, and its rank there.
 
     Slot i falls on the fraction of i times the golden ratio, which is mapped through the sources'
-    cumulative targets, so that every stretch of the schedule holds the sources near their shares.
-    There are as many slots as ``block`` words need for all targets. Points and sources meet by the
-    cell they fall in, so neither side is broadcast for this.
+    cumulative numbers of blocks, so that every stretch of the schedule holds the sources near their
+    shares. ``block`` is a source's words a slot; there are as many slots as all targets need, up to
+    ``slots``. Points and sources meet by the cell they fall in, so neither side is broadcast for
+    this.
     """
     upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    many = max(CELLS, slots // PER_CELL)
     ranges = (
-        targets.withColumn("_all", F.sum("target").over(whole))
-        .withColumn("_to", F.sum("target").over(upto))
+        targets.withColumn("_blocks", F.col("target") / block)
+        .withColumn("_all", F.sum("_blocks").over(whole))
+        .withColumn("_to", F.sum("_blocks").over(upto))
         .where("target > 0")
-        .withColumn("low", (F.col("_to") - F.col("target")) / F.col("_all"))
+        .withColumn("low", (F.col("_to") - F.col("_blocks")) / F.col("_all"))
         # The last end is one; points are below it.
         .withColumn("high", F.when(F.col("_to") >= F.col("_all"), F.lit(1.0)).otherwise(F.col("_to") / F.col("_all")))
-        .withColumn("_slots", F.ceil(F.col("_all") / block))
+        .withColumn("_slots", F.ceil("_all"))
     )
     cells = ranges.withColumn(
         "cell",
-        F.explode(F.expr(f"sequence(int(floor(low * {CELLS})), int(least({CELLS - 1}, floor(high * {CELLS}))))")),
+        F.explode(F.expr(f"sequence(int(floor(low * {many})), int(least({many - 1}, floor(high * {many}))))")),
     )
     points = (
         targets.sparkSession.range(slots)
         .withColumnRenamed("id", "slot")
         .withColumn("point", (F.col("slot") % POINTS * GOLDEN % POINTS).cast("double") / POINTS)
-        .withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
+        .withColumn("cell", F.floor(F.col("point") * many).cast("int"))
     )
     taken = points.join(cells, "cell").where("point >= low and point < high and slot < _slots").select("slot", "place")
     return row_numbers(taken, ["place"], F.expr("slot div 1024"), [F.col("slot")], "turn")
 
 
+def filled_up(slotted: DataFrame, targets: DataFrame, slots: int) -> DataFrame:
+    """``slotted`` with exactly ``_turns`` slots for each place that has any said in ``targets``.
+
+    Points miss such a number by a few. Slots above it go; those missing follow after slot ``slots``.
+    """
+    said = targets.where("_turns is not null").select("place", "_turns")
+    kept = slotted.join(said, "place", "left").where("_turns is null or turn < _turns").select("slot", "place", "turn")
+    had = said.join(slotted.groupBy("place").agg(F.count("*").alias("_had")), "place", "left")
+    had = had.withColumn("_had", F.coalesce("_had", F.lit(0))).where("_had < _turns")
+    missing = had.withColumn("turn", F.explode(F.expr("sequence(_had, _turns - 1)")))
+    sources = targets.agg(F.max("place")).first()[0] + 1
+    slot = (F.lit(slots) + (F.col("turn") - F.col("_had")) * sources + F.col("place")).cast("long")
+    return kept.unionByName(missing.select(slot.alias("slot"), "place", "turn"))
+
+
 def mixed(
     docs: DataFrame,
     columns: list[str],
@@ -113,17 +133,27 @@ def mixed(
     A source's rows are shuffled by a hash of ``columns`` and laid end to end; the line is cut into
     blocks of equal words, the last one shorter. The source's n-th slot takes block n, beginning
     again after the last one, but never more than ``most`` times. Blocks have as many words as
-    ``slots`` slots need for all targets, one at least, so the schedule never outgrows ``slots`` and
-    each source misses its target by a few blocks at most. Rows without words take none; a null
-    source is a source; equal rows are rows of their own; no rows give none.
+    ``slots`` slots need for all targets, one at least; a source whose target is less than ``PART``
+    of these slots (``FEWEST`` at least) has blocks that are shorter by as much, and its slots are
+    rounded from its target. So a source misses its target by a few of its own blocks, of which it
+    has that many, or of single words; the schedule outgrows ``slots`` only by those of small
+    sources. Rows without words take none; a null source is a source; equal rows are rows of their
+    own; no rows give none.
     """
     keep = list(dict.fromkeys([*columns, source, size]))
     sizes = checkpointed(docs.select(*keep))
     targets = checkpointed(source_targets(sizes, source, size, weights, share, most))
     total = targets.agg(F.sum("source_size")).first()[0] or 0
-    words_of = max(1, math.ceil(min(share, most) * total / slots))
+    common = max(1, math.ceil(min(share, most) * total / slots))
+    parts = max(FEWEST, int(slots * PART))
+    own = F.greatest(F.lit(1), F.least(F.lit(common), F.floor(F.col("target") / parts))).cast("long")
+    turns = F.when(F.col("_words") < common, F.floor(F.col("target") / F.col("_words") + 0.5)).cast("long")
+    targets = targets.withColumn("_words", own).withColumn("_turns", turns)
+    need, small = targets.agg(F.sum(F.col("target") / F.col("_words")), F.count("_turns")).first()
+    # Rounding may take a sum above the ceiling of another order's.
+    slots = math.ceil(need or 0) + 1
     of = free_name(sizes, "_of_source")
-    known = targets.withColumnRenamed(source, of)
+    known = targets.drop("_turns").withColumnRenamed(source, of)
     rows = sizes.join(known, F.col(source).eqNullSafe(F.col(of))).drop(of)
     rows = checkpointed(
         running_start(
@@ -134,11 +164,13 @@ def mixed(
             {size: "_from"},
         ).drop("_hash")
     )
-    slotted = schedule(targets, F.lit(words_of), slots).join(targets.select("place", "source_size"), "place")
-    blocks = F.expr(f"(source_size + {words_of - 1}) div {words_of}")
+    slotted = schedule(targets, F.col("_words"), slots)
+    if small:
+        slotted = filled_up(checkpointed(slotted), targets, slots)
+    slotted = slotted.join(targets.select("place", "source_size", "_words"), "place")
     drawn = (
-        slotted.withColumn("block", F.col("turn") % blocks)
-        .withColumn("pass", F.expr(f"turn div ((source_size + {words_of - 1}) div {words_of})"))
+        slotted.withColumn("block", F.expr("turn % ((source_size + _words - 1) div _words)"))
+        .withColumn("pass", F.expr("turn div ((source_size + _words - 1) div _words)"))
         .where(F.col("pass") < int(most))
         .select("slot", "place", "block", "pass")
     )
@@ -148,17 +180,18 @@ def mixed(
         "place",
         *columns,
         "_from",
+        "_words",
         F.col(size).alias("_size"),
-        F.explode(F.expr(f"sequence(_from div {words_of}, (_from + `{size}` - 1) div {words_of})")).alias("block"),
+        F.explode(F.expr(f"sequence(_from div _words, (_from + `{size}` - 1) div _words)")).alias("block"),
     )
-    begin = F.greatest(F.col("_from"), F.col("block") * words_of)
-    end = F.least(F.col("_from") + F.col("_size"), (F.col("block") + 1) * words_of)
+    begin = F.greatest(F.col("_from"), F.col("block") * F.col("_words"))
+    end = F.least(F.col("_from") + F.col("_size"), (F.col("block") + 1) * F.col("_words"))
     pieces = spans.join(drawn, ["place", "block"]).select(
         "_row", "slot", "place", "block", "pass", *columns, (begin - F.col("_from")).alias("start"), (end - begin).alias("words")
     )
     sums = pieces.groupBy("_row").agg(F.sum("words").alias("taken"))
     whole = numbered.join(sums, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return pieces.drop("_row"), whole.drop("_row", "_from", "place")
+    return pieces.drop("_row"), whole.drop("_row", "_from", "_words", "place")
 
 
 def copied(docs: DataFrame, keys: dict[str, Column], counts: DataFrame) -> DataFrame:

@@ -265,6 +265,23 @@ def test_backoff_by_hand(spark):
     assert found[4]["score"] is None
 
 
+@pytest.mark.parametrize("large", [1_000_000, 20_000_000])
+def test_small_sources_of_a_large_mix(spark, large):
+    # A block of the large sources is longer than all words of "few", "one" and "tiny".
+    rows = [(i, "ab"[i % 2], large) for i in range(200)]
+    rows += [(1000 + i, "tiny", 10) for i in range(5)] + [(2000 + i, "few", 25) for i in range(8)] + [(3000, "one", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    pieces, found = mixing.mixed(docs, ["doc_id"], "source", "size")
+    found = found.collect()
+    taken, targets = collections.Counter(), {r["source"]: r["target"] for r in found}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+    assert len(found) == len(rows) and set(taken) == {"a", "b", "few", "one", "tiny"}
+    assert all(abs(taken[s] - t) <= max(0.5, 0.01 * t) for s, t in targets.items())
+    slots = pieces.groupBy("slot").agg({"place": "min", "block": "max"}).count()
+    assert slots == pieces.select("slot", "place", "block").distinct().count()
+
+
 def backoff_in_python(texts, order, least, alpha=0.4):
     words = [t.encode().lower().split() for t in texts]
     counts, total = collections.Counter(), sum(map(len, words))
