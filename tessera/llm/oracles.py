@@ -185,5 +185,20 @@ WITH docs AS (
   FROM seen s JOIN counts ca ON ca.word = s.a JOIN counts cb ON cb.word = s.b
 ), sums AS (SELECT r, count(*) AS words, sum(score) / count(*) AS score FROM pairs JOIN model USING (a, b) GROUP BY r)
 SELECT doc_id, coalesce(words, 0) AS words, round(score, 6) AS score FROM docs LEFT JOIN sums USING (r)
+""",
+    "op9_trigram_backoff": rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+  FROM documents
+), placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+), runs AS (
+  SELECT r, lag(word, 2, '') OVER (PARTITION BY r ORDER BY i) AS a, lag(word, 1, '') OVER (PARTITION BY r ORDER BY i) AS b, word AS c FROM placed
+), pairs AS (
+  SELECT b AS a, c AS b, count(*) AS n FROM runs GROUP BY ALL UNION ALL SELECT '', '', count(*) FROM docs WHERE len(w) > 0
+), seen AS (SELECT a, b, c, count(*) AS n FROM runs GROUP BY a, b, c
+), model AS (SELECT s.a, s.b, s.c, log10(s.n / p.n) AS score FROM seen s JOIN pairs p USING (a, b)
+), sums AS (SELECT r, count(*) AS words, sum(score) / count(*) AS score FROM runs JOIN model USING (a, b, c) GROUP BY r)
+SELECT doc_id, coalesce(words, 0) AS words, round(score, 6) AS score FROM docs LEFT JOIN sums USING (r)
 """,
 }

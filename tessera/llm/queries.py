@@ -84,6 +84,12 @@ def op9_stupid_backoff(spark: SparkSession, directory: str) -> DataFrame:
 
 def op9_whole_backoff(spark: SparkSession, directory: str) -> DataFrame:
     """Mean word score of every document, every word with its own counts."""
+    found = backoff.whole_backoff_scores(table(spark, directory, "documents"), "doc_id", "text", order=2, least=2)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def op9_trigram_backoff(spark: SparkSession, directory: str) -> DataFrame:
+    """Mean word score of every document by runs of three words, all counts above zero used."""
     found = backoff.whole_backoff_scores(table(spark, directory, "documents"), "doc_id", "text")
     return found.withColumn("score", F.round("score", 6))
 
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_host_reputation,
         op9_stupid_backoff,
         op9_whole_backoff,
+        op9_trigram_backoff,
         op10_best_fit,
     )
 }

@@ -307,12 +307,22 @@ def test_backoff_counts_every_word(spark):
     texts = [" ".join(f"w{i}" for i in range(k, 20_000, 7)) for k in range(7)]
     texts += ["w1 w2 w3 w1 w2 w3", "w1 w2 w3", "", "rare words here", "rare words here", "the only"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    found = {r["doc_id"]: r for r in backoff.whole_backoff_scores(docs, "doc_id", "text").collect()}
+    found = {r["doc_id"]: r for r in backoff.whole_backoff_scores(docs, "doc_id", "text", order=2, least=2).collect()}
     expected = backoff_in_python(texts, 2, 2)
     assert len(found) == len(texts) and found[9]["words"] == 0 and found[9]["score"] is None
     assert all(abs(found[i]["score"] - e) < 1e-9 for i, e in enumerate(expected) if e is not None)
 
 
+@pytest.mark.parametrize("least", [None, 2])
+def test_backoff_by_three_words(spark, least):
+    texts = ["a b c a b d", "A b c", "b c a", "x", "", "b d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    more = {} if least is None else {"least": least}
+    found = {r["doc_id"]: r["score"] for r in backoff.whole_backoff_scores(docs, "doc_id", "text", **more).collect()}
+    expected = backoff_in_python(texts, 3, least or 1)
+    assert all((found[i] is None and e is None) or abs(found[i] - e) < 1e-9 for i, e in enumerate(expected))
+
+
 def test_pipeline(spark, documents):
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
