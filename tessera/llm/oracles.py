@@ -200,5 +200,42 @@ WITH docs AS (
 ), model AS (SELECT s.a, s.b, s.c, log10(s.n / p.n) AS score FROM seen s JOIN pairs p USING (a, b)
 ), sums AS (SELECT r, count(*) AS words, sum(score) / count(*) AS score FROM runs JOIN model USING (a, b, c) GROUP BY r)
 SELECT doc_id, coalesce(words, 0) AS words, round(score, 6) AS score FROM docs LEFT JOIN sums USING (r)
+""",
+    "op11_grammar_runs": rf"""
+WITH checked AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS said,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(CAST(doc_id AS VARCHAR))),
+           lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i + 1]) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+             lambda x, bit: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS h
+  FROM documents
+), sized AS (SELECT *, len(said) AS n, h // 10 AS g FROM checked
+), planted AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM sized
+), docs AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM planted
+), words AS (
+  SELECT doc_id, n, i, said[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM docs, LATERAL (SELECT unnest(range(n)) AS i)
+), equal AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, first([start, length, period] ORDER BY length DESC, start, period) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id
+), dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text
+  FROM words w LEFT JOIN dropped d ON w.doc_id = d.doc_id AND w.i = d.i WHERE d.i IS NULL GROUP BY w.doc_id
+)
+SELECT docs.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+       1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import attention, backoff, chat, hosts, mixing, packing, pivots, sharding, simhash, topk
+from tessera.llm import alignment, attention, backoff, chat, hosts, mixing, packing, periodic, pivots, sharding, simhash, topk
 
 SHARDS = 40
 #: Host and path rules of the page filter, and their verdicts.
@@ -100,6 +100,30 @@ def op10_best_fit(spark: SparkSession, directory: str) -> DataFrame:
     return packing.packed(packing.digests(pieces), "length")
 
 
+def op11_grammar_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made to repeat, and the text without them."""
+    docs = periodic.with_repeats(table(spark, directory, "documents").select("doc_id", "text"), "doc_id", "text")
+    found = periodic.periodic_runs(docs, ["doc_id"], "text")
+    # Longest first, then by start and period.
+    best = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start as start, -r.period as period)))")
+    lines = F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))")
+    return found.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_best.start")).alias("start"),
+        F.col("_best.length").alias("length"),
+        (-F.col("_best.period")).alias("period"),
+        F.expr("1000 * _best.length div -_best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    """Alignment of a byte-level and a piece vocabulary on every document."""
+    return alignment.alignment_measures(table(spark, directory, "documents"), ["doc_id"], "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -115,5 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_whole_backoff,
         op9_trigram_backoff,
         op10_best_fit,
+        op11_grammar_runs,
+        op13_token_alignment,
     )
 }
