@@ -61,7 +61,7 @@ def grammar(words: np.ndarray, text_of: np.ndarray) -> tuple[Boundaries, np.ndar
     last period's occur again, so a text without ``LEAST - 1`` such pairs in a row has no run: it is
     left out after the first count.
     """
-    begins = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]]) if len(words) else np.empty(0, dtype=np.int64)
+    begins = np.flatnonzero(np.r_[True, text_of[1:] != text_of[:-1]])
     ends = np.r_[begins[1:], len(words)]
     end_of = np.repeat(ends, ends - begins)
     symbols, place, text = words.astype(np.int64), np.arange(len(words)), text_of
@@ -259,9 +259,12 @@ def runs_of(words: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     ``words`` are numbers that no two texts share; ``text_of`` does not decrease.
     """
+    none = np.empty(0, dtype=np.int64)
+    if len(words) < LEAST:
+        return none, none, none
     where, rule_at, (rule, derived_at) = grammar(words, text_of)
     if not len(where.at):
-        return (np.empty(0, dtype=np.int64),) * 3
+        return none, none, none
     inside = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(inside, where.low, 1)
     np.add.at(inside, where.high, -1)

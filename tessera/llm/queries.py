@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, attention, backoff, chat, hosts, mixing, packing, periodic, pivots, sharding, simhash, topk
+from tessera.llm import alignment, attention, backoff, chat, hosts, mixing, packing, periodic, pivots, secrets, sharding, simhash, topk
 
 SHARDS = 40
 #: Host and path rules of the page filter, and their verdicts.
@@ -119,6 +119,20 @@ def op11_grammar_runs(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op12_field_secrets(spark: SparkSession, directory: str) -> DataFrame:
+    """Secrets in every document: matches of the base patterns, and what the field adds."""
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    found = secrets.secret_spans(docs, ["doc_id"], "text", secrets.learned(docs, ["doc_id"], "text"))
+    base = [F.expr(f"bigint(size(filter(spans, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    listed = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    return found.select(
+        "doc_id",
+        *base,
+        F.sha2(F.expr(listed.format(f"filter(spans, s -> s.kind <> '{secrets.KINDS[3]}')")), 256).alias("base_sha256"),
+        F.expr(listed.format("spans")).alias("spans"),
+    )
+
+
 def op13_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
     """Alignment of a byte-level and a piece vocabulary on every document."""
     return alignment.alignment_measures(table(spark, directory, "documents"), ["doc_id"], "text")
@@ -140,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_trigram_backoff,
         op10_best_fit,
         op11_grammar_runs,
+        op12_field_secrets,
         op13_token_alignment,
     )
 }

@@ -7,7 +7,7 @@ from tessera.llm.oracles import ORACLES
 from tessera.llm.queries import QUERIES
 
 DIRECTORY = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"op5_feistel_shards", "op6_attention_quality", "op7_simhash_trie", "op10_best_fit", "op13_token_alignment"}
+WITHOUT_SQL = {"op5_feistel_shards", "op6_attention_quality", "op7_simhash_trie", "op10_best_fit", "op12_field_secrets", "op13_token_alignment"}
 
 
 @pytest.fixture(scope="module")
