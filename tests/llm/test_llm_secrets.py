@@ -106,10 +106,6 @@ def test_field_finds_secrets_it_has_not_seen(spark, field):
         extra += sum(all(e <= b[0] or b[2] <= s for b in base) for s, e in own)
     # Learned from 31 windows with a secret.
     assert known > 10 and hit > 0.75 * known and extra <= 0.01 * len(rows)
-    told = "A line of prose.\ncredential = \"24BE64439E3E49CF46B2D7C90F3602A3\"\nAnother line of it."
-    (states,) = tagger([told.encode()])
-    assert secrets.base_spans(told, told.encode()) == []
-    assert [told[s:e] for s, e in secrets.field_spans(told, states)] == ["24BE64439E3E49CF46B2D7C90F3602A3"]
 
 
 def test_scores_are_those_of_the_features(field):
