@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -147,6 +148,94 @@ def association_rules(
     )
 
 
+def frequent_itemsets(
+    pairs: DataFrame, min_support: float = 0.001, max_length: int = 10
+) -> tuple[DataFrame, int]:
+    """(items, count) of the sets of up to ``max_length`` items in enough baskets, and all baskets.
+
+    ``pairs`` are distinct (basket_id, item). Sets grow level by level and the search ends with
+    ``max_length``, or where no set is left. The frequent sets that a basket holds are a table with
+    the set they extend and their last item; two of a basket that extend the same set make one of the
+    next level. Their baskets are counted by a grouped count, map-side first, so neither items nor
+    sets reach the driver. A basket's items meet only as far as they are frequent together.
+    """
+    pairs = checkpointed(pairs)
+    total = pairs.agg(F.count_distinct("basket_id")).first()[0]
+    enough = F.col("count") >= F.lit(min_support) * F.lit(float(total))
+    numbered = F.monotonically_increasing_id()
+    single = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("count")).where(enough)
+    single = checkpointed(single).withColumn("set", numbered)
+    levels = [single.select(F.array("item").alias("items"), "count")]
+    last = single.select("set", F.array("item").alias("items"))
+    held = pairs.join(single.select("item", "set"), "item").select(
+        "basket_id", F.lit(0).cast("long").alias("prefix"), "set", "item"
+    )
+    for length in range(2, max_length + 1):
+        held = checkpointed(held)
+        other = held.select(
+            F.col("basket_id").alias("__basket"),
+            F.col("prefix").alias("__prefix"),
+            F.col("item").alias("__item"),
+        )
+        same = F.col("basket_id").eqNullSafe(F.col("__basket")) & (F.col("prefix") == F.col("__prefix"))
+        grown = held.join(other, same & (F.col("item") < F.col("__item"))).select(
+            "basket_id", F.col("set").alias("prefix"), F.col("__item").alias("item")
+        )
+        counts = grown.groupBy("prefix", "item").agg(F.count(F.lit(1)).alias("count")).where(enough)
+        found = checkpointed(counts)
+        if found.isEmpty():
+            break
+        found = found.withColumn("set", numbered)
+        whole = last.withColumnRenamed("set", "prefix")
+        named = found.join(whole, "prefix").select(
+            "set", F.concat("items", F.array("item")).alias("items"), "count"
+        )
+        named = checkpointed(named)
+        levels.append(named.select("items", "count"))
+        last = named.select("set", "items")
+        if length < max_length:
+            held = grown.join(found.select("prefix", "item", "set"), ["prefix", "item"]).select(
+                "basket_id", "prefix", "set", "item"
+            )
+    return reduce(DataFrame.unionByName, levels), total
+
+
+def bounded_rules(
+    pairs: DataFrame, min_support: float = 0.001, min_confidence: float = 0.8, max_length: int = 10
+) -> DataFrame:
+    """Rules as from ``association_rules``, from a search that ends at ``max_length`` items.
+
+    Each frequent set gives a rule per item; its other items are looked up among the frequent sets,
+    which hold all their parts. A rule with an empty left-hand side is covered by all baskets.
+    """
+    sets, total = frequent_itemsets(pairs, min_support, max_length)
+    rules = sets.select("count", "items", F.explode("items").alias("__item")).select(
+        F.array_sort(F.array_remove("items", F.col("__item"))).alias("antecedent"),
+        F.array("__item").alias("consequent"),
+        "count",
+    )
+    known = sets.select(F.col("items").alias("__items"), F.col("count").alias("__count"))
+    one = known.where(F.size("__items") == 1).select(
+        F.col("__items").alias("__one"), F.col("__count").alias("__one_count")
+    )
+    joined = (
+        rules.join(known, F.col("antecedent") == F.col("__items"), "left")
+        .withColumn("__count", F.when(F.size("antecedent") == 0, total).otherwise(F.col("__count")))
+        .withColumn("confidence", F.col("count") / F.col("__count"))
+        .where(F.col("confidence") >= min_confidence)
+        .join(one, F.col("consequent") == F.col("__one"))
+    )
+    return joined.select(
+        "antecedent",
+        "consequent",
+        (F.col("count") / total).alias("support"),
+        "confidence",
+        (F.col("__count") / total).alias("coverage"),
+        (F.col("confidence") / (F.col("__one_count") / total)).alias("lift"),
+        "count",
+    )
+
+
 def rule_count(rules: DataFrame) -> DataFrame:
     return rules.agg(F.count(F.lit(1)).alias("n_rules"))
 

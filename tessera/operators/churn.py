@@ -90,7 +90,8 @@ def stratified_split(
     )
 
 
-def _features(one_hot: bool) -> list:
+def feature_stages(one_hot: bool) -> list:
+    """Unfitted stages that make ``features`` of the segment and the three measures."""
     indexer = StringIndexer(
         inputCol="segment", outputCol="segment_index", handleInvalid="keep"
     )
@@ -104,7 +105,7 @@ def _features(one_hot: bool) -> list:
     return [indexer, encoder, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
-def _labelled(df: DataFrame, label: str) -> DataFrame:
+def labelled(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("label", F.col(label).cast("double"))
 
 
@@ -128,7 +129,7 @@ def fit_decision_tree(
         minInfoGain=min_gain,
         seed=seed,
     )
-    return Pipeline(stages=[*_features(False), tree]).fit(_labelled(train, label))
+    return Pipeline(stages=[*feature_stages(False), tree]).fit(labelled(train, label))
 
 
 def fit_random_forest(
@@ -137,7 +138,7 @@ def fit_random_forest(
     forest = RandomForestClassifier(
         numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed
     )
-    return Pipeline(stages=[*_features(False), forest]).fit(_labelled(train, label))
+    return Pipeline(stages=[*feature_stages(False), forest]).fit(labelled(train, label))
 
 
 def fit_logistic(
@@ -146,7 +147,7 @@ def fit_logistic(
     """Unpenalised logistic regression on the one-hot segment and the three measures."""
     weights = {"weightCol": weight} if weight else {}
     model = LogisticRegression(regParam=0.0, maxIter=max_iter, tol=1e-9, **weights)
-    return Pipeline(stages=[*_features(True), model]).fit(_labelled(train, label))
+    return Pipeline(stages=[*feature_stages(True), model]).fit(labelled(train, label))
 
 
 def importances(model: PipelineModel) -> dict[str, float]:
@@ -183,6 +184,18 @@ def _error(predicted: DataFrame, label: str) -> float | None:
     return predicted.agg(wrong).first()[0]
 
 
+def poisson_weight(id_column: str, seed: int, number: int) -> Column:
+    """A Poisson(1) weight of a row in resample ``number``, the same in every run."""
+    drawn = F.xxhash64(F.lit(seed), F.lit(number), F.col(id_column))
+    uniform = F.pmod(drawn, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    limits, term, total = [], math.exp(-1.0), 0.0
+    for k in range(1, 18):
+        total += term
+        limits.append(total)
+        term /= k
+    return reduce(add, [(uniform >= limit).cast("int") for limit in limits]).cast("double")
+
+
 def resampled_accuracy(
     train: DataFrame,
     resamples: int = 25,
@@ -197,15 +210,7 @@ def resampled_accuracy(
     """
     found = []
     for number in range(resamples):
-        drawn = F.xxhash64(F.lit(seed), F.lit(number), F.col(id_column))
-        uniform = F.pmod(drawn, F.lit(1 << 40)) / F.lit(float(1 << 40))
-        limits, term, total = [], math.exp(-1.0), 0.0
-        for k in range(1, 18):
-            total += term
-            limits.append(total)
-            term /= k
-        weight = reduce(add, [(uniform >= limit).cast("int") for limit in limits])
-        weighted = train.withColumn("__weight", weight.cast("double"))
+        weighted = train.withColumn("__weight", poisson_weight(id_column, seed, number))
         model = fit_logistic(weighted.where("__weight > 0"), label, weight="__weight")
         left_out = predict(model, weighted.where("__weight = 0"), "logistic", id_column, label)
         hit = F.avg((F.col("PREDICTED") == F.col(label)).cast("double"))
@@ -220,9 +225,11 @@ def logistic_coefficients(
     """Coefficient, standard error, z value and p value per term of the binomial model.
 
     The most frequent segment is the reference level. Weighted least squares needs terms that are
-    not collinear; levels absent from ``train`` have no term.
+    not collinear; levels absent from ``train`` have no term. ``separated`` marks terms that decide
+    the label alone (`separated_terms`): they have no finite estimate, and what is reported for them
+    is where the iterations stopped. A reference level that decides it marks the intercept.
     """
-    data = _labelled(train, label)
+    data = labelled(train, label)
     indexer = StringIndexer(inputCol="segment", outputCol="segment_index").fit(data)
     levels = indexer.labels
     terms = [
@@ -238,6 +245,9 @@ def logistic_coefficients(
     summary = model.summary
     # statistics list the coefficients first and the intercept last
     estimates = [*model.coefficients.toArray().tolist(), model.intercept]
+    decided = {r["TERM"] for r in separated_terms(train, label).select("TERM").collect()}
+    if f"segment={levels[0]}" in decided:
+        decided.add("(Intercept)")
     if reg_param:
         table = [(t, float(e), None, None, None) for t, e in zip([*names, "(Intercept)"], estimates)]
     else:
@@ -251,9 +261,54 @@ def logistic_coefficients(
                 summary.pValues,
             )
         ]
-    return train.sparkSession.createDataFrame(
-        table, "term string, estimate double, std_error double, z_value double, p_value double"
+    schema = "term string, estimate double, std_error double, z_value double, p_value double"
+    marked = [(*row, row[0] in decided) for row in table]
+    return train.sparkSession.createDataFrame(marked, f"{schema}, separated boolean")
+
+
+def separated_terms(df: DataFrame, label: str = "CHURN") -> DataFrame:
+    """Terms whose logistic estimate is not finite: TERM, CLASS, KIND and N_ROWS.
+
+    A segment all of whose rows are of one class decides it (KIND ``level``). A measure whose values
+    in one class all lie above those in the other separates the classes, ``complete`` or, if the two
+    ranges touch, ``quasi``; CLASS is the one above. One pass counts the classes per segment and takes
+    the measures' ranges per class. A label of one class separates nothing. Separation by several
+    measures together is not looked for.
+    """
+    cells = df.groupBy(F.col("segment"), F.col(label).cast("int").alias("__class")).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[f(F.col(c).cast("double")).alias(f"__{n}_{c}") for c in NUMERIC_FEATURES for n, f in (("low", F.min), ("high", F.max))],
+    )
+    levels = (
+        cells.where("segment IS NOT NULL")
+        .groupBy("segment")
+        .agg(F.count_distinct("__class").alias("__classes"), F.min("__class").alias("CLASS"), F.sum("__n").alias("N_ROWS"))
+        .where("__classes = 1")
+        .select(F.concat(F.lit("segment="), "segment").alias("TERM"), "CLASS", F.lit("level").alias("KIND"), "N_ROWS")
     )
+    by_class = [
+        f(F.when(F.col("__class") == k, F.col(f"__{n}_{c}"))).alias(f"{n}_{k}_{c}")
+        for c in NUMERIC_FEATURES
+        for n, f in (("low", F.min), ("high", F.max))
+        for k in (0, 1)
+    ]
+    ranges = cells.agg(F.sum("__n").alias("N_ROWS"), F.count_distinct("__class").alias("__classes"), *by_class)
+    found = [levels]
+    for c in NUMERIC_FEATURES:
+        for above in (1, 0):
+            low, high = F.col(f"low_{above}_{c}"), F.col(f"high_{1 - above}_{c}")
+            kind = F.when(low > high, "complete").when(low == high, "quasi")
+            # A measure of one value only separates nothing.
+            spread = F.col(f"high_{above}_{c}") > F.col(f"low_{1 - above}_{c}")
+            found.append(
+                ranges.where(kind.isNotNull() & spread).select(
+                    F.lit(c).alias("TERM"), F.lit(above).alias("CLASS"), kind.alias("KIND"), "N_ROWS"
+                )
+            )
+    none = df.select(F.col(label)).agg(F.count_distinct(label).alias("__classes")).where("__classes > 1")
+    every = reduce(DataFrame.unionByName, found)
+    # One row or none.
+    return every.join(F.broadcast(none), how="left_semi", on=F.lit(True))
 
 
 def predict(

@@ -24,6 +24,7 @@ from tessera.operators import (
     quality,
     rfm,
     tickets,
+    trees,
 )
 from tessera.sources import views
 
@@ -37,6 +38,7 @@ RULE_ITEM = "ITEM_GROUP"
 RULE_SUPPORT, RULE_CONFIDENCE = 0.001, 0.3
 ARTICLE_SUPPORT, ARTICLE_CONFIDENCE = 0.0001, 0.05
 FREQUENT_ARTICLE = 0.002
+TRIPLE_SUPPORT, TRIPLE_CONFIDENCE = 0.00002, 0.5
 # A label that any model can learn without a mistake.
 RULE_SEGMENTS = ("At Risk", "Lost", "About To Sleep")
 
@@ -720,6 +722,64 @@ def q46_logistic_balance(spark: SparkSession, directory: str) -> DataFrame:
     return _stayers_expected(spark, directory, churn.fit_logistic)
 
 
+def _ruled(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers with a label that a rule decides."""
+    ruled = F.col("segment").isin(*RULE_SEGMENTS).cast("int")
+    return checkpointed(_churn_set(spark, directory).withColumn("CHURN", ruled))
+
+
+@query
+def q46_complexity_table(spark: SparkSession, directory: str) -> DataFrame:
+    """Complexity, splits and errors, cross-validated too, of the pruned churn tree."""
+    return trees.complexity_table(_split(spark, directory).where("IS_TRAIN"))
+
+
+@query
+def q46_rule_complexity_table(spark: SparkSession, directory: str) -> DataFrame:
+    """The same for a label that one split decides."""
+    return rounded(trees.complexity_table(_ruled(spark, directory)), 9, "XERROR", "XSTD")
+
+
+@query
+def q46_tree_nodes(spark: SparkSession, directory: str) -> DataFrame:
+    """Every node of the churn tree with its rows and its rule."""
+    nodes = trees.node_table(churn.fit_decision_tree(_split(spark, directory).where("IS_TRAIN")))
+    return joined_items(nodes, "LEVELS")
+
+
+@query
+def q46_rule_tree_nodes(spark: SparkSession, directory: str) -> DataFrame:
+    """The same for a label that one split decides."""
+    nodes = trees.node_table(churn.fit_decision_tree(_ruled(spark, directory)))
+    return joined_items(nodes, "LEVELS").select("NODE", "PARENT", "DEPTH", "N_0", "N_1", "PREDICTED", "LEVELS", "RULE")
+
+
+@query
+def q46_left_out_error(spark: SparkSession, directory: str) -> DataFrame:
+    """Confusion and error of 100 trees on the rows that their ten bags leave out."""
+    votes = trees.left_out_votes(_split(spark, directory).where("IS_TRAIN"), bags=10)
+    return trees.left_out_error(votes)
+
+
+@query
+def q46_rule_left_out_error(spark: SparkSession, directory: str) -> DataFrame:
+    """The same for 50 trees in 25 bags, on a label that any tree learns without a mistake."""
+    votes = trees.left_out_votes(_ruled(spark, directory), trees=50, bags=25)
+    return as_long(trees.left_out_error(votes), "CHURN")
+
+
+@query
+def q46_separated_terms(spark: SparkSession, directory: str) -> DataFrame:
+    """Terms of the logistic model that decide the label alone."""
+    return as_long(churn.separated_terms(_churn_set(spark, directory)), "CLASS")
+
+
+@query
+def q46_prior_separated_terms(spark: SparkSession, directory: str) -> DataFrame:
+    """The same where the features end before the label's window."""
+    return as_long(churn.separated_terms(_prior_churn_set(spark, directory)), "CLASS")
+
+
 @query
 def q46_score_table(spark: SparkSession, directory: str) -> DataFrame:
     """One row per customer with the class each model predicts, on a label that a rule decides."""
@@ -896,6 +956,15 @@ def q51_article_rules(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(found, 8, "support", "confidence", "coverage", "lift")
 
 
+@query
+def q51_triple_rules(spark: SparkSession, directory: str) -> DataFrame:
+    """Rules of up to three articles, from a search that goes no further."""
+    pairs = baskets.basket_items(views.ticket(spark, directory))
+    rules = baskets.bounded_rules(pairs, TRIPLE_SUPPORT, TRIPLE_CONFIDENCE, max_length=3)
+    found = joined_items(rules, "antecedent", "consequent")
+    return rounded(found, 8, "support", "confidence", "coverage", "lift")
+
+
 @query
 def q51_minable_baskets(spark: SparkSession, directory: str) -> DataFrame:
     """Baskets without their rare articles."""

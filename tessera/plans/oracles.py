@@ -12,6 +12,8 @@ from tessera.plans.catalogue import (
     RULE_CONFIDENCE,
     RULE_SEGMENTS,
     RULE_SUPPORT,
+    TRIPLE_CONFIDENCE,
+    TRIPLE_SUPPORT,
 )
 
 FIDELITY = """fidelity AS (
@@ -284,6 +286,56 @@ article_rules AS (
   WHERE p.c >= CAST({ARTICLE_SUPPORT} AS DOUBLE) * n
     AND p.c / x.c >= CAST({ARTICLE_CONFIDENCE} AS DOUBLE))"""
 
+# Sets of up to three articles; a part of a frequent set is frequent, too.
+TRIPLE_RULES = f"""{BASKETS},
+total AS (SELECT CAST(count(DISTINCT basket_id) AS DOUBLE) AS n FROM pairs),
+single AS (SELECT item AS items, count(*) AS c FROM pairs GROUP BY 1),
+double AS (
+  SELECT a.item || ',' || b.item AS items, a.item AS x, b.item AS y, count(*) AS c
+  FROM pairs a JOIN pairs b ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY 2, 3),
+triple AS (
+  SELECT a.item AS x, b.item AS y, c.item AS z, count(*) AS c
+  FROM pairs a JOIN pairs b ON a.basket_id = b.basket_id AND a.item < b.item
+    JOIN pairs c ON b.basket_id = c.basket_id AND b.item < c.item GROUP BY 1, 2, 3),
+parts AS (
+  SELECT '' AS antecedent, items AS consequent, c FROM single UNION ALL
+  SELECT x, y, c FROM double UNION ALL SELECT y, x, c FROM double UNION ALL
+  SELECT x || ',' || y, z, c FROM triple UNION ALL SELECT x || ',' || z, y, c FROM triple UNION ALL
+  SELECT y || ',' || z, x, c FROM triple),
+known AS (
+  SELECT '' AS items, n AS c FROM total UNION ALL SELECT items, c FROM single UNION ALL
+  SELECT items, c FROM double),
+triple_rules AS (
+  SELECT antecedent, consequent, round(p.c / n, 8) AS support, round(p.c / x.c, 8) AS confidence,
+    round(x.c / n, 8) AS coverage, round((p.c / x.c) / (y.c / n), 8) AS lift, p.c AS "count"
+  FROM parts p JOIN known x ON x.items = antecedent JOIN single y ON y.items = consequent, total
+  WHERE p.c >= CAST({TRIPLE_SUPPORT} AS DOUBLE) * n AND p.c / x.c >= CAST({TRIPLE_CONFIDENCE} AS DOUBLE))"""
+
+RULED = f"""{CHURN},
+ruled AS (
+  SELECT ID_CLI, segment, CASE WHEN segment IN ({', '.join(f"'{x}'" for x in RULE_SEGMENTS)}) THEN 1 ELSE 0
+    END AS CHURN FROM churn_set),
+sides AS (
+  SELECT CAST(count(*) FILTER (WHERE CHURN = 0) AS DOUBLE) AS n0,
+    CAST(count(*) FILTER (WHERE CHURN = 1) AS DOUBLE) AS n1, CAST(count(*) AS DOUBLE) AS n,
+    string_agg(DISTINCT segment, ',' ORDER BY segment) FILTER (WHERE CHURN = 0) AS stays FROM ruled)"""
+
+
+def _separated(churn_set: str) -> str:
+    parts = [
+        """SELECT 'segment=' || segment AS TERM, CAST(min(CHURN) AS BIGINT) AS CLASS, 'level' AS KIND,
+  count(*) AS N_ROWS FROM churn_set WHERE segment IS NOT NULL GROUP BY segment
+HAVING count(DISTINCT CHURN) = 1 AND (SELECT count(DISTINCT CHURN) FROM churn_set) = 2"""
+    ]
+    for measure in ("transaction_count", "recency_days", "amount"):
+        for above in (0, 1):
+            low, high = f"min({measure}) FILTER (WHERE CHURN = {above})", f"max({measure}) FILTER (WHERE CHURN = {1 - above})"
+            parts.append(
+                f"""SELECT '{measure}', {above}, CASE WHEN {low} > {high} THEN 'complete' ELSE 'quasi' END, count(*)
+FROM churn_set HAVING {low} >= {high} AND max({measure}) > min({measure})"""
+            )
+    return f"WITH {churn_set} " + " UNION ALL ".join(f"({p})" for p in parts)
+
 
 def _distribution(
     views: str, source: str, level: str, name: str, count: str = "TOT_CLIs", key: str = "ID_CLI"
@@ -754,6 +806,21 @@ ruled AS (
   SELECT ID_CLI, CASE WHEN segment IN ({', '.join(f"'{x}'" for x in RULE_SEGMENTS)}) THEN 1 ELSE 0
     END AS CHURN FROM churn_set)
 SELECT ID_CLI, CHURN, CHURN AS tree, CHURN AS forest, CHURN AS logistic FROM ruled""",
+    "q46_rule_complexity_table": f"""WITH {RULED}
+SELECT CAST(1 AS DOUBLE) AS CP, 0 AS NSPLIT, CAST(1 AS DOUBLE) AS REL_ERROR, CAST(1 AS DOUBLE) AS XERROR,
+  round(sqrt(least(n0, n1) * (1 - least(n0, n1) / n)) / least(n0, n1), 9) AS XSTD FROM sides
+UNION ALL SELECT CAST(0.01 AS DOUBLE), 1, 0, 0, 0""",
+    "q46_rule_tree_nodes": f"""WITH {RULED}
+SELECT 0 AS NODE, -1 AS PARENT, 0 AS DEPTH, n0 AS N_0, n1 AS N_1, CASE WHEN n1 > n0 THEN 1 ELSE 0 END AS PREDICTED,
+  stays AS LEVELS, '' AS RULE FROM sides
+UNION ALL SELECT 1, 0, 1, n0, 0, 0, NULL, 'segment in (' || replace(stays, ',', ', ') || ')' FROM sides
+UNION ALL SELECT 2, 0, 1, 0, n1, 1, NULL, 'segment not in (' || replace(stays, ',', ', ') || ')' FROM sides""",
+    "q46_rule_left_out_error": f"""WITH {RULED}
+SELECT CAST(CHURN AS BIGINT) AS CHURN, count(*) AS N_ROWS, count(*) FILTER (WHERE CHURN = 0) AS SAID_0,
+  count(*) FILTER (WHERE CHURN = 1) AS SAID_1, CAST(0 AS DOUBLE) AS ERROR
+FROM ruled GROUP BY ROLLUP (CHURN)""",
+    "q46_separated_terms": _separated(CHURN),
+    "q46_prior_separated_terms": _separated(PRIOR_CHURN),
     "q47_confusion_matrix": f"""WITH {PREDICTED},
 c AS (
   SELECT count(*) FILTER (WHERE BY_FREQUENCY = 0 AND CHURN = 0) AS TP,
@@ -792,6 +859,7 @@ SELECT n_items, count(*) AS n_baskets
 FROM (SELECT basket_id, count(*) AS n_items FROM pairs GROUP BY 1) GROUP BY 1""",
     "q51_association_rules": f"WITH {RULES} SELECT * FROM rules",
     "q51_article_rules": f"WITH {ARTICLE_RULES} SELECT * FROM article_rules",
+    "q51_triple_rules": f"WITH {TRIPLE_RULES} SELECT * FROM triple_rules",
     "q51_minable_baskets": f"""WITH {BASKETS},
 total AS (SELECT count(DISTINCT basket_id) AS n FROM pairs),
 often AS (

@@ -118,3 +118,32 @@ def test_reducing_to_frequent_items_loses_no_rule(spark):
     assert set(found) == set(expected)
     for key, (s, c) in expected.items():
         assert found[key] == (pytest.approx(s), pytest.approx(c))
+
+
+@pytest.mark.parametrize("length", [1, 3, 10])
+def test_bounded_rules_are_those_of_the_whole_search(spark, length):
+    items = ["abcd", "abc", "ab", "acd", "bcd", "d", "abce", "e", "", "ad"]
+    pairs = spark.createDataFrame([(str(i), x) for i, g in enumerate(items) for x in g or "z"], "basket_id string, item string")
+    for support, confidence in ((0.1, 0.3), (0.3, 0.6)):
+        whole = baskets.association_rules(baskets.minable_baskets(pairs, support), support, confidence, length)
+        found = baskets.bounded_rules(pairs, support, confidence, length)
+        assert _short(found) == _short(whole)
+        assert found.columns == whole.columns
+
+
+def test_sets_of_baskets(spark):
+    groups = ["abc", "ab", "abd", "bc"]
+    pairs = spark.createDataFrame([(str(i), x) for i, g in enumerate(groups) for x in g], "basket_id string, item string")
+    sets, total = baskets.frequent_itemsets(pairs, 0.5, 3)
+    assert total == 4
+    found = {"".join(r["items"]): r["count"] for r in sets.collect()}
+    expected = {}
+    for size in (1, 2, 3):
+        for chosen in itertools.combinations("abcd", size):
+            n = sum(set(chosen) <= set(g) for g in groups)
+            if n >= 2:
+                expected["".join(chosen)] = n
+    assert found == expected
+    none, total = baskets.frequent_itemsets(pairs.where("false"), 0.5, 3)
+    assert none.collect() == [] and total == 0
+    assert baskets.bounded_rules(pairs.where("false")).collect() == []

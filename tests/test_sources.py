@@ -79,3 +79,51 @@ def test_other_extracts(spark, write):
     assert rows(csv.read_privacy(spark, path)) == [(1, "1", "0", "1")]
     path = write("ID_CAMP;TYP_CAMP;CHANNEL_CAMP\n1;PROMO;EMAIL\n")
     assert rows(csv.read_campaign(spark, path)) == [(1, "PROMO", "EMAIL")]
+
+
+@pytest.fixture
+def extract(tmp_path):
+    """Two files whose columns are in another order, with broken lines."""
+    (tmp_path / "a.csv").write_text('ID;PRV;AMT\n1;MI;1,50\n2;RM;x7\n3;"a;b"\n4;TO;1,5;more\ny;NA;2\nz;;w\n\n5;"";\n')
+    (tmp_path / "b.csv").write_text('AMT;EXTRA;ID;PRV\n2,25;q;8;NA\n"-1000,25";"x;""y";9;MI\n3,x5;;10;TO\n')
+    (tmp_path / "empty.csv").write_text("")
+    return tmp_path
+
+
+def test_bad_lines_are_set_apart(spark, extract):
+    found = csv.read_checked_csv(spark, str(extract), SCHEMA)
+    good = [(r["ID"], r["PRV"], None if r["AMT"] is None else str(r["AMT"])) for r in found.rows.collect()]
+    assert sorted(good) == [(1, "MI", "1.50"), (5, None, None), (8, None, "2.25"), (9, "MI", "-1000.25")]
+    bad = sorted((r["FILE"].rsplit("/", 1)[1], r["LINE"], r["REASON"]) for r in found.rejected.collect())
+    assert bad == [
+        ("a.csv", "2;RM;x7", "AMT is no decimal(12,2): x7"),
+        ("a.csv", '3;"a;b"', "2 fields, the header has 3"),
+        ("a.csv", "4;TO;1,5;more", "4 fields, the header has 3"),
+        ("a.csv", "y;NA;2", "ID is no bigint: y"),
+        ("a.csv", "z;;w", "ID is no bigint: z; AMT is no decimal(12,2): w"),
+        ("b.csv", "3,x5;;10;TO", "AMT is no decimal(12,2): 3,x5"),
+    ]
+    counts = [tuple(r)[1:] for r in csv.rejected_counts(found.rejected).collect()]
+    assert ("AMT is no decimal(12,2)", 1) in counts and sum(c[1] for c in counts) == 6
+
+
+def test_bad_lines_are_counted_whatever_is_selected(spark, extract):
+    found = csv.read_checked_csv(spark, str(extract), SCHEMA)
+    assert found.rejected.select("FILE").count() == found.rejected.count() == 6
+    assert found.rows.select("PRV").count() == found.rows.count() == 4
+
+
+def test_columns_of_each_file_are_found_by_name(spark, extract):
+    found = csv.read_european_csv(spark, str(extract), SCHEMA)
+    assert {(r["ID"], r["PRV"]) for r in found.collect()} >= {(1, "MI"), (8, None), (9, "MI"), (10, "TO")}
+    (extract / "c.csv").write_text("ID;AMT\n1;2\n")
+    with pytest.raises(ValueError, match="PRV"):
+        csv.read_european_csv(spark, str(extract), SCHEMA)
+    with pytest.raises(ValueError, match="no file"):
+        csv.read_european_csv(spark, str(extract / "empty.csv"), SCHEMA)
+
+
+def test_files_that_are_named(spark, extract):
+    found = csv.read_checked_csv(spark, [str(extract / "b.csv")], SCHEMA, missing=None)
+    assert sorted(r["PRV"] for r in found.rows.collect()) == ["MI", "NA"]
+    assert found.rejected.count() == 1
