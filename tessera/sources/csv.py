@@ -63,8 +63,6 @@ def _parsed(
         raw = (
             _reader(spark, missing)
             .schema(in_file_order)
-            # a field that no column asks for is parsed, too
-            .option("columnPruning", False)
             .option("columnNameOfCorruptRecord", _LINE)
             .csv(paths)
         )
@@ -75,13 +73,13 @@ def _parsed(
             else F.col(name)
             for name, field in declared.items()
         ]
-        # The line is read with a column always, as the parser is not run for the line alone.
-        read = F.length(F.concat_ws("", F.col(header[0]).cast("string"))) >= 0
-        line = F.when(read, F.col(_LINE))
         fields = F.size(F.split(F.regexp_replace(_LINE, r'"(?:[^"]|"")*"', ""), ";", -1))
         texts = T.StructType([T.StructField(name, T.StringType()) for name in header])
         told = F.from_csv(F.col(_LINE), texts.simpleString()[7:-1].replace(":", " "), {"sep": ";", "escape": '"'})
         typed = [f for f in kinds if f.name in declared and not isinstance(f.dataType, T.StringType)]
+        # Only fields that are read are parsed, so the line is read with all that may not parse.
+        every = F.concat_ws("", *[F.col(n).cast("string") for n in {header[0]: 0, **{f.name: 0 for f in typed}}])
+        line = F.when(F.length(every) >= 0, F.col(_LINE))
         wrong = [
             F.when(
                 F.col(f.name).isNull() & (F.coalesce(told[f.name], F.lit("")) != "") & ~told[f.name].eqNullSafe(F.lit(missing)),
