@@ -63,6 +63,8 @@ def _parsed(
         raw = (
             _reader(spark, missing)
             .schema(in_file_order)
+            # all fields of a line are counted
+            .option("columnPruning", False)
             .option("columnNameOfCorruptRecord", _LINE)
             .csv(paths)
         )
