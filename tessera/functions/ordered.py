@@ -17,8 +17,6 @@ from tessera.functions.nulls import null_safe_join
 
 _PART = "__part"
 SKETCH_ACCURACY = 10000
-# Rows from which the edges of the stretches of a running total are taken.
-SAMPLED = 10_000
 # Half widths, as shares of the rows, of the intervals sketched around a quantile.
 REACHES = (5 / SKETCH_ACCURACY, 0.01, 0.1)
 
@@ -28,33 +26,12 @@ def sorted_parts(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return checkpointed(df.orderBy(*order)).withColumn(_PART, F.spark_partition_id())
 
 
-def _order_columns(order: Sequence[str]) -> list[tuple[str, bool]]:
-    """(column, descending) of each entry ``"column"`` or ``"column DESC"``."""
-    return [(o.removesuffix(" DESC"), o.endswith(" DESC")) for o in order]
-
-
-def _from(order: Sequence[tuple[str, bool]], edge: Sequence) -> Column:
-    """Whether a row comes at or after ``edge`` in an order that puts NULL last."""
-    reached = F.lit(True)
-    for (name, descending), value in reversed(list(zip(order, edge, strict=True))):
-        column, known = F.col(name), F.lit(value)
-        if value is None:
-            reached = column.isNull() & reached
-        else:
-            later = column < known if descending else column > known
-            reached = column.isNull() | later | ((column == known) & reached)
-    return reached
-
-
-def _stretch_of(order: Sequence[tuple[str, bool]], edges: Sequence, low: int, high: int) -> Column:
-    """How many of the sorted ``edges`` a row has passed, by halves."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high + 1) // 2
-    upper = _stretch_of(order, edges, middle, high)
-    return F.when(_from(order, edges[middle - 1]), upper).otherwise(
-        _stretch_of(order, edges, low, middle - 1)
-    )
+def _sorting(order: Sequence[str]) -> list[Column]:
+    """Sort columns of entries ``"column"`` or ``"column DESC"``; NULL comes last."""
+    return [
+        F.desc_nulls_last(o.removesuffix(" DESC")) if o.endswith(" DESC") else F.asc_nulls_last(o)
+        for o in order
+    ]
 
 
 def running_total(df: DataFrame, order: Sequence[str], totals: dict[str, str]) -> DataFrame:
@@ -64,21 +41,13 @@ def running_total(df: DataFrame, order: Sequence[str], totals: dict[str, str]) -
     `` DESC`` for falling ones; NULL comes last. It must identify a row, so callers aggregate equal
     keys first: no value, however frequent, then fills more than one row.
 
-    The rows are written once. A sample of about ``SAMPLED`` of them gives the edges of as many
-    stretches as there are shuffle partitions; rows are shuffled once, by stretch, and summed
-    there. Only a row per stretch goes through an unpartitioned window.
+    The rows are range-sorted and written once; a written partition is a stretch of the order, and
+    there are as many as the size of the rows asks for, not as the session has shuffle partitions.
+    Rows are summed by stretch. Only a row per stretch goes through an unpartitioned window, and
+    the plan is the same for any number of them.
     """
-    by = _order_columns(order)
-    sort = [F.desc_nulls_last(c) if falls else F.asc_nulls_last(c) for c, falls in by]
-    once = checkpointed(df)
-    names = [c for c, _ in by]
-    every = max(1, once.count() // SAMPLED)
-    sample = once.select(*names).where(F.pmod(F.xxhash64(*names), F.lit(every)) == 0).orderBy(*sort)
-    sample = sample.collect()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = sorted({k * len(sample) // parts for k in range(1, parts)} - {0})
-    edges = [tuple(sample[k]) for k in places]
-    placed = once.withColumn(_PART, _stretch_of(by, edges, 0, len(edges)))
+    sort = _sorting(order)
+    placed = sorted_parts(df, sort)
     per_part = placed.groupBy(_PART).agg(
         *[F.sum(value).alias(name) for name, value in totals.items()]
     )

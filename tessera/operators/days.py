@@ -25,7 +25,7 @@ FIXED_HOLIDAYS = (
 # Fixed value: a closing day of one year only.
 SINGLE_HOLIDAYS = ("1999-12-31",)
 # Day numbers, 1 = Sunday ... 7 = Saturday.
-SUNDAY, FRIDAY, SATURDAY = 1, 6, 7
+SUNDAY, MONDAY, FRIDAY, SATURDAY = 1, 2, 6, 7
 
 
 def _div(a: Column, b: int) -> Column:
@@ -33,22 +33,27 @@ def _div(a: Column, b: int) -> Column:
 
 
 def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter Sunday of a year (the anonymous computus), in integer arithmetic."""
-    golden, century, rest = year % 19, _div(year, 100), year % 100
+    """Gregorian Easter of a year: the Sunday after the first full moon of spring, by its cycles."""
+    golden, century = year % 19, _div(year, 100)
     moved = _div(century - _div(century + 8, 25) + 1, 3)
     moon = (19 * golden + century - _div(century, 4) - moved + 15) % 30
-    to_sunday = (32 + 2 * (century % 4) + 2 * _div(rest, 4) - moon - rest % 4) % 7
-    late = _div(golden + 11 * moon + 22 * to_sunday, 451)
-    march_day = moon + to_sunday - 7 * late + 22
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(1)), (march_day - 1).cast("int"))
+    # the latest two moons come a day earlier, the second of them late in the cycle only
+    early = (moon + (golden > 10).cast("int") > 28).cast("int")
+    full = F.date_add(F.make_date(year, F.lit(3), F.lit(21)), (moon - early).cast("int"))
+    return F.next_day(full, "Sunday")
 
 
 def is_italian_holiday(date: Column) -> Column:
     """Whether a date of any year is a public holiday, from the date alone; NULL for no date."""
-    year, month, day = F.year(date), F.month(date), F.dayofmonth(date)
-    fixed = [(month == m) & (day == d) & (year >= since) for m, d, since in FIXED_HOLIDAYS]
+    year, month = F.year(date), F.month(date)
+    day = 100 * month + F.dayofmonth(date)
+    always = [100 * m + d for m, d, since in FIXED_HOLIDAYS if since == 1]
+    later = [(day == 100 * m + d) & (year >= since) for m, d, since in FIXED_HOLIDAYS if since > 1]
+    fixed = [day.isin(always), *later]
     single = [date == F.lit(d).cast("date") for d in SINGLE_HOLIDAYS]
-    easter_monday = date == F.date_add(easter_sunday(year), 1)
+    # Easter is worked out only for days that may follow it.
+    may_be = (F.dayofweek(date) == MONDAY) & month.isin(3, 4)
+    easter_monday = F.when(may_be, date == F.date_add(easter_sunday(year), 1)).otherwise(F.lit(False))
     return reduce(or_, [*fixed, *single, easter_monday])
 
 
