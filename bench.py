@@ -26,8 +26,10 @@ HEADLINE = [
     "q05_missing_pattern",
     "q06_subscriber_event_overlap",
     "q07_campaign_event_overlap",
+    "q07_key_presence",
     "q08_clean_addresses",
     "q09_drop_constant_columns",
+    "q09_level_dominance",
     "q10_customer_snapshot",
     "q11_clean_accounts",
     "q12_last_code_distribution",
@@ -69,6 +71,8 @@ HEADLINE = [
     "q46_logistic_coefficients",
     "q46_model_accuracy",
     "q46_score_table",
+    "q46_complexity_table",
+    "q46_separated_terms",
     "q47_confusion_matrix",
     "q48_gain_lift_by_frequency",
     "q48_model_gain_lift",
@@ -77,6 +81,7 @@ HEADLINE = [
     "q50_baskets",
     "q51_association_rules",
     "q51_article_rules",
+    "q51_triple_rules",
     "q52_top_rules",
     "q53_item_frequency",
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +127,76 @@ def key_overlap(
     )
 
 
+def key_presence(sources: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
+    """Distinct keys per key column and set of tables that hold them.
+
+    ``sources`` are (key column, table name, table); a table may come with several keys. Result:
+    KEY, TABLES (names in the order given, joined by commas), TOT_KEYS. Every overlap of two or more
+    tables, and every inclusion, is a sum over these rows, at most 2 ** n - 1 of them for a key of n
+    tables. Each table is one bit; a task's bits of a key are joined before the one shuffle of the
+    keys. A NULL key is a key. Keys are compared as text.
+    """
+    names = {key: [name for k, name, _ in sources if k == key] for key, _, _ in sources}
+    parts = [
+        df.select(
+            F.lit(key).alias("KEY"),
+            F.col(key).cast("string").alias("__key"),
+            F.lit(1 << names[key].index(name)).cast("long").alias("__bit"),
+        )
+        for key, name, df in sources
+    ]
+    bits = reduce(DataFrame.unionByName, parts).groupBy("KEY", "__key").agg(F.bit_or("__bit").alias("__bits"))
+    counts = bits.groupBy("KEY", "__bits").agg(F.count(F.lit(1)).alias("TOT_KEYS"))
+
+    def listed(key: str) -> Column:
+        held = [F.when(F.col("__bits").bitwiseAND(1 << i) != 0, name) for i, name in enumerate(names[key])]
+        return F.concat_ws(",", *held)
+
+    tables = F.coalesce(*[F.when(F.col("KEY") == key, listed(key)) for key in names])
+    return counts.select("KEY", tables.alias("TABLES"), "TOT_KEYS")
+
+
+def level_dominance(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """How far the most frequent level of each column outweighs the others.
+
+    Result: COLUMN, N_LEVELS, TOP_LEVEL (as text), TOP_COUNT, SECOND_COUNT, SHARE of all rows and
+    RATIO to the second (NULL with one level). A missing value is a level like others; of equally
+    frequent ones the first as text counts, NULL last. Values are counted by column and level in one
+    pass, combined before the shuffle; only two levels a column and task go on to be ranked.
+    """
+    names = list(df.columns if columns is None else columns)
+    texts = df.select([F.col(c).cast("string").alias(c) for c in names])
+    levels = texts.unpivot([], names, "COLUMN", "LEVEL").groupBy("COLUMN", "LEVEL").agg(F.count(F.lit(1)).alias("N"))
+    order = Window.partitionBy("COLUMN").orderBy(F.desc("N"), F.asc_nulls_last("LEVEL"))
+    first = levels.withColumn("__rank", F.row_number().over(order)).where("__rank <= 2")
+    sums = levels.groupBy("COLUMN").agg(F.count(F.lit(1)).alias("N_LEVELS"), F.sum("N").alias("__rows"))
+    top = first.groupBy("COLUMN").agg(
+        F.max_by("LEVEL", F.col("__rank") == 1).alias("TOP_LEVEL"),
+        F.max(F.when(F.col("__rank") == 1, F.col("N"))).alias("TOP_COUNT"),
+        F.max(F.when(F.col("__rank") == 2, F.col("N"))).alias("SECOND_COUNT"),
+    )
+    # one row per column of the table on both sides
+    return top.join(F.broadcast(sums), "COLUMN").select(
+        "COLUMN",
+        "N_LEVELS",
+        "TOP_LEVEL",
+        "TOP_COUNT",
+        "SECOND_COUNT",
+        (F.col("TOP_COUNT") / F.col("__rows")).alias("SHARE"),
+        (F.col("TOP_COUNT") / F.col("SECOND_COUNT")).alias("RATIO"),
+    )
+
+
+def low_variance_columns(df: DataFrame, ratio: float = 19.0, unique: float = 0.1) -> list[str]:
+    """Columns of one level, or whose first outweighs the second more than ``ratio`` times while
+    their levels are fewer than ``unique`` of the rows."""
+    rows = df.count()
+    few = F.col("N_LEVELS") < F.lit(float(unique)) * rows
+    found = level_dominance(df).where(F.col("SECOND_COUNT").isNull() | ((F.col("RATIO") > ratio) & few))
+    named = {r["COLUMN"] for r in found.select("COLUMN").collect()}
+    return [c for c in df.columns if c in named]
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order``; give an order without ties.
 

@@ -192,6 +192,28 @@ def q08_clean_addresses(spark: SparkSession, directory: str) -> DataFrame:
     return customers.clean_addresses(views.address(spark, directory))
 
 
+@query
+def q07_key_presence(spark: SparkSession, directory: str) -> DataFrame:
+    """Which of the seven tables hold a customer, campaign or address."""
+    tables = {
+        name: getattr(views, name)(spark, directory)
+        for name in ("fidelity", "account", "address", "privacy", "campaign", "event", "ticket")
+    }
+    held = {
+        "ID_CLI": ("fidelity", "account", "privacy", "event", "ticket"),
+        "ID_CAMP": ("campaign", "event"),
+        "ID_ADDRESS": ("account", "address"),
+    }
+    return quality.key_presence([(key, t, tables[t]) for key, names in held.items() for t in names])
+
+
+@query
+def q09_level_dominance(spark: SparkSession, directory: str) -> DataFrame:
+    """The most frequent level of each account column and its weight."""
+    columns = ["EMAIL_PROVIDER", "W_PHONE", "TYP_CLI_ACCOUNT", "TYP_JOB"]
+    return quality.level_dominance(views.account(spark, directory), columns)
+
+
 @query
 def q09_drop_constant_columns(spark: SparkSession, directory: str) -> DataFrame:
     return quality.drop_constant_columns(views.campaign(spark, directory))

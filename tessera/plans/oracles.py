@@ -603,6 +603,32 @@ SELECT * FROM account WHERE EMAIL_PROVIDER IS NOT NULL AND TYP_JOB IS NOT NULL""
         ("IS_IN_ACCOUNT", "IS_IN_ADDRESS"),
     ),
     "q08_clean_addresses": f"WITH {ADDRESS} SELECT * FROM clean_address",
+    "q07_key_presence": f"""WITH {FIDELITY}, {ACCOUNT}, {ADDRESS}, {PRIVACY}, {CAMPAIGN}, {EVENT}, {TICKET},
+held AS (
+  SELECT 'ID_CLI' AS KEY, ID_CLI AS k, 1 AS place, 'fidelity' AS name FROM fidelity
+  UNION SELECT 'ID_CLI', ID_CLI, 2, 'account' FROM account
+  UNION SELECT 'ID_CLI', ID_CLI, 3, 'privacy' FROM privacy
+  UNION SELECT 'ID_CLI', ID_CLI, 4, 'event' FROM event
+  UNION SELECT 'ID_CLI', ID_CLI, 5, 'ticket' FROM ticket
+  UNION SELECT 'ID_CAMP', ID_CAMP, 1, 'campaign' FROM campaign
+  UNION SELECT 'ID_CAMP', ID_CAMP, 2, 'event' FROM event
+  UNION SELECT 'ID_ADDRESS', ID_ADDRESS, 1, 'account' FROM account
+  UNION SELECT 'ID_ADDRESS', ID_ADDRESS, 2, 'address' FROM address)
+SELECT KEY, TABLES, count(*) AS TOT_KEYS
+FROM (SELECT KEY, k, string_agg(name, ',' ORDER BY place) AS TABLES FROM held GROUP BY 1, 2) GROUP BY 1, 2""",
+    "q09_level_dominance": f"""WITH {ACCOUNT},
+levels AS (
+  SELECT 'EMAIL_PROVIDER' AS "COLUMN", CAST(EMAIL_PROVIDER AS VARCHAR) AS LEVEL, count(*) AS n FROM account GROUP BY 2
+  UNION ALL SELECT 'W_PHONE', CAST(W_PHONE AS VARCHAR), count(*) FROM account GROUP BY 2
+  UNION ALL SELECT 'TYP_CLI_ACCOUNT', CAST(TYP_CLI_ACCOUNT AS VARCHAR), count(*) FROM account GROUP BY 2
+  UNION ALL SELECT 'TYP_JOB', CAST(TYP_JOB AS VARCHAR), count(*) FROM account GROUP BY 2),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY "COLUMN" ORDER BY n DESC, LEVEL NULLS LAST) AS place FROM levels)
+SELECT "COLUMN", count(*) AS N_LEVELS, max(LEVEL) FILTER (WHERE place = 1) AS TOP_LEVEL,
+  max(n) FILTER (WHERE place = 1) AS TOP_COUNT, max(n) FILTER (WHERE place = 2) AS SECOND_COUNT,
+  max(n) FILTER (WHERE place = 1) / CAST(sum(n) AS DOUBLE) AS SHARE,
+  max(n) FILTER (WHERE place = 1) / CAST(max(n) FILTER (WHERE place = 2) AS DOUBLE) AS RATIO
+FROM ranked GROUP BY 1""",
     "q09_drop_constant_columns": f"WITH {CAMPAIGN} SELECT ID_CAMP, TYP_CAMP FROM campaign",
     "q10_customer_snapshot": f"""WITH {SNAPSHOT}
 SELECT * REPLACE (CAST(LAST_DT_ACTIVE AS VARCHAR) AS LAST_DT_ACTIVE,
