@@ -305,10 +305,8 @@ def separated_terms(df: DataFrame, label: str = "CHURN") -> DataFrame:
                     F.lit(c).alias("TERM"), F.lit(above).alias("CLASS"), kind.alias("KIND"), "N_ROWS"
                 )
             )
-    none = df.select(F.col(label)).agg(F.count_distinct(label).alias("__classes")).where("__classes > 1")
-    every = reduce(DataFrame.unionByName, found)
-    # One row or none.
-    return every.join(F.broadcast(none), how="left_semi", on=F.lit(True))
+    classes = df.agg(F.count_distinct(label)).scalar()
+    return reduce(DataFrame.unionByName, found).where(classes > 1)
 
 
 def predict(

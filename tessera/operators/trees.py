@@ -14,7 +14,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.materialize import ensure_checkpoint_dir
+from tessera.functions.materialize import checkpointed, ensure_checkpoint_dir
 from tessera.operators.churn import FEATURES, feature_stages, fit_decision_tree, labelled, poisson_weight
 
 NODES = (
@@ -55,7 +55,8 @@ def node_table(model: PipelineModel, tree: int | None = None) -> DataFrame:
         F.when(inner & ~categorical, F.get("split.leftCategoriesOrThreshold", F.lit(0))).alias("THRESHOLD"),
         F.when(inner & categorical, F.array_sort(left)).alias("LEVELS"),
     )
-    return rows.groupBy("TREE").applyInPandas(_with_paths, NODES)
+    # small, and read by the pruning, the leaves and reports
+    return checkpointed(rows.groupBy("TREE").applyInPandas(_with_paths, NODES))
 
 
 def _with_paths(nodes: pd.DataFrame) -> pd.DataFrame:

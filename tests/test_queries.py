@@ -11,6 +11,9 @@ DIRECTORY = "/root/testdata/sf0.001"
 # Joins of every row with every row, and rows handed to Python.
 UNWANTED = ["CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas"]
 WITHOUT_SQL = {
+    "q46_complexity_table",
+    "q46_tree_nodes",
+    "q46_left_out_error",
     "q46_tree_predictions",
     "q46_forest_predictions",
     "q46_logistic_predictions",
@@ -74,6 +77,20 @@ def test_tree_reports(spark):
     assert sizes[-1]["TRAIN_ERROR"] < 0.02 and sizes[-1]["TEST_ERROR"] < 1 - _larger_class(spark) - 0.1
 
 
+def test_pruned_tree_and_left_out_rows(spark):
+    table = QUERIES["q46_complexity_table"](spark, DIRECTORY).collect()
+    cps, splits = [r["CP"] for r in table], [r["NSPLIT"] for r in table]
+    assert cps == sorted(cps, reverse=True) and splits == sorted(splits) and splits[0] == 0
+    assert table[0]["REL_ERROR"] == 1 and cps[-1] == 0.01 and all(r["XERROR"] < 1.2 for r in table)
+    nodes = {r["NODE"]: r for r in QUERIES["q46_tree_nodes"](spark, DIRECTORY).collect()}
+    for r in nodes.values():
+        if r["LEFT_CHILD"] >= 0:
+            children = [nodes[r["LEFT_CHILD"]], nodes[r["RIGHT_CHILD"]]]
+            assert [sum(c[n] for c in children) for n in ("N_0", "N_1")] == [r["N_0"], r["N_1"]]
+    rows = {r["CHURN"]: r for r in QUERIES["q46_left_out_error"](spark, DIRECTORY).collect()}
+    assert rows[None]["N_ROWS"] == rows[0]["N_ROWS"] + rows[1]["N_ROWS"] and rows[None]["ERROR"] < 0.3
+
+
 def test_resamples(spark):
     found = QUERIES["q46_resampled_accuracy"](spark, DIRECTORY).collect()
     assert len(found) == 5 and len({r["LEFT_OUT"] for r in found}) > 1
