@@ -64,8 +64,8 @@ def test_topk(spark):
     by_query = collections.defaultdict(list)
     for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
         by_query[r["query_id"]].append((r["vec_id"], r["score"]))
-    large = 256 * topk.LARGEST
-    assert by_query == {0: [(9, large), (1, 65536), (50, 65536)], 50: [(9, large), (0, 65536), (1, 65536)]}
+    # The score of 1e30 fits no long; its rank is right.
+    assert by_query == {0: [(9, None), (1, 65536), (50, 65536)], 50: [(9, None), (0, 65536), (1, 65536)]}
     assert topk.top_inner_products(vectors, vectors.where("vec_id = 51")).count() == 0
     nothing = topk.integer_vectors(empty(spark, "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert topk.top_inner_products(nothing, nothing).columns == ["query_id", "rank", "vec_id", "score"]
@@ -73,6 +73,25 @@ def test_topk(spark):
     assert topk.top_inner_products(one, one).count() == 0
 
 
+def test_topk_of_large_components_and_shared_ids(spark):
+    rows = [
+        (0, [1.0, 0.0]), (1, [70000.0, 0.0]), (2, [90000.0, 0.0]), (3, [1e12, -1e12]), (4, [1e12, 1.0 - 1e12]),
+        (5, [-1e300, 1e300]), (6, [1e308, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (100, [3e10, 1.0 / 256]), (7, [0.1, 0.2, 0.3]),
+    ]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
+    asked = vectors.where("vec_id % 50 = 0")
+    for block, chunk in ((1, 2), (4096, 8192)):
+        found = [tuple(r) for r in topk.top_inner_products(vectors, asked, 4, block=block, chunk=chunk).collect()]
+        whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i != 6]
+        expected = []
+        for i, q in whole:
+            if i % 50 == 0:
+                scores = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in whole if j != i)[:4]
+                expected += [(i, n, j, -s if abs(s) < 2**63 else None) for n, (s, j) in enumerate(scores, 1)]
+        order = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted(found, key=order) == sorted(expected, key=order)
+
+
 def test_topk_of_many_equal_vectors(spark):
     rows = [(i, [0.1 * (i % 3), 0.2]) for i in range(600)]
     vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
