@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.distinct import counts_at_two_grains
 from tessera.functions.nulls import ColumnLike, as_column, n_distinct, null_safe_join
 from tessera.functions.ordered import running_total
+from tessera.functions.sketches import distinct_estimates, distinct_states, merged_distinct_states
 
 
 def with_share(counts: DataFrame, count: str, share: str = "PERCENT") -> DataFrame:
@@ -48,8 +49,10 @@ def share_of_overall(
     """
     names = [f"TOT_{n}" for n in counts]
     if approx:
-        sketches = [n_distinct(F.col(c), True).alias(f"TOT_{n}") for n, c in counts.items()]
-        groups, overall = df.groupBy(*by).agg(*sketches), df.agg(*sketches)
+        states = distinct_states(df, by, {f"TOT_{n}": c for n, c in counts.items()})
+        groups = distinct_estimates(states, names)
+        # the overall counts come from the merged states of the groups
+        overall = distinct_estimates(merged_distinct_states(states, [], names), names)
         totals = {n: overall.select(n).scalar() for n in names}
     else:
         both = counts_at_two_grains(df, by, [], counts, names)
@@ -67,9 +70,10 @@ def share_of_parent(
     """Distinct counts per (parent, child) over the parent's own distinct counts."""
     names = [f"TOT_{n}" for n in counts]
     if approx:
-        sketches = [n_distinct(F.col(c), True).alias(f"TOT_{n}") for n, c in counts.items()]
-        totals = df.groupBy(parent).agg(*sketches).withColumnsRenamed({n: f"ALL_{n}" for n in names})
-        children = df.groupBy(parent, child).agg(*sketches)
+        states = distinct_states(df, [parent, child], {f"TOT_{n}": c for n, c in counts.items()})
+        totals = distinct_estimates(merged_distinct_states(states, [parent], names), names)
+        children = distinct_estimates(states, names)
+        totals = totals.withColumnsRenamed({n: f"ALL_{n}" for n in names})
         children = null_safe_join(children, totals, [parent], "left")
     else:
         both = counts_at_two_grains(df, [parent, child], [parent], counts, names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +39,10 @@ SEGMENT_RULES = (
 )
 
 
+# Cells of a score grid that are broadcast, at most.
+BROADCAST_CELLS = 1 << 16
+
+
 def segment_rules_table(
     spark: SparkSession, rules: Sequence[SegmentRule] = SEGMENT_RULES
 ) -> DataFrame:
@@ -127,13 +131,45 @@ def rfm_score(customers: DataFrame, bins: int = 5, approx: bool = False) -> Data
     )
 
 
+def rule_cells(rules: DataFrame, bins: int = 5, on_overlap: str = "first") -> DataFrame:
+    """(R, F, M, segment): the rule that decides each cell of scores 1..``bins`` that a box covers.
+
+    ``rules`` has the columns of ``segment_rules_table``. A NULL bound leaves its side open, a box
+    whose lower bound is above its upper one is empty, and a rule without priority takes no part.
+    Of rules with one priority the first segment by name decides. Boxes are cut to the scores, so a
+    rule stands for at most bins ** 3 cells, and tasks keep one rule per cell before the shuffle.
+    """
+    rank = {"first": F.col("priority"), "last": -F.col("priority")}[on_overlap]
+    covered = rules.where("priority IS NOT NULL").select(rank.cast("long").alias("rank"), "segment", *[
+        F.expr(
+            f"CASE WHEN coalesce({score}_lower, 1) <= {bins} AND coalesce({score}_upper, {bins}) >= 1"
+            f" AND coalesce({score}_lower, 1) <= coalesce({score}_upper, {bins}) THEN sequence("
+            f"CAST(greatest(coalesce({score}_lower, 1), 1) AS INT), CAST(least(coalesce({score}_upper, {bins}), {bins}) AS INT)) END"
+        ).alias(score)
+        for score in ("recency", "frequency", "monetary")
+    ])
+    for score, name in (("recency", "R"), ("frequency", "F"), ("monetary", "M")):
+        # exploding a missing sequence drops the rule
+        covered = covered.withColumn(name, F.explode(score)).drop(score)
+    decided = covered.groupBy("R", "F", "M").agg(F.min(F.struct("rank", "segment")).alias("rule"))
+    return decided.select("R", "F", "M", "rule.segment")
+
+
 def rfm_segment(
     scores: DataFrame,
-    rules: Sequence[SegmentRule] = SEGMENT_RULES,
+    rules: Sequence[SegmentRule] | DataFrame = SEGMENT_RULES,
     on_overlap: str = "first",
     other: str = "Others",
+    bins: int = 5,
 ) -> DataFrame:
-    """Add the segment of the first (or last) matching rule; a chain of conditions, no join."""
+    """Add the segment of the first (or last) matching rule.
+
+    A short sequence of rules becomes a chain of conditions. Rules as a DataFrame, as many as there
+    are, meet the scores, which run from 1 to ``bins``, as an equi-join on the cells they cover (see
+    ``rule_cells``); a rule without a name gives ``other``.
+    """
+    if isinstance(rules, DataFrame):
+        return _segment_by_cells(scores, rule_cells(rules, bins, on_overlap), other, bins)
     ordered = {"first": list(rules), "last": list(reversed(rules))}[on_overlap]
     segment = F.lit(other)
     for rule in reversed(ordered):
@@ -151,6 +187,18 @@ def rfm_segment(
     return scores.withColumn("segment", segment)
 
 
+def _segment_by_cells(scores: DataFrame, cells: DataFrame, other: str, bins: int) -> DataFrame:
+    names = {"R": "__recency", "F": "__frequency", "M": "__monetary", "segment": "__segment"}
+    cells = cells.withColumnsRenamed(names)
+    # a row per cell at most; finer scores are left to the optimizer
+    cells = F.broadcast(cells) if bins**3 <= BROADCAST_CELLS else cells
+    alike = [
+        F.col(f"{score}_score") == F.col(f"__{score}") for score in ("recency", "frequency", "monetary")
+    ]
+    joined = scores.join(cells, reduce(and_, alike), "left")
+    return joined.withColumn("segment", F.coalesce("__segment", F.lit(other))).drop(*names.values())
+
+
 def segment_counts(segments: DataFrame) -> DataFrame:
     """Customers per segment, largest first."""
     return (

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import sketches
 from tessera.functions.materialize import checkpointed
 from tessera.functions.times import year_text
 from tessera.operators import (
@@ -457,6 +458,44 @@ def q29_direction_shares(spark: SparkSession, directory: str) -> DataFrame:
     return as_long(tickets.direction_shares(views.ticket(spark, directory)), "DIREZIONE")
 
 
+@query
+def q29_direction_counts_from_daily_states(spark: SparkSession, directory: str) -> DataFrame:
+    """Exact counts per direction, and whether merged states of single days are within 2 % of them."""
+    lines = views.ticket(spark, directory)
+    counts = {"TICs": "ID_SCONTRINO", "CLIs": "ID_CLI"}
+    daily = sketches.distinct_states(lines, ["TIC_DATE", "DIREZIONE"], counts, log_registers=16)
+    merged = sketches.merged_distinct_states(daily, ["DIREZIONE"], list(counts))
+    near = sketches.distinct_estimates(merged, list(counts))
+    exact = tickets.direction_shares(lines).select("DIREZIONE", "TOT_TICs", "TOT_CLIs")
+    within = [(F.abs(F.col(n) / F.col(f"TOT_{n}") - 1) <= 0.02).alias(f"{n}_WITHIN") for n in counts]
+    return as_long(exact.join(near, "DIREZIONE").select(*exact.columns, *within), "DIREZIONE")
+
+
+@query
+def q29_amount_edges_from_daily_states(spark: SparkSession, directory: str) -> DataFrame:
+    """Amounts per direction, and whether edges from merged states of days have the rank they state."""
+    lines = views.ticket(spark, directory)
+    points = {f"P{i}0": i / 10 for i in (2, 4, 5, 6, 8)}
+    daily = sketches.quantile_states(lines, ["TIC_DATE", "DIREZIONE"], ["IMPORTO_LORDO"])
+    merged = sketches.merged_quantile_states(daily, ["DIREZIONE"], ["IMPORTO_LORDO"])
+    edges = sketches.quantile_estimates(merged, ["IMPORTO_LORDO"], points).drop("MEASURE")
+    amount = F.col("IMPORTO_LORDO")
+    ranked = lines.where(amount.isNotNull()).join(edges, "DIREZIONE").groupBy("DIREZIONE", "N_VALUES")
+    counted = ranked.agg(
+        F.count("*").alias("N"),
+        *[F.count_if(amount < F.col(p)).alias(f"{p}_BELOW") for p in points],
+        *[F.count_if(amount <= F.col(p)).alias(f"{p}_UP_TO") for p in points],
+    )
+    error = sketches.RANK_ERROR
+    within = [
+        (
+            (F.col(f"{n}_BELOW") <= (p + error) * F.col("N")) & (F.col(f"{n}_UP_TO") >= (p - error) * F.col("N"))
+        ).alias(f"{n}_WITHIN")
+        for n, p in points.items()
+    ]
+    return as_long(counted.select("DIREZIONE", "N_VALUES", "N", *within), "DIREZIONE", "N_VALUES")
+
+
 @query
 def q30_hour_share_by_event_type(spark: SparkSession, directory: str) -> DataFrame:
     """Events and customers per hour within each event type."""
@@ -611,6 +650,33 @@ def q40_rfm_segments_last_match(spark: SparkSession, directory: str) -> DataFram
     return rfm.rfm_segment(scores, on_overlap="last").select("customer_id", "segment")
 
 
+@query
+def q40_segments_by_rule_table(spark: SparkSession, directory: str) -> DataFrame:
+    """The ten rules as rows, joined through the cells they cover."""
+    scores = rfm.rfm_score(_rfm_table(spark, directory))
+    rules = rfm.segment_rules_table(spark)
+    return rfm.rfm_segment(scores, rules).select("customer_id", "segment")
+
+
+@query
+def q40_segments_by_many_rules(spark: SparkSession, directory: str) -> DataFrame:
+    """Scores of ten bins against a box per part: as many rules as there are parts, the last one wins."""
+    scores = rfm.rfm_score(_rfm_table(spark, directory), bins=10)
+    rules = spark.read.parquet(f"{directory}/part.parquet").selectExpr(
+        "p_partkey AS priority",
+        "p_brand AS segment",
+        "1 + p_size % 10 AS recency_lower",
+        "1 + p_size % 10 + p_partkey % 3 AS recency_upper",
+        "1 + p_partkey % 10 AS frequency_lower",
+        "IF(p_partkey % 7 = 0, NULL, 1 + p_partkey % 10 + p_size % 2) AS frequency_upper",
+        "IF(p_partkey % 11 = 0, NULL, 1 + p_partkey div 10 % 10) AS monetary_lower",
+        "1 + p_partkey div 10 % 10 AS monetary_upper",
+    )
+    found = rfm.rfm_segment(scores, rules, on_overlap="last", bins=10)
+    columns = ["recency_score", "frequency_score", "monetary_score"]
+    return as_long(found, *columns).select("customer_id", *columns, "segment")
+
+
 @query
 def q41_segment_counts(spark: SparkSession, directory: str) -> DataFrame:
     return rfm.segment_counts(_segments(spark, directory))

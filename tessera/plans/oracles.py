@@ -162,17 +162,17 @@ rfm AS (
   JOIN last_dates d ON n.ID_CLI IS NOT DISTINCT FROM d.ID_CLI)"""
 
 
-def _edges(column: str, name: str) -> str:
+def _edges(column: str, name: str, bins: int = 5) -> str:
     return ", ".join(
-        f"round(quantile_cont(CAST({column} AS DOUBLE), 0.{2 * i}), 6) AS {name}{i}"
-        for i in range(1, 5)
+        f"round(quantile_cont(CAST({column} AS DOUBLE), {i / bins}), 6) AS {name}{i}"
+        for i in range(1, bins)
     )
 
 
-def _steps(value: str, name: str) -> str:
+def _steps(value: str, name: str, bins: int = 5) -> str:
     return " + ".join(
         f"CASE WHEN round(CAST({value} AS DOUBLE), 6) >= {name}{i} THEN 1 ELSE 0 END"
-        for i in range(1, 5)
+        for i in range(1, bins)
     )
 
 
@@ -754,6 +754,14 @@ children AS (
     count(DISTINCT ID_CLI) AS TOT_CLIs FROM hours GROUP BY 1, 2)
 SELECT c.*, TOT_EVENTs / E AS PERCENT_EVENTs, TOT_CLIs / C AS PERCENT_CLIs
 FROM children c JOIN parents p ON c.TYP_EVENT = p.TYP_EVENT""",
+    "q29_direction_counts_from_daily_states": f"""WITH {TICKET}
+SELECT CAST(DIREZIONE AS BIGINT) AS DIREZIONE, count(DISTINCT ID_SCONTRINO) AS TOT_TICs,
+  count(DISTINCT ID_CLI) + max(CASE WHEN ID_CLI IS NULL THEN 1 ELSE 0 END) AS TOT_CLIs,
+  TRUE AS TICs_WITHIN, TRUE AS CLIs_WITHIN FROM ticket GROUP BY 1""",
+    "q29_amount_edges_from_daily_states": f"""WITH {TICKET}
+SELECT CAST(DIREZIONE AS BIGINT) AS DIREZIONE, count(*) AS N_VALUES, count(*) AS N, TRUE AS P20_WITHIN,
+  TRUE AS P40_WITHIN, TRUE AS P50_WITHIN, TRUE AS P60_WITHIN, TRUE AS P80_WITHIN
+FROM ticket WHERE IMPORTO_LORDO IS NOT NULL GROUP BY 1""",
     "q30_hour_share_by_direction": _share_by_direction(TICKET, "ticket", "TIC_HOUR"),
     "q31_department_share": _share_by_direction(TICKET, "ticket", "COD_REPARTO"),
     "q32_day_type_share": _share_by_direction(TYPED_TICKET, "typed_ticket", "TIC_DATE_TYP"),
@@ -798,6 +806,27 @@ FROM segments""",
 SELECT s.customer_id, coalesce(segment, 'Others') AS segment
 FROM scores s LEFT JOIN matches m ON s.customer_id IS NOT DISTINCT FROM m.customer_id
 LEFT JOIN rules ON priority = last_rule""",
+    "q40_segments_by_rule_table": f"""WITH {SCORES} SELECT customer_id, segment FROM segments""",
+    "q40_segments_by_many_rules": f"""WITH {RFM},
+tenths AS (
+  SELECT {_edges('recency_days', 'r', 10)}, {_edges('number_of_orders', 'f', 10)}, {_edges('revenue', 'm', 10)}
+  FROM rfm),
+cells AS (
+  SELECT customer_id, CAST(10 - ({_steps('recency_days', 'r', 10)}) AS BIGINT) AS recency_score,
+    CAST(1 + ({_steps('number_of_orders', 'f', 10)}) AS BIGINT) AS frequency_score,
+    CAST(1 + ({_steps('revenue', 'm', 10)}) AS BIGINT) AS monetary_score FROM rfm, tenths),
+boxes AS (
+  SELECT p_partkey AS priority, p_brand AS segment, 1 + p_size % 10 AS rl, 1 + p_size % 10 + p_partkey % 3 AS ru,
+    1 + p_partkey % 10 AS fl,
+    CASE WHEN p_partkey % 7 <> 0 THEN 1 + p_partkey % 10 + p_size % 2 END AS fu,
+    CASE WHEN p_partkey % 11 <> 0 THEN 1 + p_partkey // 10 % 10 END AS ml, 1 + p_partkey // 10 % 10 AS mu FROM part),
+found AS (
+  SELECT recency_score, frequency_score, monetary_score, arg_max(segment, priority) AS segment
+  FROM (SELECT DISTINCT recency_score, frequency_score, monetary_score FROM cells)
+  JOIN boxes ON recency_score BETWEEN rl AND ru AND frequency_score BETWEEN fl AND coalesce(fu, 10)
+    AND monetary_score BETWEEN coalesce(ml, 1) AND mu GROUP BY 1, 2, 3)
+SELECT customer_id, recency_score, frequency_score, monetary_score, coalesce(segment, 'Others') AS segment
+FROM cells LEFT JOIN found USING (recency_score, frequency_score, monetary_score)""",
     "q41_segment_counts": f"""WITH {SCORES}
 SELECT segment AS "Segment", count(*) AS "Count" FROM segments GROUP BY 1""",
     "q42_segment_medians": f"""WITH {SCORES}

@@ -68,6 +68,46 @@ def test_segments(spark, order, expected):
     assert [s for _, s in rows(rfm.rfm_segment(df, on_overlap=order), "i", "segment")] == expected
 
 
+@pytest.mark.parametrize("order", ["first", "last"])
+def test_rules_as_a_table_are_the_chain(spark, order):
+    cells = spark.range(6 * 6 * 6).selectExpr(
+        "CAST(id div 36 AS INT) AS recency_score",
+        "CAST(id div 6 % 6 AS INT) AS frequency_score",
+        "IF(id % 6 = 0, NULL, CAST(id % 6 AS INT)) AS monetary_score",
+        "'old' AS segment",
+        "id AS R",
+    )
+    chain = rfm.rfm_segment(cells, on_overlap=order)
+    joined = rfm.rfm_segment(cells, rfm.segment_rules_table(spark), order)
+    assert sorted(map(str, joined.select(chain.columns).collect())) == sorted(map(str, chain.collect()))
+
+
+def test_rule_table_with_open_empty_and_equal_boxes(spark):
+    kind = rfm.segment_rules_table(spark).schema
+    rules = spark.createDataFrame(
+        [
+            (1, "open", None, 2, None, None, 4, None),
+            (2, "upside down", 5, 1, 1, 5, 1, 5),
+            (3, "zebra", 3, 9, -4, 5, 1, 1),
+            (3, "ant", 3, 3, 1, 5, 1, 1),
+            (None, "nothing", 1, 5, 1, 5, 1, 5),
+            (4, "outside", 6, 8, 1, 5, 1, 5),
+            (5, None, 5, 5, 5, 5, 5, 5),
+        ],
+        kind,
+    )
+    scores = spark.createDataFrame(
+        [(0, 1, 3, 5), (1, 3, 1, 1), (2, 4, 1, 1), (3, 5, 5, 5), (4, 2, 2, 2), (5, None, 1, 5)],
+        "i int, recency_score int, frequency_score int, monetary_score int",
+    )
+    found = rows(rfm.rfm_segment(scores, rules, other="none"), "i", "segment")
+    assert found == [(0, "open"), (1, "ant"), (2, "zebra"), (3, "none"), (4, "none"), (5, "none")]
+    nothing = rfm.rfm_segment(scores, rules.where("false"), other="none")
+    assert {r["segment"] for r in nothing.collect()} == {"none"} and nothing.count() == 6
+    plan = rfm.rfm_segment(scores, rules, bins=50)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_every_cell_against_the_rule_table(spark):
     cells = spark.range(125).selectExpr(
         "CAST(id div 25 + 1 AS INT) AS recency_score",
