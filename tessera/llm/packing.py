@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import math
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.frames import checkpointed
+from tessera.llm.frames import checkpointed, free_name, row_numbers
 
 #: Chunks or words in each of the two generations that a worker remembers, and the longest chunk.
 REMEMBERED, REMEMBERED_BYTES = 1 << 18, 64
@@ -25,8 +25,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CUT = regex.compile(WORDS).findall
 #: Letters that are their own composition and whose lower case does not depend on their neighbours.
 SIMPLE = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*").fullmatch
-#: Pieces that one task packs together, on average.
-PACKED_TOGETHER = 1 << 16
+#: Bits of a piece's number among those of its length.
+NUMBER_BITS = 46
 
 
 def _byte_letters() -> dict[int, int]:
@@ -146,70 +146,141 @@ def _default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each item of a list that does not increase.
+class Stretch(NamedTuple):
+    """Pieces of one length, numbered from ``first``, that fill sequences of one kind in turn.
+
+    Each sequence from ``sequence`` on takes ``each`` of them, the first at ``offset``.
+    """
+
+    length: int
+    first: int
+    each: int
+    sequence: int
+    offset: int
+
 
-    A segment tree over remaining capacities counts the open bins that have each; an item goes into
-    the tightest bin it fits, found by one climb and one descent, or into a new bin.
+def best_fit_stretches(counts: dict[int, int], capacity: int) -> list[Stretch]:
+    """Best fit decreasing of ``counts[length]`` pieces of each length, longest first.
+
+    Open sequences that were filled alike are one kind, and a segment tree over remaining capacities
+    counts the kinds that have each; the tightest one that a length fits is found by one climb and one
+    descent. A sequence that a piece went into is the tightest for the next piece of that length, so
+    its kind takes as many as fit at once: pieces go where one after the other would go. A length adds
+    at most three kinds, and each filling more than halves a kind's room, so the stretches are bounded
+    by the capacity and do not grow with the pieces.
     """
     leaves = 1 << capacity.bit_length()
     tree = [0] * (2 * leaves)
-    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins, offsets, made = [], [], 0
-    for length in lengths:
-        node = leaves + length
-        if not tree[node]:
-            # Up to the first subtree on the right that holds a bin, then down to its left end.
-            while node > 1 and (node & 1 or not tree[node + 1]):
-                node >>= 1
-            node = node + 1 if node > 1 else 0
-            while node and node < leaves:
-                node = 2 * node if tree[2 * node] else 2 * node + 1
-        if node:
-            room = node - leaves
-            into = open_bins[room].pop()
-            while node:
-                tree[node] -= 1
-                node >>= 1
-        else:
-            room, into, made = capacity, made, made + 1
-        bins.append(into)
-        offsets.append(capacity - room)
-        if room > length:
-            open_bins[room - length].append(into)
-            node = leaves + room - length
-            while node:
-                tree[node] += 1
-                node >>= 1
-    return bins, offsets
+    kinds: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    made, found = 0, []
+
+    def add(room: int, sequence: int, count: int) -> None:
+        if room and count:
+            kinds[room].append((sequence, count))
+            _count(tree, leaves + room, 1)
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            room = _tightest(tree, leaves, length)
+            if room:
+                sequence, count = kinds[room].pop()
+                _count(tree, leaves + room, -1)
+            else:
+                room, sequence, count = capacity, made, -(-left // (capacity // length))
+                made += count
+            first, each = counts[length] - left, room // length
+            whole = min(count, left // each)
+            if whole:
+                found.append(Stretch(length, first, each, sequence, capacity - room))
+                add(room - each * length, sequence, whole)
+                left -= whole * each
+            rest = count - whole
+            if left and rest:
+                found.append(Stretch(length, first + whole * each, left, sequence + whole, capacity - room))
+                add(room - left * length, sequence + whole, 1)
+                left, rest = 0, rest - 1
+            add(room, sequence + count - rest, rest)
+    return found
+
+
+def _count(tree: list[int], node: int, change: int) -> None:
+    while node:
+        tree[node] += change
+        node >>= 1
+
+
+def _tightest(tree: list[int], leaves: int, length: int) -> int:
+    """Smallest room of at least ``length`` that an open sequence has, or 0."""
+    node = leaves + length
+    if tree[node]:
+        return length
+    # Up to the first subtree on the right that holds a kind, then down to its left end.
+    while node > 1 and (node & 1 or not tree[node + 1]):
+        node >>= 1
+    if node <= 1:
+        return 0
+    node += 1
+    while node < leaves:
+        node = 2 * node if tree[2 * node] else 2 * node + 1
+    return node - leaves
+
+
+def places(stretches: list[Stretch]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A function from lengths and numbers of pieces to their sequences and offsets."""
+    table = np.array(sorted(stretches), dtype=np.int64).reshape(-1, len(Stretch._fields))
+    starts = (table[:, 0] << NUMBER_BITS) + table[:, 1]
+
+    def found(lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = table[np.searchsorted(starts, (lengths << NUMBER_BITS) + numbers, side="right") - 1]
+        inside = numbers - of[:, 1]
+        return of[:, 3] + inside // of[:, 2], of[:, 4] + inside % of[:, 2] * lengths
+
+    return found
+
+
+def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
+    """Bin and offset of each item of a list that does not increase."""
+    sizes = np.array(lengths, dtype=np.int64)
+    if not len(sizes):
+        return [], []
+    values, begin, counts = np.unique(-sizes, return_index=True, return_counts=True)
+    plan = best_fit_stretches(dict(zip((-values).tolist(), counts.tolist(), strict=True)), capacity)
+    bins, offsets = places(plan)(sizes, np.arange(len(sizes)) - np.repeat(begin, counts))
+    return bins.tolist(), offsets.tolist()
 
 
 def packed(pieces: DataFrame, length: str, capacity: int = 2048) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``: as few sequences as best fit finds.
+    """``pieces`` with ``sequence_id`` and ``offset``: as few sequences as best fit decreasing finds.
 
-    Pieces are dealt evenly into groups of about ``PACKED_TOGETHER`` and each group is packed by
-    itself, longest first; a group leaves a few sequences open, which is below a thousandth of its
-    own. Sequences are filled without gaps, and nothing crosses one's end. Equal pieces are pieces
-    of their own. Lengths are 1 to ``capacity``; a length that is null or outside fails.
+    All pieces are packed together at any size: which sequences a length goes into follows from how
+    many pieces each length has, at most ``capacity`` numbers, and the pieces of a length are numbered
+    on the executors and look their places up. Sequences are filled without gaps, and nothing crosses
+    one's end. Equal pieces are pieces of their own; an empty table stays empty. Columns that have the
+    names of the new ones are replaced. A length that is null or not 1 to ``capacity`` fails.
     """
-    written = checkpointed(pieces)
-    groups = max(1, math.ceil(written.count() / PACKED_TOGETHER))
-    dealt = written.withColumn("_row", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        sizes = table.column(length).to_numpy()
-        if len(sizes) and not (1 <= sizes.min() and sizes.max() <= capacity):
-            raise ValueError(f"lengths must be 1 to {capacity}")
-        order = np.lexsort((table.column("_row").to_numpy(), -sizes))
-        bins, offsets = best_fit(sizes[order].tolist(), capacity)
-        group = table.column("_group")[0].as_py()
-        table = table.take(pa.array(order)).drop_columns(["_row", "_group"])
-        ids = np.array(bins, dtype=np.int64) * groups + group
-        return table.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets, pa.int64()))
+    pieces = pieces.drop("sequence_id", "offset")
+    names = pieces.columns
+    row, number, size = (free_name(pieces, n) for n in ("_row", "_number", "_length"))
+    written = checkpointed(pieces).withColumns({row: F.monotonically_increasing_id(), size: F.col(length).cast("long")})
+    allowed = F.when(F.col(size).between(1, capacity), F.col(size))
+    counts = {r[0]: r[1] for r in written.groupBy(allowed).count().collect()}
+    if None in counts:
+        raise ValueError(f"lengths must be 1 to {capacity}")
+    place = places(best_fit_stretches(counts, capacity))
+    # rows of one written partition and length are a stretch, so a frequent length spreads over tasks
+    numbered = row_numbers(written, [size], F.shiftright(row, 33), [F.col(row)], number)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequences, offsets = place(batch.column(size).to_numpy(), batch.column(number).to_numpy())
+            kept = batch.select(names).columns
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(sequences), pa.array(offsets)], names=[*names, "sequence_id", "offset"]
+            )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.groupBy("_group").applyInArrow(pack, f"{kinds}, sequence_id long, offset long")
+    return numbered.select(*names, size, number).mapInArrow(placed, f"{kinds}, sequence_id long, offset long".lstrip(", "))
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -155,6 +156,36 @@ def test_best_fit_takes_the_tightest_bin():
             rooms[into] -= length
 
 
+@pytest.mark.parametrize("lengths", [(1500, 548), (1400, 648), (1030, 1018), (2048,), (1, 2, 3, 5, 700, 1024, 1025, 2047)])
+def test_packing_is_one_best_fit_over_all_partitions(spark, lengths):
+    rows = [(i, lengths[i * 7 % len(lengths)]) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "offset long, length int").repartition(13).withColumn("_row", F.lit("kept"))
+    found = packing.packed(pieces.withColumn("id", F.col("offset")), "length").collect()
+    assert sorted(r["id"] for r in found) == list(range(3000)) and {r["_row"] for r in found} == {"kept"}
+    sequences = collections.defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    bins, _ = packing.best_fit(sorted((n for _, n in rows), reverse=True), 2048)
+    assert sorted(sequences) == list(range(max(bins) + 1))
+
+
+def test_stretches_do_not_grow_with_the_pieces():
+    random = np.random.RandomState(3)
+    kinds = {n: int(random.randint(1, 50)) for n in range(1, 2049)}
+    few = packing.best_fit_stretches(kinds, 2048)
+    many = packing.best_fit_stretches({n: 10**9 * c + int(random.randint(1000)) for n, c in kinds.items()}, 2048)
+    assert len(few) < 8 * 2048 and len(many) < 8 * 2048
+
+
+def test_lengths_outside_fail(spark):
+    for wrong in (None, 0, 2049, -1):
+        with pytest.raises(ValueError, match="1 to 2048"):
+            packing.packed(spark.createDataFrame([(1,), (wrong,)], "length long"), "length")
+
+
 def test_chunks_encode_like_the_tokenizer():
     file = path("word_bpe_49k.json")
     whole, by_chunk = Tokenizer.from_file(file), packing.ChunkEncoder(file)
