@@ -8,9 +8,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.frames import row_key
+
 #: Bytes of a passage, and passages encoded at once.
 PASSAGE, ENCODED = 512, 4096
 #: Byte kinds that features count: the printable groups of `_kinds`, and pairs of them.
@@ -196,19 +198,24 @@ def learned(
     label: str,
     sample: int = 3000,
     longest: int = 1 << 16,
+    budget: int = 32 << 20,
 ) -> GatedAttention | None:
     """A network learned from at most ``sample`` labelled documents that are not held out.
 
     The labelled ids with the smallest hashes are taken; of several labels of one id the mean counts,
-    and texts of over ``longest`` bytes are left out of the sample, which bounds what is learned from
-    to ``sample * longest`` bytes. None where nothing is labelled.
+    of several texts the one with the smallest hash. Texts of over ``longest`` bytes are left out of
+    the sample, and it ends, in order of the id hashes, where its texts would exceed ``budget`` bytes,
+    which bounds what reaches the driver. None where nothing is labelled.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_label")).dropna()
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.avg("_label").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     size = F.coalesce(F.octet_length(text), F.lit(0))
     some = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(size <= longest)
-    rows = some.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
+    some = some.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min_by("_text", row_key(F.col("_text"))).alias("_text"))
+    # at most ``sample`` rows in one window
+    upto = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0))).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    rows = some.withColumn("_upto", upto).where(F.col("_upto") <= budget).orderBy("_id").collect()
     if not rows:
         return None
     data, sizes = text_bytes(pa.array([r["_text"] or "" for r in rows], pa.string()))

@@ -184,6 +184,11 @@ def test_quality(spark, docs, clashing, labels):
     assert attention.learned(empty(spark), labels, "doc_id", "text", "quality") is None
     assert {r["score"] for r in attention.scored(docs, ["doc_id"], "text", None).collect()} == {0.5}
     assert attention.scored(empty(spark), ["doc_id"], "text", model).count() == 0
+    twice = spark.createDataFrame([(k // 2, f"text {k} " * (k + 1)) for k in range(60)], "doc_id long, text string")
+    marks = spark.range(30).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    learn = [attention.learned(t, marks, "doc_id", "text", "quality") for t in (twice, twice.orderBy(F.desc("text")).repartition(5))]
+    assert all((a == b).all() for a, b in zip(learn[0].weights, learn[1].weights, strict=True))
+    assert attention.learned(twice, marks, "doc_id", "text", "quality", budget=1) is None
     only_held_out = docs.select(attention.held_out(F.lit(None).cast("long")).alias("x")).first()
     assert only_held_out["x"]
 
