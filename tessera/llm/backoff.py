@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.frames import written
 
-#: Documents whose words are counted together, and words a worker remembers.
-TOGETHER, REMEMBERED = 1024, 1 << 18
+#: Bytes of text whose words are counted together, and what a row counts beside its text.
+BLOCK, ROW = 1 << 22, 16
+#: Words whose hashes a worker remembers.
+REMEMBERED = 1 << 18
 #: The begin of a text; no word has a space.
-BEGIN = xxhash.xxh64_intdigest(b" ") - (1 << 63)
+BEGIN = xxhash.xxh64_intdigest(b" ")
+
+
+class WordHashes(dict[bytes, int]):
+    """64-bit hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -25,242 +37,159 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def vocabulary(docs: DataFrame, text: str, size: int) -> tuple[list[tuple[str, int]], int, int]:
-    """The most frequent words with their counts, and the number of words and of texts with any.
+def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(block, words, rows): the ids and texts of up to ``BLOCK`` bytes and one more text, as one row.
 
-    All texts are counted. Words are taken from the most frequent on, all of a count or none, as long
-    as there are no more than ``size``; only these reach the driver. The lowest count to take follows
-    from the number of words per count.
+    ``rows`` is a compressed Arrow stream. The blocks are written, so that their numbers stay the
+    same whatever is computed again.
     """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        with pa.ipc.new_stream(sink, held[0].schema, options=options) as stream:
+            stream.write_table(pa.Table.from_batches(held).combine_chunks())
+        words = sum(len(words_of(t)) for batch in held for t in batch.column(1).to_pylist())
+        arrays = [pa.array([block]), pa.array([words]), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "words", "rows"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
+        held: list[pa.RecordBatch] = []
+        at = last = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                found: Counter[bytes] = Counter()
-                texts = 0
-                for value in batch.column(0).slice(at, TOGETHER).to_pylist():
-                    words = words_of(value)
-                    found.update(words)
-                    texts += bool(words)
-                kinds = [0] * len(found) + [1, 2]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(kinds, pa.int32()),
-                        pa.array([*(w.decode() for w in found), "", ""], pa.string()),
-                        pa.array([*found.values(), found.total(), texts], pa.int64()),
-                    ],
-                    names=["kind", "word", "n"],
-                )
+            if not batch.num_rows:
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW
+            ends = at + np.cumsum(sizes)
+            block, at = (ends - sizes) // BLOCK, int(ends[-1])
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if held and block[start] != last:
+                    yield packed(first + last, held)
+                    held = []
+                last = int(block[start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield packed(first + last, held)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    return written(rows.mapInArrow(dealt, "block long, words long, rows binary"))
+
+
+def ngrams(texts: list[str | None], order: int, number: WordHashes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(text, first, grams): the runs of up to ``order`` words that end at each place of some texts.
+
+    A text with words has ``order`` - 1 begins before them; its places are the last begin, which
+    ``first`` marks, and its words. ``grams[k]`` holds 64-bit hashes of the runs of k + 1 words that
+    end at each place; those of ``order`` words mean nothing where ``first`` is set.
+    """
+    begins = [BEGIN] * (order - 1)
+    hashes, which = [], []
+    for n, value in enumerate(texts):
+        if len(number) > REMEMBERED:
+            number.clear()
+        words = words_of(value)
+        if words:
+            hashes.append(np.array(begins, dtype=np.uint64))
+            hashes.append(np.fromiter(map(number.__getitem__, words), np.uint64, len(words)))
+            which.append((n, len(words)))
+    every = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
+    text = np.repeat([n for n, _ in which], [m + order - 1 for _, m in which]).astype(np.int64)
+    place = np.arange(len(every)) - np.repeat(
+        np.cumsum([0, *(m + order - 1 for _, m in which)])[:-1].astype(np.int64), [m + order - 1 for _, m in which]
+    )
+    grams = [every]
+    for k in range(1, order):
+        # A run is hashed from the run before its last word, and that word.
+        before = np.concatenate([every[:1], grams[-1][:-1]]) + np.uint64(k)
+        before = (before ^ (before >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = ((before ^ (before >> np.uint64(29))) + every) * np.uint64(0x94D049BB133111EB)
+        grams.append(mixed ^ (mixed >> np.uint64(31)))
+    used = place >= max(0, order - 2)
+    first = (place == order - 2) & (order > 1)
+    return text[used], first[used], [g[used].view(np.int64) for g in grams]
 
-    rows = docs.select(text).mapInArrow(counted, "kind int, word string, n long")
-    counts = written(rows.groupBy("kind", "word").agg(F.sum("n").alias("n")))
-    totals = {r["kind"]: r["n"] for r in counts.where("kind > 0").collect()}
-    known = counts.where("kind = 0")
-    upto = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # One row per count that occurs.
-    words = known.groupBy("n").count().withColumn("upto", F.sum("count").over(upto))
-    lowest = words.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    top = [] if lowest is None else known.where(F.col("n") >= lowest).select("word", "n").collect()
-    return [tuple(r) for r in top], totals.get(1, 0), totals.get(2, 0)
 
+def counted_places(first: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+    """All runs to count, length by length: at every place but the longest at the first."""
+    return np.concatenate([*grams[:-1], grams[-1][~first]])
 
-def bigrams(docs: DataFrame, columns: list[str], text: str, words: list[str]) -> DataFrame:
-    """(columns, gram, tf): each text's distinct bigrams over the vocabulary, with the begin of the text.
 
-    A gram is the first word's number times (words + 2), plus the second's; any word outside the
-    vocabulary has the number after the last, the begin the one after that. A text without words has
-    one row with gram -1 and tf 0.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(words)})
-    other, begin, base = len(words), len(words) + 1, len(words) + 2
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                ids, sizes = [], []
-                for value in part.column(0).to_pylist():
-                    found = [number.get(w, other) for w in words_of(value)]
-                    ids.append(np.array([begin, *found], dtype=np.int64))
-                    sizes.append(len(found))
-                gram = np.concatenate([i[:-1] * base + i[1:] if len(i) > 1 else np.array([-1]) for i in ids])
-                row = np.repeat(np.arange(len(ids)), np.maximum(sizes, 1))
-                # A row's grams are unique per (row, gram), numbered as one.
-                both, tf = np.unique(row * (base * base + 1) + gram + 1, return_counts=True)
-                row, gram = both // (base * base + 1), both % (base * base + 1) - 1
-                tf[gram < 0] = 0
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(pa.array(row)) for c in part.columns[1:]), pa.array(gram), pa.array(tf.astype(np.int32))],
-                    names=[*part.schema.names[1:], "gram", "tf"],
-                )
-
-    return docs.select(F.col(text).alias("_text"), *columns).mapInArrow(exploded, f"{kinds}gram long, tf int")
+def texts_in(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all()
 
 
 def backoff_scores(
-    docs: DataFrame, doc_id: str, text: str, size: int = 16384, least: int = 2, alpha: float = 0.4
+    docs: DataFrame,
+    doc_id: str,
+    text: str,
+    order: int = 3,
+    least: int = 1,
+    alpha: float = 0.4,
+    leave_out: bool = True,
 ) -> DataFrame:
     """(doc_id, words, score): each document's mean log10 stupid-backoff score per word.
 
-    Counts are taken over all documents. A bigram seen ``least`` times or more scores count over the
-    first word's count; any other backs off to ``alpha`` times the second word's share of all words.
-    The first word follows the begin of a document. Words outside the vocabulary of up to ``size``
-    words count as one word. Null and texts without words have 0 words and a null score. Rows that
-    repeat an id are rows of their own; no rows give none.
-
-    Bigram counts are combined in each task before they are shuffled by gram; a gram's score is
-    joined to the documents' grams, each document once, so one gram has at most as many rows as there
-    are documents and a frequent one's can be split at run time. What is broadcast are the
-    vocabulary and its counts, which ``size`` bounds.
-    """
-    top, total, texts = vocabulary(docs, text, size)
-    base = len(top) + 2
-    counts = [n for _, n in top]
-    counts += [total - sum(counts), texts]
-    words = [w for w, _ in top]
-    session = docs.sparkSession
-    grams = bigrams(docs, [], text, words).where("gram >= 0")
-    seen = grams.groupBy("gram").agg(F.sum("tf").alias("n"))
-    known = session.createDataFrame(list(enumerate(counts)), "id long, count long")
-    first = F.broadcast(known.select(F.col("id").alias("first"), F.col("count").alias("first_count")))
-    second = F.broadcast(known.select(F.col("id").alias("second"), F.col("count").alias("second_count")))
-    model = (
-        seen.withColumn("first", F.expr(f"gram div {base}"))
-        .withColumn("second", F.col("gram") % base)
-        .join(first, "first")
-        .join(second, "second")
-        .select(
-            "gram",
-            F.when(F.col("n") >= least, F.log10(F.col("n") / F.col("first_count")))
-            .otherwise(F.log10(F.lit(alpha) * F.col("second_count") / F.lit(max(total, 1))))
-            .alias("log_score"),
-        )
-    )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text).withColumn("_row", F.monotonically_increasing_id())
-    scored = bigrams(rows, ["_row", "doc_id"], text, words).join(model, "gram", "left")
-    sums = scored.groupBy("_row", "doc_id").agg(
-        F.sum("tf").cast("long").alias("words"), F.sum(F.col("tf") * F.col("log_score")).alias("_sum")
-    )
-    return sums.select("doc_id", "words", F.when(F.col("words") > 0, F.col("_sum") / F.col("words")).alias("score"))
-
-
-def runs_of(docs: DataFrame, columns: list[str], text: str, length: int, begins: int) -> DataFrame:
-    """(columns, w1, ..., tf): the distinct runs of ``length`` words of a text, by 64-bit word hashes.
-
-    ``begins`` times the begin of the text stands before its words. With ``columns``, runs are
-    distinct per text, and a text without words has one row of nulls with tf 0; without, they are
-    counted over some texts together, and a text without words has none.
+    Every word and every run of up to ``order`` words of all documents is counted, whatever the size
+    of the input. A run of ``order`` words seen ``least`` times or more scores its count over that of
+    the run without its last word; any other scores ``alpha`` times what the run without its first
+    word does, down to a word's share of all words. The begin stands before a text as often as the
+    first runs need. With ``leave_out`` a document's own occurrences are taken from every count that
+    scores it, as a model that had not seen it would; a word that no other document has then counts
+    as one. Null and texts without words have 0 words and a null score. Rows that repeat an id are
+    rows of their own, and a repeated text is another document; no rows give none.
+
+    Documents are dealt into written blocks of some megabytes. A block's distinct runs with its
+    own counts are dealt by hash; there they are summed to the table of counts, and that table's runs
+    that more than one block holds are joined to the blocks that hold them. Each block then meets
+    the counts that the others add to its own, and sums the scores of its documents. A frequent run
+    has at most as many rows as there are blocks, and only the number of words reaches the driver.
     """
-    names = [f"w{i + 1}" for i in range(length)]
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    blocks = blocks_of(docs, doc_id, text)
+    total = blocks.agg(F.sum("words")).first()[0] or 0
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
+        number = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                hashes, sizes = [], []
-                for value in part.column(0).to_pylist():
-                    words = words_of(value)
-                    if len(number) > REMEMBERED:
-                        number.clear()
-                    for w in words:
-                        if w not in number:
-                            number[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
-                    if words:
-                        hashes.append(np.array([BEGIN] * begins + [number[w] for w in words], dtype=np.int64))
-                    sizes.append(max(0, len(words) + begins - length + 1) if words else 0)
-                if hashes:
-                    every = np.concatenate(hashes)
-                    starts = np.concatenate([np.arange(max(0, len(h) - length + 1)) for h in hashes])
-                    lengths = [len(h) for h in hashes]
-                    offsets = np.cumsum([0, *lengths[:-1]])
-                    starts += np.repeat(offsets, [max(0, n - length + 1) for n in lengths])
-                    run = [every[starts + i] for i in range(length)]
-                else:
-                    run = [np.empty(0, dtype=np.int64)] * length
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                # Equal runs, per text if texts are told apart, are one row.
-                mark = (row.astype(np.uint64) if columns else np.zeros(len(row), dtype=np.uint64)) + np.uint64(1)
-                for w in run:
-                    mark = (mark ^ (mark >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w.view(np.uint64)
-                _, one, tf = np.unique(mark * np.uint64(0x94D049BB133111EB), return_index=True, return_counts=True)
-                one, tf = one[order := np.argsort(one)], tf[order]
-                arrays = [pa.array(w[one]) for w in run]
-                tf = tf.astype(np.int32)
-                row = row[one]
-                if columns:
-                    blank = np.flatnonzero(np.array(sizes) == 0)
-                    arrays = [pa.concat_arrays([a, pa.nulls(len(blank), pa.int64())]) for a in arrays]
-                    tf = np.concatenate([tf, np.zeros(len(blank), dtype=np.int32)])
-                    row = np.concatenate([row, blank])
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(pa.array(row)) for c in part.columns[1:]), *arrays, pa.array(tf)],
-                    names=[*part.schema.names[1:], *names, "tf"],
-                )
-
-    schema = f"{kinds}{', '.join(f'{n} long' for n in names)}, tf int"
-    return docs.select(F.col(text).alias("_text"), *columns).mapInArrow(exploded, schema)
-
-
-def keys_of(length: int) -> tuple[Column, Column, Column]:
-    """Keys of a run w1, ... of ``length`` words, of the run without its last word, and without its first.
-
-    A word's key is its hash, a longer run's the hash of the other two keys.
-    """
-    level = [F.col(f"w{i + 1}") for i in range(length)]
-    while len(level) > 2:
-        level = [F.xxhash64(a, b) for a, b in zip(level, level[1:], strict=False)]
-    return (level[0],) * 3 if length == 1 else (F.xxhash64(*level), level[0], level[1])
-
-
-def whole_backoff_scores(
-    docs: DataFrame, doc_id: str, text: str, order: int = 3, least: int = 1, alpha: float = 0.4
-) -> DataFrame:
-    """(doc_id, words, score): `backoff_scores` over all words and runs of up to ``order`` words.
-
-    No vocabulary: every word and run keeps its own count, whatever the size of the input. A run of
-    ``order`` words seen ``least`` times or more scores its count over that of the run without its
-    last word; any other scores ``alpha`` times what the run without its first word does, down to a
-    word's share of all words. The begin stands before a text as often as the first runs need. With
-    ``least`` 1 no run of the counted documents themselves backs off, as each was seen.
-
-    Counts of one length are a table keyed by 64-bit hashes; a run of the next length looks up
-    either the shorter run it is divided by or the one it backs off to, so each length is one join.
-    All of them, and the last with the documents' runs, can be split at run time where a key is
-    frequent. Only the number of words reaches the driver; nothing is broadcast by hint.
-    """
-    words = written(
-        runs_of(docs, [], text, 1, int(order > 1))
-        .groupBy(F.col("w1").alias("gram"))
-        .agg(F.sum("tf").cast("long").alias("n"))
-    )
-    total = words.where(F.col("gram") != BEGIN).agg(F.sum("n")).first()[0] or 1
-    model = words.withColumn("log_score", F.log10(F.col("n") / F.lit(total)))
-    for length in range(2, order + 1):
-        gram, first, second = keys_of(length)
-        # Shorter runs than the longest are looked up with nothing but begins, too.
-        seen = (
-            runs_of(docs, [], text, length, length - (length == order))
-            .select(first.alias("first"), second.alias("second"), "tf")
-            .groupBy("first", "second")
-            .agg(F.sum("tf").cast("long").alias("n"))
-            .select(
-                F.xxhash64("first", "second").alias("gram"),
-                "n",
-                F.when(F.col("n") >= least, F.col("first")).otherwise(F.col("second")).alias("_key"),
-            )
-        )
-        shorter = model.select(F.col("gram").alias("_key"), F.col("n").alias("_n"), F.col("log_score").alias("_log"))
-        log = F.when(F.col("n") >= least, F.log10(F.col("n") / F.col("_n"))).otherwise(F.col("_log") + math.log10(alpha))
-        model = written(seen.join(shorter, "_key").select("gram", "n", log.alias("log_score")))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text).withColumn("_row", F.monotonically_increasing_id())
-    found = runs_of(rows, ["_row", "doc_id"], text, order, order - 1)
-    gram = F.when(F.col("tf") > 0, keys_of(order)[0]).alias("gram")
-    scored = found.select("_row", "doc_id", gram, "tf").join(model.select("gram", "log_score"), "gram", "left")
-    sums = scored.groupBy("_row", "doc_id").agg(
-        F.sum("tf").cast("long").alias("words"), F.sum(F.col("tf") * F.col("log_score")).alias("_sum")
-    )
-    return sums.select("doc_id", "words", F.when(F.col("words") > 0, F.col("_sum") / F.col("words")).alias("score"))
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, first, grams = ngrams(texts_in(rows).column(1).to_pylist(), order, number)
+                codes, gram = pd.factorize(counted_places(first, grams))
+                own = np.bincount(codes, minlength=len(gram))
+                arrays = [pa.array(gram, pa.int64()), pa.array(np.full(len(gram), block)), pa.array(own, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["gram", "block", "own"])
+
+    held = blocks.select("block", "rows").mapInArrow(exploded, "gram long, block long, own long").repartition("gram")
+    # All three columns are read on both sides, so the runs are dealt once.
+    counts = held.groupBy("gram").agg(F.sum("own").alias("n"), F.min("block").alias("low"), F.max("block").alias("high"))
+    shared = counts.where("low < high").select("gram", "n")
+    others = held.join(shared, "gram").select("block", "gram", (F.col("n") - F.col("own")).alias("others"))
+
+    def scored(block: pa.Table, other: pa.Table) -> pa.Table:
+        rows = texts_in(block.column("rows")[0].as_py())
+        doc, first, grams = ngrams(rows.column(1).to_pylist(), order, WordHashes())
+        codes, gram = pd.factorize(counted_places(first, grams))
+        n = np.bincount(codes, minlength=len(gram))
+        n[pd.Index(gram).get_indexer(other.column("gram").to_numpy())] += other.column("others").to_numpy()
+        n = n[codes]
+        words = np.bincount(doc[~first], minlength=rows.num_rows)
+        remain = np.full(rows.num_rows, total)
+        if leave_out:
+            holder = np.concatenate([*[doc] * (order - 1), doc[~first]])
+            own, _ = pd.factorize(codes * np.int64(max(1, rows.num_rows)) + holder)
+            n = n - np.bincount(own)[own] if len(own) else n
+            remain = remain - words
+        levels = [n[k * len(doc) : (k + 1) * len(doc)] for k in range(order)]
+        at = np.flatnonzero(~first)
+        score = np.log10(np.maximum(levels[0][at], 1) / np.maximum(remain[doc[at]], 1))
+        for k in range(1, order):
+            seen = levels[k] if k == order - 1 else levels[k][at]
+            ratio = np.maximum(seen, 1) / np.maximum(levels[k - 1][at - 1], 1)
+            score = np.where(seen >= least, np.log10(ratio), math.log10(alpha) + score)
+        sums = np.bincount(doc[at], weights=score, minlength=rows.num_rows)
+        arrays = [rows.column(0), pa.array(words, pa.int64()), pa.array(sums / np.maximum(words, 1), mask=words == 0)]
+        return pa.table(arrays, names=["doc_id", "words", "score"])
+
+    kind = docs.select(F.col(doc_id).alias("doc_id")).schema[0].dataType.simpleString()
+    both = blocks.select("block", "rows").groupBy("block").cogroup(others.groupBy("block"))
+    return both.applyInArrow(scored, f"doc_id {kind}, words long, score double")

@@ -154,20 +154,19 @@ WITH docs AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
   FROM documents
 ), placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
-), top AS (
-  SELECT word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, word) AS k,
-         count(*) OVER (ORDER BY count(*) DESC RANGE UNBOUNDED PRECEDING) AS upto FROM placed GROUP BY word
-), known AS (SELECT word, CAST(k AS BIGINT) AS id, n FROM top WHERE upto <= 16384
-), totals AS (SELECT (SELECT count(*) FROM placed) AS total, (SELECT count(*) FROM docs WHERE len(w) > 0) AS texts, (SELECT sum(n) FROM known) AS kept
-), ids AS (SELECT r, i, coalesce(id, 0) AS id FROM placed LEFT JOIN known USING (word)
-), counts AS (
-  SELECT id, n FROM known UNION ALL SELECT 0, total - kept FROM totals UNION ALL SELECT -1, texts FROM totals
-), pairs AS (SELECT r, coalesce(lag(id) OVER (PARTITION BY r ORDER BY i), -1) AS a, id AS b FROM ids
-), seen AS (SELECT a, b, count(*) AS n FROM pairs GROUP BY a, b
-), model AS (
-  SELECT s.a, s.b, CASE WHEN s.n >= 2 THEN log10(s.n / ca.n) ELSE log10(0.4::DOUBLE * cb.n / total) END AS score
-  FROM seen s JOIN counts ca ON ca.id = s.a JOIN counts cb ON cb.id = s.b, totals
-), sums AS (SELECT r, count(*) AS words, sum(score) / count(*) AS score FROM pairs JOIN model USING (a, b) GROUP BY r)
+), own1 AS (
+  SELECT r, word, count(*) AS n FROM placed GROUP BY r, word UNION ALL SELECT r, '', 1 FROM docs WHERE len(w) > 0
+), all1 AS (SELECT word, sum(n) AS n FROM own1 GROUP BY word
+), left1 AS (SELECT r, word, greatest(a.n - o.n, 0) AS n FROM own1 o JOIN all1 a USING (word)
+), totals AS (SELECT r, greatest(1, (SELECT count(*) FROM placed) - len(w)) AS total FROM docs
+), runs AS (SELECT r, lag(word, 1, '') OVER (PARTITION BY r ORDER BY i) AS a, word AS b FROM placed
+), own2 AS (SELECT r, a, b, count(*) AS tf FROM runs GROUP BY ALL
+), all2 AS (SELECT a, b, sum(tf) AS n FROM own2 GROUP BY a, b
+), scored AS (
+  SELECT o.r, tf, CASE WHEN s.n > tf THEN log10((s.n - tf) / x.n) ELSE log10(0.4::DOUBLE) + log10(greatest(y.n, 1) / total) END AS score
+  FROM own2 o JOIN all2 s USING (a, b) JOIN left1 x ON x.r = o.r AND x.word = o.a
+       JOIN left1 y ON y.r = o.r AND y.word = o.b JOIN totals t ON t.r = o.r
+), sums AS (SELECT r, CAST(sum(tf) AS BIGINT) AS words, sum(tf * score) / sum(tf) AS score FROM scored GROUP BY r)
 SELECT doc_id, coalesce(words, 0) AS words, round(score, 6) AS score FROM docs LEFT JOIN sums USING (r)
 """,
     "op9_whole_backoff": rf"""
@@ -192,13 +191,27 @@ WITH docs AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
   FROM documents
 ), placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+), own1 AS (
+  SELECT r, word, count(*) AS n FROM placed GROUP BY r, word UNION ALL SELECT r, '', 1 FROM docs WHERE len(w) > 0
+), all1 AS (SELECT word, sum(n) AS n FROM own1 GROUP BY word
+), left1 AS (SELECT r, word, greatest(a.n - o.n, 0) AS n FROM own1 o JOIN all1 a USING (word)
+), totals AS (SELECT r, greatest(1, (SELECT count(*) FROM placed) - len(w)) AS total FROM docs
 ), runs AS (
   SELECT r, lag(word, 2, '') OVER (PARTITION BY r ORDER BY i) AS a, lag(word, 1, '') OVER (PARTITION BY r ORDER BY i) AS b, word AS c FROM placed
-), pairs AS (
-  SELECT b AS a, c AS b, count(*) AS n FROM runs GROUP BY ALL UNION ALL SELECT '', '', count(*) FROM docs WHERE len(w) > 0
-), seen AS (SELECT a, b, c, count(*) AS n FROM runs GROUP BY a, b, c
-), model AS (SELECT s.a, s.b, s.c, log10(s.n / p.n) AS score FROM seen s JOIN pairs p USING (a, b)
-), sums AS (SELECT r, count(*) AS words, sum(score) / count(*) AS score FROM runs JOIN model USING (a, b, c) GROUP BY r)
+), own2 AS (
+  SELECT r, b AS a, c AS b, count(*) AS tf FROM runs GROUP BY ALL UNION ALL SELECT r, '', '', 1 FROM docs WHERE len(w) > 0
+), all2 AS (SELECT a, b, sum(tf) AS n FROM own2 GROUP BY a, b
+), left2 AS (SELECT r, a, b, s.n - tf AS n FROM own2 JOIN all2 s USING (a, b)
+), own3 AS (SELECT r, a, b, c, count(*) AS tf FROM runs GROUP BY ALL
+), all3 AS (SELECT a, b, c, sum(tf) AS n FROM own3 GROUP BY a, b, c
+), scored AS (
+  SELECT o.r, tf, CASE WHEN s.n > tf THEN log10((s.n - tf) / p.n)
+                       WHEN q.n > 0 THEN log10(0.4::DOUBLE) + log10(q.n / x.n)
+                       ELSE 2 * log10(0.4::DOUBLE) + log10(greatest(y.n, 1) / total) END AS score
+  FROM own3 o JOIN all3 s USING (a, b, c) JOIN left2 p ON p.r = o.r AND p.a = o.a AND p.b = o.b
+       JOIN left2 q ON q.r = o.r AND q.a = o.b AND q.b = o.c JOIN left1 x ON x.r = o.r AND x.word = o.b
+       JOIN left1 y ON y.r = o.r AND y.word = o.c JOIN totals t ON t.r = o.r
+), sums AS (SELECT r, CAST(sum(tf) AS BIGINT) AS words, sum(tf * score) / sum(tf) AS score FROM scored GROUP BY r)
 SELECT doc_id, coalesce(words, 0) AS words, round(score, 6) AS score FROM docs LEFT JOIN sums USING (r)
 """,
     "op11_grammar_runs": rf"""

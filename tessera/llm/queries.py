@@ -77,20 +77,21 @@ def op8_host_reputation(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op9_stupid_backoff(spark: SparkSession, directory: str) -> DataFrame:
-    """Mean word score of every document."""
-    found = backoff.backoff_scores(table(spark, directory, "documents"), "doc_id", "text")
+    """Mean word score of every document by the words and pairs of all others."""
+    found = backoff.backoff_scores(table(spark, directory, "documents"), "doc_id", "text", order=2)
     return found.withColumn("score", F.round("score", 6))
 
 
 def op9_whole_backoff(spark: SparkSession, directory: str) -> DataFrame:
-    """Mean word score of every document, every word with its own counts."""
-    found = backoff.whole_backoff_scores(table(spark, directory, "documents"), "doc_id", "text", order=2, least=2)
+    """Mean word score of every document by counts that hold its own, from two up."""
+    docs = table(spark, directory, "documents")
+    found = backoff.backoff_scores(docs, "doc_id", "text", order=2, least=2, leave_out=False)
     return found.withColumn("score", F.round("score", 6))
 
 
 def op9_trigram_backoff(spark: SparkSession, directory: str) -> DataFrame:
-    """Mean word score of every document by runs of three words, all counts above zero used."""
-    found = backoff.whole_backoff_scores(table(spark, directory, "documents"), "doc_id", "text")
+    """Mean word score of every document by runs of up to three words of all others."""
+    found = backoff.backoff_scores(table(spark, directory, "documents"), "doc_id", "text", order=3)
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -286,13 +286,13 @@ def test_mix_pieces_are_the_schedule(spark):
 
 def test_backoff_by_hand(spark):
     docs = spark.createDataFrame([(1, "a b a B"), (2, "a c"), (3, None), (4, "")], "doc_id int, text string")
-    found = {r["doc_id"]: r for r in backoff.backoff_scores(docs, "doc_id", "text", size=2).collect()}
-    # a: 3 of 6 words, b: 2, any other: 1, texts: 2; grams: begin a 2, a b 2, b a 1, a other 1.
+    found = {r["doc_id"]: r for r in backoff.backoff_scores(docs, "doc_id", "text", order=2).collect()}
+    # The other text's words: for 1 a and c with one begin, for 2 a and b twice with one begin.
     log = np.log10
     assert found[1]["words"] == 4 and found[3]["words"] == 0 and found[3]["score"] is None
-    one = log(2 / 2) + log(2 / 3) + log(0.4 * 3 / 6) + log(2 / 3)
+    one = log(1 / 1) + log(0.4 * 1 / 2) + log(0.4 * 1 / 2) + log(0.4 * 1 / 2)
     assert abs(found[1]["score"] - one / 4) < 1e-12
-    assert abs(found[2]["score"] - (log(2 / 2) + log(0.4 * 1 / 6)) / 2) < 1e-12
+    assert abs(found[2]["score"] - (log(1 / 1) + log(0.4 * 1 / 4)) / 2) < 1e-12
     assert found[4]["score"] is None
 
 
@@ -313,47 +313,70 @@ def test_small_sources_of_a_large_mix(spark, large):
     assert slots == pieces.select("slot", "place", "block").distinct().count()
 
 
-def backoff_in_python(texts, order, least, alpha=0.4):
+def backoff_in_python(texts, order, least, leave_out, alpha=0.4):
     words = [t.encode().lower().split() for t in texts]
-    counts, total = collections.Counter(), sum(map(len, words))
-    for w in words:
-        padded = [b" "] * (order - 1) + w
+
+    def runs_in(w):
+        padded, counts = [b" "] * (order - 1) + w, collections.Counter()
         for i in range(order - 1, len(padded)):
             counts.update(tuple(padded[i - k : i + 1]) for k in range(order))
         counts.update([(b" ",) * k for k in range(1, order)] if w else [])
+        return counts
 
-    def score(run):
-        if len(run) == 1:
-            return np.log10(counts[run] / total)
-        if counts[run] >= least:
-            return np.log10(counts[run] / counts[run[:-1]])
-        return np.log10(alpha) + score(run[1:])
+    everywhere, total = sum(map(runs_in, words), collections.Counter()), sum(map(len, words))
+    scores = []
+    for w in words:
+        counts, left = everywhere, total
+        if leave_out:
+            counts, left = everywhere - runs_in(w), max(1, total - len(w))
 
-    padded = [[b" "] * (order - 1) + w for w in words]
-    return [np.mean([score(tuple(p[i - order + 1 : i + 1])) for i in range(order - 1, len(p))]) if w else None for w, p in zip(words, padded, strict=True)]
+        def score(run, counts=counts, left=left):
+            if len(run) == 1:
+                return np.log10(max(1, counts[run]) / left)
+            if counts[run] >= least:
+                return np.log10(counts[run] / counts[run[:-1]])
+            return np.log10(alpha) + score(run[1:])
 
+        padded = [b" "] * (order - 1) + w
+        scores.append(np.mean([score(tuple(padded[i - order + 1 : i + 1])) for i in range(order - 1, len(padded))]) if w else None)
+    return scores
 
-def test_backoff_counts_every_word(spark):
+
+@pytest.mark.parametrize("leave_out", [True, False])
+def test_backoff_counts_every_word(spark, leave_out):
     # More words than any vocabulary had; two texts of rare words, one of them repeated.
     texts = [" ".join(f"w{i}" for i in range(k, 20_000, 7)) for k in range(7)]
     texts += ["w1 w2 w3 w1 w2 w3", "w1 w2 w3", "", "rare words here", "rare words here", "the only"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    found = {r["doc_id"]: r for r in backoff.whole_backoff_scores(docs, "doc_id", "text", order=2, least=2).collect()}
-    expected = backoff_in_python(texts, 2, 2)
+    scores = backoff.backoff_scores(docs, "doc_id", "text", order=2, least=2, leave_out=leave_out)
+    found = {r["doc_id"]: r for r in scores.collect()}
+    expected = backoff_in_python(texts, 2, 2, leave_out)
     assert len(found) == len(texts) and found[9]["words"] == 0 and found[9]["score"] is None
     assert all(abs(found[i]["score"] - e) < 1e-9 for i, e in enumerate(expected) if e is not None)
 
 
-@pytest.mark.parametrize("least", [None, 2])
-def test_backoff_by_three_words(spark, least):
-    texts = ["a b c a b d", "A b c", "b c a", "x", "", "b d"]
+@pytest.mark.parametrize(("order", "least", "leave_out", "block"), [(3, 1, True, 40), (3, 2, False, 1), (4, 1, True, 1 << 22), (1, 1, True, 40)])
+def test_backoff_by_more_words(spark, monkeypatch, order, least, leave_out, block):
+    monkeypatch.setattr(backoff, "BLOCK", block)
+    texts = ["a b c a b d", "A b c", "b c a", "x", "", "b d", "a b c a b d", "q r s t u"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
-    more = {} if least is None else {"least": least}
-    found = {r["doc_id"]: r["score"] for r in backoff.whole_backoff_scores(docs, "doc_id", "text", **more).collect()}
-    expected = backoff_in_python(texts, 3, least or 1)
+    more = {"order": order, "least": least, "leave_out": leave_out}
+    found = {r["doc_id"]: r["score"] for r in backoff.backoff_scores(docs, "doc_id", "text", **more).collect()}
+    expected = backoff_in_python(texts, order, least, leave_out)
     assert all((found[i] is None and e is None) or abs(found[i] - e) < 1e-9 for i, e in enumerate(expected))
 
 
+def test_backoff_tells_repeated_texts(spark, documents):
+    docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
+    copies = docs.where("doc_id % 10 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    scores = backoff.backoff_scores(docs.unionByName(copies), "doc_id", "text", order=2).collect()
+    copied = [r["score"] for r in scores if r["doc_id"] < 0 and r["words"] >= 50]
+    texts = collections.Counter(d["text"] for d in documents.values())
+    alone = {i for i, d in documents.items() if i % 10 and texts[d["text"]] == 1}
+    single = [r["score"] for r in scores if r["doc_id"] in alone and r["words"] >= 50]
+    assert np.mean(np.array(copied) > np.quantile(single, 0.9)) > 0.9
+
+
 def test_pipeline(spark, documents):
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
