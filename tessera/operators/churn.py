@@ -120,7 +120,8 @@ def fit_decision_tree(
     """Gini tree; ``stages[-1].toDebugString`` lists its splits.
 
     It grows to depth 30, the deepest the learner allows; ``min_rows`` per leaf and ``min_gain``
-    stop it earlier.
+    stop it earlier. The node each row has reached is kept from level to level, see
+    `fit_random_forest`.
     """
     tree = DecisionTreeClassifier(
         impurity="gini",
@@ -128,6 +129,7 @@ def fit_decision_tree(
         minInstancesPerNode=min_rows,
         minInfoGain=min_gain,
         seed=seed,
+        cacheNodeIds=True,
     )
     return Pipeline(stages=[*feature_stages(False), tree]).fit(labelled(train, label))
 
@@ -135,8 +137,14 @@ def fit_decision_tree(
 def fit_random_forest(
     train: DataFrame, label: str = "CHURN", trees: int = 100, max_depth: int = 30, seed: int = 42
 ) -> PipelineModel:
+    """Forest of Gini trees on bootstrap samples, with two features tried per split.
+
+    The node each row has reached in every tree is kept, and checkpointed now and then if there is a
+    checkpoint directory. Otherwise each level would send the trees to all tasks and lead all rows
+    down from the roots again. The forest grown is the same.
+    """
     forest = RandomForestClassifier(
-        numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed
+        numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed, cacheNodeIds=True
     )
     return Pipeline(stages=[*feature_stages(False), forest]).fit(labelled(train, label))
 

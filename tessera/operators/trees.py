@@ -266,6 +266,7 @@ def left_out_votes(
             seed=seed + number,
             bootstrap=False,
             weightCol="__weight",
+            cacheNodeIds=True,
         ).fit(stages.transform(inside))
         told = stages.transform(outside)
         for i, tree in enumerate(forest.trees):

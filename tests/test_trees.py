@@ -5,6 +5,8 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from tessera.operators import churn, trees
@@ -153,6 +155,27 @@ def test_votes_are_those_of_trees_that_left_the_row_out(customers):
     assert again == votes
 
 
+def test_rows_keep_their_nodes_and_trees_stay_the_same(customers, monkeypatch):
+    made = []
+
+    def forest(**settings):
+        made.append(settings)
+        return RandomForestClassifier(**settings)
+
+    monkeypatch.setattr(churn, "RandomForestClassifier", forest)
+    monkeypatch.setattr(trees, "RandomForestClassifier", forest)
+    kept = [churn.fit_decision_tree(customers), churn.fit_random_forest(customers, trees=15)]
+    trees.left_out_votes(customers, trees=2, bags=1, max_depth=3)
+    assert len(made) == 2 and all(settings["cacheNodeIds"] for settings in made)
+    for model, learner in zip(kept, (DecisionTreeClassifier, RandomForestClassifier), strict=True):
+        assert model.stages[-1].getCacheNodeIds()
+        settings = {"maxDepth": 30, "seed": 42} | ({"numTrees": 15, "featureSubsetStrategy": "sqrt"} if learner is RandomForestClassifier else {})
+        stages = [*churn.feature_stages(False), learner(**settings)]
+        led_down = Pipeline(stages=stages).fit(churn.labelled(customers, "CHURN")).stages[-1]
+        assert led_down.toDebugString.split("\n")[1:] == model.stages[-1].toDebugString.split("\n")[1:]
+        assert model.stages[-1].toDebugString.count("If") > 10
+
+
 def test_left_out_error(spark):
     votes = spark.createDataFrame([(1, 0, 3, 1), (2, 0, 1, 2), (3, 1, 0, 4), (4, 1, 2, 2), (5, 1, 0, 1)], "ID_CLI long, CHURN int, VOTES_0 long, VOTES_1 long")
     found = {r["CHURN"]: tuple(r)[1:] for r in trees.left_out_error(votes).collect()}
