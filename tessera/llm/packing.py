@@ -69,17 +69,15 @@ class ChunkEncoder:
         if len(self.words) > REMEMBERED:
             self.words, self.old_words = {}, self.words
         known, old, chunks = self.chunks, self.old_chunks, text.encode().split()
-        ids = [known.get(c) for c in chunks]
-        if None in ids:
-            for k, found in enumerate(ids):
-                if found is None:
-                    c = chunks[k]
-                    found = known.get(c) or old.get(c)
-                    if found is None:
-                        found = self._chunk(c.decode())
-                    ids[k] = found
-                    if len(c) <= REMEMBERED_BYTES:
-                        known[c] = found
+        ids = list(map(known.get, chunks))
+        for k in [k for k, found in enumerate(ids) if found is None]:
+            c = chunks[k]
+            found = known.get(c) or old.get(c)
+            if found is None:
+                found = self._chunk(c.decode())
+            ids[k] = found
+            if len(c) <= REMEMBERED_BYTES:
+                known[c] = found
         return b"".join(ids)
 
     def _whole(self, text: str) -> bytes:
@@ -88,17 +86,25 @@ class ChunkEncoder:
     def _chunk(self, chunk: str) -> bytes:
         if len(chunk) > REMEMBERED_BYTES or "<|" in chunk or not SIMPLE(chunk):
             return self._whole(chunk)
-        words, old, ids = self.words, self.old_words, []
-        for word in CUT(chunk.lower()):
-            found = words.get(word)
-            if found is None and (found := old.get(word)) is not None:
-                words[word] = found
+        lower = chunk.lower()
+        # Letters alone, or before one other character, are cut as the pattern would without it.
+        if lower.isalpha():
+            return self._word(lower)
+        if lower[:-1].isalpha():
+            return self._word(lower[:-1]) + self._word(lower[-1])
+        return b"".join([self._word(word) for word in CUT(lower)])
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.old_words.get(word)
             if found is None:
-                spelt = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-                found = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(spelt)) else b""
-                words[word] = found
-            ids.append(found)
-        return b"".join(ids)
+                # ASCII is spelt as it is.
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = [x.id for x in self.model.tokenize(spelt)]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            self.words[word] = found
+        return found
 
 
 def token_pieces(

@@ -199,6 +199,21 @@ def test_chunks_encode_like_the_tokenizer():
         assert by_chunk(text) == np.array(ids, dtype="<u4").tobytes()
 
 
+def test_plain_words_are_cut_without_the_pattern(monkeypatch):
+    file = path("word_bpe_49k.json")
+    whole, by_chunk = Tokenizer.from_file(file), packing.ChunkEncoder(file)
+    cut, seen = packing.CUT, []
+    monkeypatch.setattr(packing, "CUT", lambda text: seen.append(text) or cut(text))
+    simple = [c for c in map(chr, range(0x21, 0x180)) if packing.SIMPLE(c)]
+    plain = ["word", "Straße", "étÉ", "naïve.", "end,", "s'", "x9", "ŉa", "word²", "º", "."]
+    for text in [*plain, *[f"{c}{d}" for c in "aÉſ" for d in simple], *[f"Wort{d}" for d in simple]]:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert by_chunk(text) == np.array(ids, dtype="<u4").tobytes(), text
+    assert all(len(text) < 2 for text in seen)
+    assert by_chunk("it's") == np.array(whole.encode("it's", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert seen[-1] == "it's"
+
+
 def test_quality_on_held_out_labels(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIRECTORY}/labels.parquet").collect()}
     rows = QUERIES["op6_attention_quality"](spark, DIRECTORY).collect()
