@@ -440,7 +440,7 @@ def secret_spans(docs: DataFrame, columns: list[str], text: str, field: Field) -
     name = free_name(docs.select(*columns), "spans")
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = docs.sparkSession.sparkContext.broadcast((field.weights, field.start, field.steps))
 
     def spans_of(value: str, data: bytes, states: np.ndarray) -> list[dict]:
         base = base_spans(value, data)
@@ -450,7 +450,7 @@ def secret_spans(docs: DataFrame, columns: list[str], text: str, field: Field) -
         return [{"kind": KINDS[k], "start": s, "end": e} for s, k, e, _ in base]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(sent.value)
+        tagger = Tagger(Field(*sent.value))
         for batch in batches:
             at = size = 0
             values: list[str] = []
